@@ -16,6 +16,8 @@ others; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +32,15 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, text_id, n_lines, n_dropped, kept: every row of docs with the text that stays.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text_id, was_null, n_lines, n_dropped, kept: every row of docs with the text that stays; then the columns named in carry.
 
     A line whose key has at least min_chars code points and is found in at least
     min_docs documents stays only in the largest doc_id that holds it. text_id is
     a hash of the text, which tells apart rows of equal doc_id.
     """
-    rows = texts(docs).withColumn("text_id", F.xxhash64("text"))
+    carried = F.struct(*carry) if carry else F.lit(None)
+    rows = texts(docs, F.col("text").isNull().alias("was_null"), carried.alias("carried")).withColumn("text_id", F.xxhash64("text"))
     lines = rows.select("doc_id", "text_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     hashed = keyed.select("doc_id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(29), F.col("key")).alias("h2"))
@@ -60,4 +63,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     parts = joined.withColumn("lines", F.split("text", "\n", -1)).withColumn("n_lines", F.size("lines").cast("bigint"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    return parts.select("doc_id", "text_id", "n_lines", F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("bigint").alias("n_dropped"), kept.alias("kept"))
+    more = [F.col("carried").getField(c).alias(c) for c in carry]
+    return parts.select("doc_id", "text_id", "was_null", "n_lines", F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("bigint").alias("n_dropped"), kept.alias("kept"), *more)
