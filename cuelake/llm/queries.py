@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, nearjoin, toxicity
+from . import bpe, decontam, katz, linededup, nearjoin, toxicity
 from .common import crc_remainder
 
 
@@ -27,6 +27,10 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern()
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -74,6 +78,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_backoff": op1_katz_backoff,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontamination": op3_decontamination,
     "op5_line_dedup": op5_line_dedup,
