@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -50,8 +53,60 @@ def texts(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Bits of the filter below: 256 maps of 4 KB, however many keys there are.
+FILTER_BITS, MAP_BITS = 1 << 23, 1 << 15
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Adds maybe: false where the value of `column` is surely not among the keys.
+
+    A one-hash Bloom filter of 1 MB, built by an aggregate and sent to all tasks. It
+    keeps wide rows that no key meets out of the shuffle of an exact join.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    maps = keys.where(F.col(key).isNotNull()).select(bit(F.col(key).cast("bigint")).alias("_b"))
+    maps = maps.groupBy(F.floor(F.col("_b") / MAP_BITS).cast("int").alias("_map")).agg(F.bitmap_construct_agg(F.col("_b") % MAP_BITS).alias("_bits"))
+    placed = rows.withColumn("_b", bit(F.col(column).cast("bigint"))).withColumn("_map", F.floor(F.col("_b") / MAP_BITS).cast("int"))
+    joined = placed.join(F.broadcast(maps), "_map", "left")  # FILTER_BITS / MAP_BITS rows at most
+    at = (F.col("_b") % MAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("1").bitwiseAND(F.call_function("shiftright", byte, (at % 8).cast("int"))) == 1, F.lit(False))
+    return joined.withColumn("maybe", hit & F.col(column).isNotNull()).drop("_b", "_map", "_bits")
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose value of `column` is not among the keys; only rows that may meet a key are shuffled."""
+    columns = rows.columns
+    marked = maybe_in(rows, column, keys, key)
+    far = marked.where("NOT maybe").select(*columns)
+    near = marked.where("maybe").select(*columns)
+    gone = keys.select(F.col(key).alias("_key")).distinct()
+    return far.unionByName(near.join(gone, near[column] == gone["_key"], "left_anti"))
+
+
+_held: dict = {}
+
+
+def worker_held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one model with its cache. Another operator's goes first.
+
+    Spark uses workers again for later stages, so that caches of several operators would add up.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of text, so that a task holds few decoded texts at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // chars
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+        for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=False):
+            yield batch.slice(at, end - at)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, texts
+from .common import mix64, slices, texts
 
 WORDS = re.compile(r"\w+")
 #: Characters of benchmark text in one block.
@@ -146,25 +146,29 @@ class Block:
                 yield item_id, len(item), covered, len(tiled), covered / len(item)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.6) -> DataFrame:
-    """One row for each document and benchmark item that it contains."""
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about BLOCK_CHARS characters, one at a time."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // BLOCK_CHARS))
-    out = None
     for k in range(n_blocks):
-        # The block's size is bounded by BLOCK_CHARS on average, however large the benchmark is.
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
-        sent = spark.sparkContext.broadcast(rows)
+        # A block's size is bounded by BLOCK_CHARS on average, however large the benchmark is.
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.6) -> DataFrame:
+    """One row for each document and benchmark item that it contains."""
+    out = None
+    for rows in blocks_of(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Block(sent.value, min_tile)
-            for batch in batches:
+            for batch in slices(batches):
                 got: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if block.items:
-                        got += [(doc_id, *x[:4], x[4]) for x in block.matches(text, threshold)]
+                        got += [(doc_id, *x) for x in block.matches(text, threshold)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), [*[pa.int64()] * 5, pa.float64()], strict=True)], ["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
 
@@ -174,6 +178,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thresho
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.6) -> DataFrame:
-    """The rows of docs, with all their columns, that contain no benchmark item."""
-    found = find_leaks(docs, benchmark, min_tile, threshold).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leak_id"]), "left_anti")
+    """The rows of docs, with all their columns, that contain no benchmark item; one map after another, no join."""
+    for rows in blocks_of(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = Block(sent.value, min_tile)
+            for batch in slices(batches):
+                yield batch.filter(pa.array([not block.items or next(block.matches(t or "", threshold), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

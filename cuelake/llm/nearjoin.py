@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, texts
+from .common import maybe_in, mix64, slices, stored, texts, without, worker_held
 from .components import components
 
 GRAM = 5
@@ -40,19 +40,23 @@ SLACK = 0.2
 #: Classes of one side of an exact comparison.
 BLOCK = 1024
 #: Entries of a worker's word cache.
-CACHE = 1_000_000
+CACHE = 500_000
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
 SHIFTS = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
-_words: dict[str, int] = {}
+
+
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return out
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > CACHE:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w.encode())
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_held(("word hashes",), WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def grams(text: str) -> np.ndarray:
@@ -83,7 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_grams, f1, f2 (128-bit fingerprint of the set), sig (packed big-endian, so that bytes sort as values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, f1, f2, sig = [], [], [], []
             for text in batch.column("text").to_pylist():
                 g = grams(text)
@@ -208,14 +212,15 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [grams(t).view(np.int64) for t in batch.column("text").to_pylist()]
             packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "size", "cluster", "n_blocks", "block")), packed], ["rep", "size", "cluster", "n_blocks", "block", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), packed], ["rep", "grams"])
 
-    rows = texts(docs).withColumnRenamed("doc_id", "rep").join(placed, "rep").dropDuplicates(["rep"])
-    sized = rows.select("rep", "size", "cluster", "n_blocks", "block", "text").mapInArrow(sets, "rep bigint, size bigint, cluster bigint, n_blocks int, block int, grams array<bigint>")
-    pairs = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    # Only texts that may be a member's are read on; their grams meet the members in a join.
+    rows = maybe_in(texts(docs).withColumnRenamed("doc_id", "rep"), "rep", members, "rep").where("maybe").select("rep", "text")
+    gathered = rows.mapInArrow(sets, "rep bigint, grams array<bigint>").dropDuplicates(["rep"])
+    pairs = gathered.join(placed, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "rep")
 
@@ -277,4 +282,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
     """The rows of docs, all columns, without those of a group's other documents; the least doc_id stays."""
     gone = near_duplicates(docs, threshold, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return without(docs, "doc_id", stored(gone, "gone"), "gone_id")
