@@ -31,6 +31,7 @@ table gives an empty table; other columns are not read. Hashes have 64 bits.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -54,16 +55,16 @@ END = b"\x00end"
 BEGIN_HASH = np.uint64(0x1234567890ABCDEF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_ROW = "block bigint, doc_ids array<bigint>, held array<int>, sizes array<int>, tokens array<int>, words array<bigint>"
-MESSAGE = "level int, part int, block bigint, keys array<bigint>, counts array<int>"
-COUNTED = "level int, part int, block bigint, keys array<bigint>, counts array<int>, holds array<int>, stats array<bigint>"
-SUMS = "level int, part int, block bigint, keys array<bigint>, totals array<bigint>, discounted array<double>, lower array<double>"
+MESSAGE = "level int, part int, block bigint, keys binary, codes array<tinyint>, more array<bigint>"
+COUNTED = "level int, part int, block bigint, keys binary, codes array<tinyint>, more array<bigint>, stats array<bigint>"
+SUMS = "level int, part int, block bigint, keys binary, totals array<bigint>, discounted array<double>, lower array<double>"
 WEIGHTS = "level int, part int, block bigint, divisors array<bigint>, weights array<double>"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     """Rows whose array fields are numpy arrays, under a schema in the form above."""
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "tinyint": pa.int8(), "binary": pa.binary()}
     names, arrays = [], []
     for (name, kind), column in zip((x.split() for x in schema.split(", ")), zip(*rows, strict=True), strict=True):
         names.append(name)
@@ -155,16 +156,51 @@ def levels(tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray, words: np.nd
     return out
 
 
+def bounds(parts: int) -> np.ndarray:
+    """The least key of each part: equal ranges of the 64-bit hashes, which are uniform."""
+    return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+
+
 def dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of the keys of each part."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    """The places of the keys of each part, by ascending key."""
+    order = np.argsort(keys)
+    cuts = [*np.searchsorted(keys[order], bounds(parts)).tolist(), len(keys)]
     for p in range(parts):
         if cuts[p] < cuts[p + 1]:
             yield p, order[cuts[p] : cuts[p + 1]]
 
 
+def pack_keys(keys: np.ndarray, part: int, parts: int) -> bytes:
+    """Ascending keys of a part as differences, each of as many bytes as the largest needs."""
+    steps = np.diff(keys, prepend=bounds(parts)[part])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(packed: bytes, part: int, parts: int) -> np.ndarray:
+    width = packed[0]
+    steps = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) + bounds(parts)[part]
+
+
+LARGE = 126
+
+
+def pack_counts(counts: np.ndarray, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in a byte each, with the larger ones in a list of their own; marked ones as -1 - code."""
+    codes = np.minimum(counts, LARGE).astype(np.int8)
+    return codes if marked is None else np.where(marked, -1 - codes, codes).astype(np.int8), counts[counts >= LARGE]
+
+
+def unpack_counts(codes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, and which are marked."""
+    marked = codes < 0
+    counts = np.where(marked, -1 - codes.astype(np.int64), codes)
+    counts[counts == LARGE] = more
+    return counts, marked
+
+
 def block_levels(b: pa.RecordBatch, k: int, order: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[Level]]:
     row = b.slice(k, 1)
     doc_ids, held, sizes, tokens, words = (lists(row.column(c))[0] for c in ("doc_ids", "held", "sizes", "tokens", "words"))
@@ -178,7 +214,7 @@ def send_counts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 block, _, _, _, made = block_levels(b, k, order)
                 for level, x in enumerate(made, 1):
                     for p, at in dealt(x.keys, parts):
-                        yield batch(MESSAGE, [(level, p, block, x.keys[at].view(np.int64), x.n_train[at])])
+                        yield batch(MESSAGE, [(level, p, block, pack_keys(x.keys[at], p, parts), *pack_counts(x.n_train[at]))])
 
     return blocks.mapInArrow(run, MESSAGE)
 
@@ -193,19 +229,21 @@ def count_parts(messages: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["level", "part"]):
             level, p = t.column("level")[0].as_py(), t.column("part")[0].as_py()
-            keys = lists(t.column("keys"))
+            keys = [unpack_keys(k, p, parts) for k in t.column("keys").to_pylist()]
+            counts = [unpack_counts(c, m)[0] for c, m in zip(lists(t.column("codes")), lists(t.column("more")), strict=True)]
             distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            total = np.bincount(place, np.concatenate(lists(t.column("counts"))), len(distinct)).astype(np.int64)
+            total = np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
             seen = total > 0
             stats = np.r_[total.sum(), seen.sum(), [(total == r).sum() for r in range(1, K + 2)]]
-            empty = np.empty(0, np.int64)
-            yield batch(COUNTED, [(level, p, -1, distinct[seen], total[seen], empty, stats)])
-            holder = np.zeros(len(place), np.int32)
-            holder[first] = 1
-            at = 0
+            table = pack_keys(distinct[seen], p, parts) if seen.any() else b""
+            yield batch(COUNTED, [(level, p, -1, table, *pack_counts(total[seen]), stats)])
+            holder = np.zeros(len(place), bool)
+            holder[first] = True
+            at, empty = 0, np.empty(0, np.int64)
             for block, own in zip(t.column("block").to_pylist(), keys, strict=True):
-                yield batch(COUNTED, [(level, p, block, empty, total[place[at : at + len(own)]], holder[at : at + len(own)], empty)])
-                at += len(own)
+                end = at + len(own)
+                yield batch(COUNTED, [(level, p, block, None, *pack_counts(total[place[at:end]], holder[at:end]), empty)])
+                at = end
 
     return near.mapInArrow(run, COUNTED)
 
@@ -258,8 +296,7 @@ def told(made: list[Level], parts: int, counted: list[dict], weighed: list[dict]
     for level, x in enumerate(made, 1):
         for p, at in dealt(x.keys, parts):
             r = by_part[level, p]
-            counts[level - 1][at] = r["counts"]
-            holds[level - 1][at] = np.asarray(r["holds"]) > 0
+            counts[level - 1][at], holds[level - 1][at] = unpack_counts(r["codes"], r["more"])
     divisors, weights = {}, {}
     by_part = {(r["level"], r["part"]): r for r in weighed}
     for level in {r["level"] for r in weighed}:
@@ -287,10 +324,10 @@ def evaluate(made: list[Level], known: Known, discounts: list[Discounts], base:
 
 def answers_by_block(counted: DataFrame, weighed: DataFrame | None, buckets: int) -> DataFrame:
     """One row for each block with all that it has been told; dealt as the block table is."""
-    empty = F.array().cast("array<bigint>")
-    c = counted.where("block >= 0").select("block", F.struct("level", "part", "counts", "holds", empty.alias("divisors"), F.array().cast("array<double>").alias("weights")).alias("r"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    c = counted.where("block >= 0").select("block", F.struct("level", "part", "codes", "more", none("bigint").alias("divisors"), none("double").alias("weights")).alias("r"))
     if weighed is not None:
-        c = c.unionByName(weighed.select("block", F.struct("level", "part", F.array().cast("array<int>").alias("counts"), F.array().cast("array<int>").alias("holds"), "divisors", "weights").alias("r")))
+        c = c.unionByName(weighed.select("block", F.struct("level", "part", none("tinyint").alias("codes"), none("bigint").alias("more"), "divisors", "weights").alias("r")))
     return c.repartition(buckets, "block").groupBy("block").agg(F.collect_list("r").alias("told"))
 
 
@@ -302,9 +339,9 @@ def read_told(column: pa.Array, k: int) -> tuple[list[dict], list[dict]]:
     cell = column.slice(k, 1).flatten()
     fields = {cell.type.field(j).name: cell.field(j) for j in range(cell.type.num_fields)}
     level, part = fields["level"].to_pylist(), fields["part"].to_pylist()
-    arrays = {name: lists(fields[name]) for name in ("counts", "holds", "divisors", "weights")}
+    arrays = {name: lists(fields[name]) for name in ("codes", "more", "divisors", "weights")}
     rows = [{"level": level[j], "part": part[j]} | {name: a[j] for name, a in arrays.items()} for j in range(len(level))]
-    return [r for r in rows if len(r["counts"])], [r for r in rows if len(r["divisors"])]
+    return [r for r in rows if len(r["codes"])], [r for r in rows if len(r["divisors"])]
 
 
 def send_sums(blocks: DataFrame, level: int, parts: int, discounts: list[Discounts], base: tuple[float, float]) -> DataFrame:
@@ -323,7 +360,7 @@ def send_sums(blocks: DataFrame, level: int, parts: int, discounts: list[Discoun
                 mass = np.bincount(h, discounts[level - 1].mass(c), n)
                 lower = np.bincount(h, below[made[level - 2].place[x.first[own]]], n)
                 for p, at in dealt(x.history_keys, parts):
-                    yield batch(SUMS, [(level, p, block, x.history_keys[at].view(np.int64), totals[at], mass[at], lower[at])])
+                    yield batch(SUMS, [(level, p, block, pack_keys(x.history_keys[at], p, parts), totals[at], mass[at], lower[at])])
 
     return blocks.mapInArrow(run, SUMS)
 
@@ -334,7 +371,8 @@ def weigh_parts(sums: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["level", "part"]):
-            keys = lists(t.column("keys"))
+            p = t.column("part")[0].as_py()
+            keys = [unpack_keys(k, p, parts) for k in t.column("keys").to_pylist()]
             _, place = np.unique(np.concatenate(keys), return_inverse=True)
             total, mass, lower = (np.bincount(place, np.concatenate(lists(t.column(c)))) for c in ("totals", "discounted", "lower"))
             divisor = np.where(total - mass > 1e-9 * np.maximum(total, 1), total, total + 1).astype(np.int64)
@@ -378,8 +416,10 @@ def score_blocks(blocks: DataFrame, order: int, parts: int, discounts: list[Disc
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of steps whose results have been stored."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first collection lets go of plans, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
