@@ -49,7 +49,7 @@ from .common import crc_remainder, mix64, stored, texts
 from .nearjoin import runs
 
 K = 5
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 3_000_000
 END = b"\x00end"
 BEGIN_HASH = np.uint64(0x1234567890ABCDEF)
