@@ -7,8 +7,8 @@ pair has changed since it was queued is stale and skipped when it comes up. So a
 pre-token of n bytes takes O(n log n), which matters for pre-tokens of many
 thousand bytes.
 
-Texts of a task share one cache from pre-token to its packed ids. It is emptied
-when it holds ``CACHE`` entries, so memory is bounded.
+Texts of a task share one cache from pre-token to its packed ids, of at most
+``CACHE`` entries, so memory is bounded.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; equal rows
 give equal results; other columns are not read; an empty table gives an empty
@@ -20,18 +20,22 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts, worker_held
 
 #: Entries of the cache of one Python worker.
-CACHE = 1_000_000
+CACHE = 500_000
 LEAF_BITS = 8
+LEAF_MASK = (1 << LEAF_BITS) - 1
+BITS = [1 << k for k in range(1 << LEAF_BITS)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,96 +44,100 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by merge rank; pop() gives the leftmost position of the least rank."""
-
-    def __init__(self, ranks: int):
-        self.leaves = [0] * ((ranks >> LEAF_BITS) + 1)
-        self.summary = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> LEAF_BITS
-        self.leaves[leaf] |= 1 << (rank & 255)
-        self.summary |= 1 << leaf
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.summary:
-            return None
-        leaf = (self.summary & -self.summary).bit_length() - 1
-        word = self.leaves[leaf]
-        rank = (leaf << LEAF_BITS) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            word &= word - 1
-            self.leaves[leaf] = word
-            if not word:
-                self.summary &= self.summary - 1
-        return rank, position
-
-
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
         self.bytes_of = [ranks[bytes([b])] for b in range(256)]
         self.width = max(self.tokens) + 1
-        #: (left, right) ids to the id of their concatenation, which is the rank of that merge.
-        self.merge = {ranks[t[:i]] * self.width + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.queue = RankQueue(self.width)
+        #: The queue: positions by rank, and bits of the ranks in use; empty between pre-tokens.
+        self.buckets: dict[int, list[int]] = {}
+        self.leaves = [0] * ((self.width >> LEAF_BITS) + 1)
         outer = self
 
         class Cache(dict):
+            """Packed ids by pre-token, in two generations of CACHE / 2: what the older one still serves moves up."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE:
+                if len(self) >= CACHE // 2:
+                    self.older = dict(self)
                     self.clear()
-                ids = outer.encode_piece(piece.encode())
-                out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                out = self.older.get(piece)
+                if out is None:
+                    ids = outer.encode_piece(piece.encode())
+                    out = struct.pack(f"<{len(ids)}I", *ids)
+                self[piece] = out
                 return out
 
         self.cache = Cache()
 
+    @cached_property
+    def merge(self) -> dict[int, int]:
+        """(left, right) ids to the id of their concatenation, which is the rank of that merge; decoding needs none."""
+        ranks = self.ranks
+        return {ranks[t[:i]] * self.width + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+
     def encode_piece(self, piece: bytes) -> list[int]:
+        """Merges one pre-token. The queue is written out here, since most pre-tokens are a few bytes long."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ids: list[int] = list(map(self.bytes_of.__getitem__, piece))
-        n, width, merge, queue = len(ids), self.width, self.merge.get, self.queue
+        width, merge, leaves, buckets = self.width, self.merge.get, self.leaves, self.buckets
+        ids = [self.bytes_of[b] for b in piece]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that begins here, -1 for none
-        for i in range(n - 1):
-            rank = merge(ids[i] * width + ids[i + 1], -1)
+        #: The rank of the pair that begins at each position, -1 for none.
+        pair = [merge(a * width + b, -1) for a, b in pairwise(ids)]
+        pair.append(-1)
+        summary = 0
+        for i, rank in enumerate(pair):
             if rank >= 0:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so a heap
+                else:
+                    buckets[rank] = [i]
+                    leaves[rank >> LEAF_BITS] |= BITS[rank & LEAF_MASK]
+                    summary |= 1 << (rank >> LEAF_BITS)
+        while summary:
+            # Find-first-set on the summary, then on its leaf: the least rank in use.
+            leaf = (summary & -summary).bit_length() - 1
+            word = leaves[leaf]
+            rank = (leaf << LEAF_BITS) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                word &= word - 1
+                leaves[leaf] = word
+                if not word:
+                    summary &= summary - 1
             if pair[i] != rank:
-                continue
+                continue  # stale
             j = after[i]
             k = after[j]
             ids[i], ids[j], pair[j], after[i] = rank, -1, -1, k
             if k < n:
                 before[k] = i
                 found = merge(rank * width + ids[k], -1)
-                pair[i] = found
-                if found >= 0:
-                    queue.push(found, i)
             else:
-                pair[i] = -1
+                found = -1
+            pair[i] = found
             h = before[i]
-            if h >= 0:
-                found = merge(ids[h] * width + rank, -1)
-                if found != pair[h]:
-                    pair[h] = found
-                    if found >= 0:
-                        queue.push(found, h)
+            left = merge(ids[h] * width + rank, -1) if h >= 0 else -1
+            for found, at in ((found, i), (left, h)):
+                if at == h and h >= 0:
+                    pair[h] = left
+                if found >= 0:
+                    if found in buckets:
+                        heappush(buckets[found], at)
+                    else:
+                        buckets[found] = [at]
+                        leaves[found >> LEAF_BITS] |= BITS[found & LEAF_MASK]
+                        summary |= 1 << (found >> LEAF_BITS)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -140,14 +148,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I").tolist()))
 
 
-_models: dict[tuple[str, str], ByteBpe] = {}
-
-
 def model(path: str, pattern: str) -> ByteBpe:
     """One model and cache for each Python worker."""
-    if (path, pattern) not in _models:
-        _models[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _models[path, pattern]
+    return worker_held(("bpe", path, pattern), lambda: ByteBpe(load_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -158,7 +161,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -94,11 +96,19 @@ def worker_held(key: tuple, make: Callable[[], Any]) -> Any:
     """
     if key not in _held:
         _held.clear()
-        gc.collect()
+        give_back()
         _held[key] = make()
     return _held[key]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; idle workers would keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about so many bytes of text, so that a task holds few decoded texts at a time."""
     for batch in batches:
@@ -107,6 +117,7 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterato
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
         for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=False):
             yield batch.slice(at, end - at)
+    give_back()
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ benchmark table gives no pairs; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, texts
+from .common import mix64, slices, texts, worker_held
 
 WORDS = re.compile(r"\w+")
 #: Characters of benchmark text in one block.
@@ -162,8 +163,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thresho
     for rows in blocks_of(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, min_tile)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, sent_id=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block = worker_held(("benchmark", sent_id, min_tile), lambda: Block(sent.value, min_tile))
             for batch in slices(batches):
                 got: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -182,8 +183,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thre
     for rows in blocks_of(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, min_tile)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, sent_id=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block = worker_held(("benchmark", sent_id, min_tile), lambda: Block(sent.value, min_tile))
             for batch in slices(batches):
                 yield batch.filter(pa.array([not block.items or next(block.matches(t or "", threshold), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
 

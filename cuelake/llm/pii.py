@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict patterns. LOCAL is what may stand before an email's @.
@@ -183,7 +183,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 for kind, a, b in [*base, *candidates(text, base)]:
@@ -212,7 +212,7 @@ def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             base, added = [], []
             for text in batch.column("text").to_pylist():
                 found = base_spans(text)

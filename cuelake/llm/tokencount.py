@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import slices, texts, worker_held
 
 MARK = "▁"
 NODES = 2_000_000
@@ -93,14 +93,9 @@ class Trie:
         return found
 
 
-_tries: dict[str, Trie] = {}
-
-
 def trie(path: str) -> Trie:
     """One trie for each Python worker and vocabulary."""
-    if path not in _tries:
-        _tries[path] = Trie(load_pieces(path))
-    return _tries[path]
+    return worker_held(("trie", path), lambda: Trie(load_pieces(path)))
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -108,7 +103,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             words, counts = [], []
             for text in batch.column("text").to_pylist():
                 found = Counter(text.split())

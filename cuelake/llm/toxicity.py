@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, texts
+from .common import crc_remainder, slices, texts, worker_held
 
 ORDER = 3
 DECAY = 0.7
@@ -49,7 +49,7 @@ LANDMARKS = 24
 TRAIN_ROWS = 6000
 PIECE = 24
 #: Entries of a worker's word cache.
-CACHE = 1_000_000
+CACHE = 300_000
 MARK = "^"
 #: Character codes: a to z, the mark, and 37 classes for all others.
 LETTERS = 64
@@ -147,7 +147,7 @@ class Landmarks:
         for width, ks in by_length(words).items():
             _, weights = choices(width)
             floor = math.sqrt(float((weights.astype(float) ** 2).sum()))
-            chunk = max(1, 2_000_000 // len(weights))
+            chunk = max(1, 500_000 // len(weights))
             for at in range(0, len(ks), chunk):
                 some = np.array(ks[at : at + chunk])
                 key, weights = subsequences([words[k] for k in some])
@@ -209,7 +209,7 @@ class Pooler:
             todo.append(k)
             tokens.update(t.split())
             tokens.update(x.replace(" ", "") for x in SPACED.findall(t))
-            if len(tokens) > 200_000 or k == len(lower) - 1:
+            if len(tokens) > 50_000 or k == len(lower) - 1:
                 self.learn(tokens)
                 for j in todo:
                     self.describe(lower[j], out[j])
@@ -368,7 +368,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -380,20 +380,13 @@ def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = scorer.scores([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(found < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def worker_scorer(model: ToxicityModel) -> Scorer:
     """One scorer and cache for each Python worker and model."""
-    key = repr(model.landmarks).encode() + model.weights.tobytes()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = model.scorer()
-    return _scorers[key]
+    return worker_held(("toxicity", *model.landmarks, model.weights.tobytes()), model.scorer)
