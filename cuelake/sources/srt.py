@@ -51,5 +51,5 @@ def parse_srt(files: DataFrame, source_language: str = "und", bilingual: bool =
 
 
 def read_srt(spark: SparkSession, path: str, source_language: str = "und", bilingual: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return parse_srt(raw.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")), source_language, bilingual)
