@@ -146,7 +146,7 @@ def test_refine_writes_files(spark, tmp_path):
     (tmp_path / "in" / "b.srt").write_text("1\nno time\ntext\n", encoding="utf-8")
     c, docs, failures = srt.read_srt(spark, str(tmp_path / "in"))
     assert [f.message for f in failures.collect()] == ["invalid timestamp"]
-    out = refine(c, docs, Options(target_language="fr"))
+    out = refine(c, docs, Options(target_language="fr"), workdir=str(tmp_path / "stages"))
     stems = out.cue_docs.select("doc_id", F.lit("sub/a.refined").alias("stem"))
     rendered = sinks.render_formats(out.cues, out.cue_docs, stems, ("srt", "vtt", "json", "bilingual_srt"), bilingual=False)
     sinks.write_documents(rendered, str(tmp_path / "out"))
