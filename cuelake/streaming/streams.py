@@ -72,7 +72,7 @@ class OnlineCutter(StatefulProcessor):
         due = int(frame["ts"].max().timestamp() * 1000) + self.idle_ms
         self.handle.registerTimer(due)
         self.state.update((cutter.open, cutter.candidate, *last, due))
-        yield pd.DataFrame({"doc_id": [key[0]] * len(cuts), "seq": pd.Series(cuts, dtype="int32")})
+        yield pd.DataFrame({"doc_id": pd.Series([key[0]] * len(cuts), dtype=object), "seq": pd.Series(cuts, dtype="int32")})
 
     def _decide(self, cutter: Cutter, last: tuple, gap: int) -> list[int]:
         piece, ends, proposed = last
@@ -87,7 +87,7 @@ class OnlineCutter(StatefulProcessor):
             if last[0][0] not in cuts:
                 cuts.append(last[0][0])
         self.state.clear()
-        yield pd.DataFrame({"doc_id": [key[0]] * len(cuts), "seq": pd.Series(cuts, dtype="int32")})
+        yield pd.DataFrame({"doc_id": pd.Series([key[0]] * len(cuts), dtype=object), "seq": pd.Series(cuts, dtype="int32")})
 
     def close(self) -> None:
         pass
