@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -830,6 +832,13 @@ def stage_order_check(spark, sf_dir):
 
 # Whole pipelines
 
+
+def stage_dir(spark: SparkSession) -> str:
+    """A new folder for stage tables in the shared folder; stored stages keep plans short."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/stages-{uuid.uuid4().hex}"
+
+
 PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF, recursive=True)
 
 
@@ -837,7 +846,7 @@ PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF, recursive=True)
 def run_pipeline(spark, sf_dir):
     w = X.turn_words(spark, sf_dir)
     docs = w.select("doc_id").distinct().select("doc_id", F.lit("und").alias("language"), F.lit("t").alias("text"), F.lit("asr_native").alias("timing_origin"), F.lit("p").alias("provider"), F.lit("m").alias("model_name"))
-    out = P.run_pipeline(transcripts.Transcripts(docs, w, X.no_segments(w)), Options())
+    out = P.run_pipeline(transcripts.Transcripts(docs, w, X.no_segments(w)), Options(), workdir=stage_dir(spark))
     return out.cues.select("doc_id", "seq", "start_ms", "end_ms", "corrected_text", "translated_text")
 
 
@@ -849,7 +858,7 @@ REFINED = with_(TURN_CUES, "v AS (SELECT *, lag(start_ms) OVER w AS s, lag(end_m
 def refine(spark, sf_dir):
     """Documents with overlapping cues are quarantined, the others refined."""
     cues = X.conversation_cues(spark, sf_dir, translated=False)
-    out = P.refine(cues, X.cue_documents(cues, None), Options(target_language="fr"))
+    out = P.refine(cues, X.cue_documents(cues, None), Options(target_language="fr"), workdir=stage_dir(spark))
     return out.cues.select("doc_id", "seq", "start_ms", "end_ms", "corrected_text", "translated_text")
 
 
