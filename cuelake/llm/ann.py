@@ -4,8 +4,13 @@ The two halves of the vectors are quantised separately by centroids fitted with
 k-means on a sample of at most ``SAMPLE`` vectors, those of the least hash of their
 id. Every vector goes into the cell of its pair of centroids. A query walks over
 pairs of centroids with a heap, in the order of the summed nearness of its halves to
-them (the negative inner product as distance), until the cells hold ``candidates``
-vectors, which are then ranked by exact inner products in double precision.
+them (the negative inner product as distance), until the cells hold enough vectors,
+which are then ranked by exact inner products in double precision.
+
+How many are enough is measured on the table itself: the true neighbours of at most
+``PROBES`` queries are found by exact comparison with all vectors, and the walk goes
+as far, ``candidates`` at least, as it takes to meet the share ``RECALL`` of them. So
+the number grows with the table, up to all of it where the halves tell nothing.
 
 The first centroid makes a region; a region of many vectors is cut into chunks of
 about ``CHUNK``. A query is sent once to each chunk of the regions it visits; a task
@@ -36,6 +41,13 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 MOST_CENTROIDS = 512
 CHUNK = 50_000
+#: Queries whose true neighbours are found by exact comparison, and the share of these that the walk must meet.
+PROBES = 200
+RECALL = 0.95
+#: Walks that hold less than one in so many vectors use the heap.
+SHORT = 50
+#: Rows of a batch of visits, each with its query's vector.
+VISITS = 20_000
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -88,8 +100,58 @@ def walk(near_1: np.ndarray, near_2: np.ndarray, sizes: np.ndarray, wanted: int)
     return found
 
 
+def visited(near_1: np.ndarray, near_2: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
+    """The walk's cells as p * columns + q, ascending; long walks sort all cells at once instead of using the heap."""
+    if wanted * SHORT < sizes.sum():
+        return np.sort(np.array([p * sizes.shape[1] + q for p, q in walk(near_1, near_2, sizes, wanted)], np.int64))
+    order = np.argsort(-(near_1[:, None] + near_2[None, :]).ravel(), kind="stable")
+    some = order[: np.searchsorted(np.cumsum(sizes.ravel()[order]), wanted) + 1]
+    return np.sort(some[sizes.ravel()[some] > 0])
+
+
+def true_neighbours(index: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """probe, score, c1, c2: the best k of all vectors for each of the given queries, with their cells."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The best so far: a row for each place, a column for each query.
+        score, c1, c2 = np.zeros((0, len(ids))), np.zeros((0, len(ids)), np.int32), np.zeros((0, len(ids)), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = matrix(b.column("v")) @ x.T
+            new[b.column("vec_id").to_numpy()[:, None] == ids] = -np.inf
+            score = np.vstack([score, new])
+            c1, c2 = (np.vstack([old, np.broadcast_to(b.column(name).to_numpy()[:, None], new.shape)]) for old, name in ((c1, "c1"), (c2, "c2")))
+            best = np.argsort(-score, axis=0, kind="stable")[:k]
+            score, c1, c2 = (np.take_along_axis(a, best, 0) for a in (score, c1, c2))
+        place, probe = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int32()), *(pa.array(a[place, probe]) for a in (score, c1, c2))], ["probe", "score", "c1", "c2"])
+
+    best = Window.partitionBy("probe").orderBy(F.desc("score"), "c1", "c2")
+    found = index.select("vec_id", "v", "c1", "c2").mapInArrow(compare, "probe int, score double, c1 int, c2 int")
+    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("probe", "score", "c1", "c2")
+
+
+def enough(near_1: np.ndarray, near_2: np.ndarray, sizes: np.ndarray, cells: list[list[tuple[int, int]]], share: float) -> int:
+    """How many vectors the walks must hold to meet so large a share of the neighbours in the given cells."""
+    needs = []
+    for a, b, own in zip(near_1, near_2, cells, strict=True):
+        near = (a[:, None] + b[None, :]).ravel()
+        order = np.argsort(-near, kind="stable")
+        held = np.cumsum(sizes.ravel()[order])
+        ranked = -near[order]
+        for p, q in own:
+            # The vectors of all cells at least as near, so that ties can't cut a cell off.
+            needs.append(int(held[np.searchsorted(ranked, -(a[p] + b[q]), "right") - 1]))
+    needs.sort()
+    return needs[math.ceil(share * len(needs)) - 1] if needs else 0
+
+
 def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: int = 4000) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector whose id is divisible by query_every, its k nearest found."""
+    """query_id, rank, vec_id, score: for each vector whose id is divisible by query_every, its k nearest found.
+
+    A query is compared with ``candidates`` vectors at least, and with as many more as the probes ask for.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors)
     total = rows.count()
@@ -116,26 +178,39 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
     for r in index.groupBy("c1", "c2").count().collect():
         sizes[r.c1, r.c2] = r["count"]
     chunks = np.maximum(1, -(-sizes.sum(axis=1) // CHUNK))
+    queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
+    wanted = candidates + k + 1
+    if wanted < sizes.sum():
+        probes = queries.orderBy(F.xxhash64(F.lit(5), "vec_id")).limit(PROBES).collect()
+        if probes:
+            x = np.array([r.v for r in probes])
+            cells: list[list[tuple[int, int]]] = [[] for _ in probes]
+            # At most k rows for each of PROBES queries.
+            for r in true_neighbours(index, np.array([r.vec_id for r in probes], np.int64), x, k).collect():
+                cells[r.probe].append((r.c1, r.c2))
+            wanted = max(wanted, enough(x[:, :half] @ one.T, x[:, half:] @ two.T, sizes, cells, RECALL))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, ids = matrix(b.column("v")), b.column("vec_id").to_pylist()
+            x, ids = matrix(b.column("v")), b.column("vec_id")
             near_1, near_2 = x[:, :half] @ one.T, x[:, half:] @ two.T
-            row, c1, cells = [], [], []
+            row, c1, cells, ends = [], [], [], [0]
             for n in range(len(ids)):
-                by_region: dict[int, list[int]] = {}
-                for p, q in walk(near_1[n], near_2[n], sizes, candidates + k + 1):
-                    by_region.setdefault(p, []).append(q)
-                for p, qs in by_region.items():
-                    row.append(n)
-                    c1.append(p)
-                    cells.append(sorted(qs))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(c1, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["vec_id", "v", "c1", "cells"])
+                # The cells of a region stand together.
+                p, q = np.divmod(visited(near_1[n], near_2[n], sizes, wanted), sizes.shape[1])
+                starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                row += [n] * len(starts)
+                c1.append(p[starts])
+                cells.append(q)
+                ends += (ends[-1] + np.r_[starts[1:], len(p)]).tolist()
+                if len(row) >= VISITS or n == len(ids) - 1:
+                    at = pa.array(row, pa.int64())
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(np.concatenate(c1), pa.int32()), lists], ["vec_id", "v", "c1", "cells"])
+                    row, c1, cells, ends = [], [], [], [0]
 
-    queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
     visits = queries.mapInArrow(visit, "vec_id bigint, v array<double>, c1 int, cells array<int>")
     n_chunks = F.element_at(F.array(*[F.lit(int(n)) for n in chunks]), F.col("c1") + 1)
     entries = index.select("c1", F.pmod(F.xxhash64("vec_id"), n_chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"), "c2", "vec_id", "v", F.array().cast("array<int>").alias("cells"))
@@ -149,7 +224,8 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
                 continue
             keys = list(zip(b.column("c1").to_pylist(), b.column("chunk").to_pylist(), strict=True))
             kinds, x, ids, c2 = b.column("kind").to_numpy(), matrix(b.column("v")), b.column("vec_id").to_numpy(), b.column("c2").to_numpy()
-            cells = b.column("cells")
+            cells, ends = b.column("cells").flatten().to_numpy(), b.column("cells").offsets.to_numpy()
+            ends = ends - ends[0]
             out_q, out_v, out_s = [], [], []
             for n, key in enumerate(keys):
                 if key != here:
@@ -160,12 +236,21 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
                 if vectors_here is None:
                     place_2, own = np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64)
                     vectors_here = np.array([h[2] for h in held])
+                    longest = np.sqrt((vectors_here * vectors_here).sum(axis=1).max()) if held else 0.0
                     held = [None]
                 if not len(vectors_here):
                     continue
-                mine = np.array(cells[n].as_py())
-                some = np.concatenate([np.arange(a, z) for a, z in zip(np.searchsorted(place_2, mine), np.searchsorted(place_2, mine, "right"), strict=True)])
+                mine = cells[ends[n] : ends[n + 1]]
+                chosen = np.zeros(len(two), bool)
+                chosen[mine] = True
+                some = np.flatnonzero(chosen[place_2])
                 some = some[own[some] != ids[n]]
+                if len(some) > k:
+                    # A fast product leaves out rows that lie under the k-th by more than its rounding.
+                    rough = (vectors_here @ x[n])[some] if 4 * len(some) > len(own) else vectors_here[some] @ x[n]
+                    least = np.partition(rough, len(some) - k)[len(some) - k] - 1e-14 * len(x[n]) * longest * np.sqrt((x[n] * x[n]).sum())
+                    if np.isfinite(least):
+                        some = some[rough >= least]
                 if len(some):
                     # Row by row, so that equal vectors get equal scores in any chunk.
                     score = (vectors_here[some] * x[n]).sum(axis=1)

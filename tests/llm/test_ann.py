@@ -60,6 +60,46 @@ def test_recall(spark, monkeypatch):
     assert found >= 0.9 * sum(map(len, want.values()))
 
 
+def recall(got, want):
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_budget_grows_until_neighbours_are_met(spark):
+    """Scattered vectors, whose neighbours lie in many cells: 100 candidates of 6,000 meet few of them."""
+    x = np.random.default_rng(6).normal(size=(6000, 16))
+    rows = [(k, (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(x)]
+    assert recall(results(ann.search(table(spark, rows), candidates=100)), brute(rows, 20, 20)) >= 0.9
+
+
+def test_small_share_is_visited(spark, monkeypatch):
+    """Clustered vectors at the default of 4,000 candidates: few of 60,000 are visited, and most neighbours are found."""
+    budgets = []
+    enough = ann.enough
+    monkeypatch.setattr(ann, "enough", lambda *a: budgets.append(enough(*a)) or budgets[-1])
+    rows = vectors(60_000, 3)
+    got, want = results(ann.search(table(spark, rows), query_every=300)), brute(rows, 300, 20)
+    assert max(budgets[0], 4021) <= 0.1 * len(rows)
+    assert recall(got, want) >= 0.9
+
+
+def test_visited_by_sorting_or_heap(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b, sizes = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 3, (9, 7))
+    for wanted in (1, 5, 20, int(sizes.sum()), 10**9):
+        want = sorted(p * 7 + q for p, q in ann.walk(a, b, sizes, wanted))
+        for short in (0, 10**9):
+            monkeypatch.setattr(ann, "SHORT", short)
+            assert ann.visited(a, b, sizes, wanted).tolist() == want
+
+
+def test_enough():
+    sizes = np.array([[3, 0], [2, 5]])
+    one, two = np.array([[1.0, 0.0]]), np.array([[0.5, 0.2]])  # nearness 1.5, 1.2, 0.5, 0.2
+    assert [ann.enough(one, two, sizes, [[c]], 1.0) for c in ((0, 0), (1, 0), (1, 1))] == [3, 5, 10]
+    assert ann.enough(one, two, sizes, [[(0, 0), (1, 1)]], 0.5) == 3
+    assert ann.enough(one, two, sizes, [[]], 0.9) == 0
+
+
 def test_few_and_empty(spark):
     got = results(ann.search(table(spark, [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.5]), (3, [0.5, 0.5])])))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [20, 3, 3], 20: [0, 3, 3]}
