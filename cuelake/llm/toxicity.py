@@ -7,8 +7,9 @@ characters stays near its plain form. Characters between letters of a token
 ("i.d.i.o.t") are removed, runs of spaced-out single characters are joined, and a
 mark stands before each word's first character.
 
-Landmarks are word stems of labelled training texts that tell toxic from other
-texts best. The kernel of a sentence with a landmark is the largest of its words';
+Landmarks are all word stems of labelled training texts that tell toxic from other
+texts better than chance does: than the best stem under shuffled labels, the median
+of ``SHUFFLES`` of them. Their number has no other bound; time grows with it. The kernel of a sentence with a landmark is the largest of its words';
 a text is described by the largest, the mean and the dampened sum over its
 sentences. The Nyström map, K_mm^(-1/2), turns each of these into coordinates in
 which a linear machine with hinge loss is trained; a logistic curve turns its
@@ -45,7 +46,10 @@ ORDER = 3
 DECAY = 0.7
 #: Words whose kernel with every landmark is below this have no part.
 ACTIVE = 0.55
-LANDMARKS = 24
+#: Shuffles of the labels that show how far chance takes a stem.
+SHUFFLES = 9
+#: Entries of tables that have a column for each landmark.
+CELLS = 12_000_000
 TRAIN_ROWS = 6000
 PIECE = 24
 #: Entries of a worker's word cache.
@@ -147,7 +151,7 @@ class Landmarks:
         for width, ks in by_length(words).items():
             _, weights = choices(width)
             floor = math.sqrt(float((weights.astype(float) ** 2).sum()))
-            chunk = max(1, 500_000 // len(weights))
+            chunk = max(1, min(500_000, CELLS // len(self.words)) // len(weights))
             for at in range(0, len(ks), chunk):
                 some = np.array(ks[at : at + chunk])
                 key, weights = subsequences([words[k] for k in some])
@@ -174,7 +178,7 @@ class Pooler:
         self.rows: list[np.ndarray] = [np.zeros(len(landmarks.words), np.float32)]
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.row_of) + len(tokens) > CACHE:
+        if len(self.row_of) + len(tokens) > CACHE or len(self.rows) * len(self.landmarks.words) > CELLS:
             self.row_of.clear()
             del self.rows[1:]
         new = [t for t in tokens if t not in self.row_of]
@@ -279,10 +283,15 @@ def coordinates(features: np.ndarray, landmarks: Landmarks) -> np.ndarray:
     return np.hstack([features[:, k * m : (k + 1) * m] @ landmarks.map for k in range(3)])
 
 
-def choose_landmarks(rows: list[tuple[str, int]], count: int) -> list[str]:
-    """Stems that tell the labels apart best, each found in at least three texts; near doubles are left out."""
+def deviations(both: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """How far counts of toxic texts lie over the expected ones, in deviations."""
+    return (both - share * n) / np.sqrt(n * share * (1 - share) + 1)
+
+
+def choose_landmarks(rows: list[tuple[str, int]]) -> list[str]:
+    """Stems that tell the labels apart better than chance, each found in at least three texts; near doubles are left out."""
     held: dict[str, set[int]] = {}
-    toxic = {k for k, (_, y) in enumerate(rows) if y}
+    toxic = np.array([y for _, y in rows], bool)
     for k, (text, _) in enumerate(rows):
         stems = set()
         for token in set(text.lower().split()):
@@ -292,18 +301,21 @@ def choose_landmarks(rows: list[tuple[str, int]], count: int) -> list[str]:
                     stems.add(w)
         for x in stems:
             held.setdefault(x, set()).add(k)
-    share = len(toxic) / max(1, len(rows))
-    ranked = []
-    for x, ks in held.items():
-        if len(ks) >= 3 and (both := len(ks & toxic)) > share * len(ks):
-            # How far the count of toxic texts lies over the expected one, in deviations.
-            ranked.append((-(both - share * len(ks)) / math.sqrt(len(ks) * share * (1 - share) + 1), -len(x), x))
+    common = [x for x, ks in held.items() if len(ks) >= 3]
+    if not common:
+        return []
+    n = np.array([len(held[x]) for x in common])
+    postings = np.fromiter((k for x in common for k in held[x]), np.int32, int(n.sum()))
+    starts, share = np.cumsum(n) - n, toxic.sum() / max(1, len(rows))
+    over = lambda marks: deviations(np.add.reduceat(marks[postings], starts, dtype=np.int64), n, share)
+    rng = np.random.default_rng(5)
+    chance = float(np.median([over(rng.permutation(toxic)).max() for _ in range(SHUFFLES)]))
+    found = over(toxic)
+    ranked = [(-float(found[k]), -len(common[k]), common[k]) for k in np.flatnonzero(found > max(0.0, chance)).tolist()]
     chosen: list[str] = []
     for _, _, x in sorted(ranked):
         if all(len(held[x] & held[c]) < 0.6 * len(held[x] | held[c]) and not x.startswith(c) for c in chosen):
             chosen.append(x)
-        if len(chosen) == count:
-            break
     return chosen
 
 
@@ -336,14 +348,14 @@ def fit_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_rows(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> ToxicityModel:
+def fit_rows(rows: list[tuple[str, int]]) -> ToxicityModel:
     """A model of (text, label) rows. Repeated texts count once for each label."""
     rows = sorted(set(rows))
     y = np.array([r[1] for r in rows])
     none = np.zeros(0)
     rate = (y.sum() + 1) / (len(y) + 2)
     constant = ToxicityModel([], none, none, none, 0.0, (0.0, float(np.log(rate / (1 - rate)))))
-    chosen = choose_landmarks(rows, landmarks) if 0 < y.sum() < len(y) else []
+    chosen = choose_landmarks(rows) if 0 < y.sum() < len(y) else []
     if not chosen:
         return constant
     marks = Landmarks(chosen)

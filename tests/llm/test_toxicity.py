@@ -71,6 +71,25 @@ def test_held_out(spark, model):
     assert len(held) > 50 and sum((got[i] >= 0.5) == y for i, y in held) >= 0.97 * len(held)
 
 
+def test_many_insults():
+    """Forty insults without common stems, each in few texts: held-out recall of every one."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choices("aeionrst", k=rng.randrange(3, 9))) for _ in range(300)]
+    bad = ["".join(rng.choices("bcdfghjklmpquvwxyz", k=8)) for _ in range(40)]
+    rows = []
+    for i in range(2400):
+        words = rng.choices(plain, k=rng.randrange(5, 60))
+        insult = bad[i // 4 % 40] if i % 4 == 1 else None
+        for _ in range(2 if insult else 0):
+            words.insert(rng.randrange(len(words)), insult)
+        rows.append((" ".join(words), int(i % 4 == 1), insult))
+    model = toxicity.fit_rows([r[:2] for r in rows[:1920]])
+    got = model.scorer().scores([r[0] for r in rows[1920:]]) >= 0.5
+    caught = {w: [g for g, r in zip(got, rows[1920:], strict=True) if r[2] == w] for w in bad}
+    assert all(len(c) == 3 and sum(c) >= 2 for c in caught.values())
+    assert sum(got) <= 1.05 * 120
+
+
 @pytest.mark.parametrize("insult", ["you dummkopf here", "you d.u.m.m.k.o.p.f here", "you dummmkopf here", "you d u m m k o p f here", "such a dumxmkopf it is", "such a blockheaad it is", "xxxx BLOCK-HEAD.", "z" * 30 + " rascal"])
 def test_variants(model, insult):
     assert model.scorer().scores([insult])[0] >= 0.5
