@@ -16,6 +16,7 @@ CHOOSER_MARKS = "。！？.!?"
 #: Marks before which and after which no space is put.
 CLOSING = "，。！？；：、,.!?;:)]}」』"
 OPENING = "([{「『"
+#: Patterns of breaks, numbers, words, URLs, code and e-mail that decide what a check finds.
 BREAKS = r"\s,.;:!?，。；：！？、"
 NUMBER = r"(?U)\d+(?:[.,:/-]\d+)*%?"
 LATIN_WORD = "[A-Za-z]+(?:'[A-Za-z]+)?"
@@ -152,11 +153,9 @@ def redact(text: Column, secrets: Sequence[str]) -> Column:
 
 
 def replace_all(text: Column, pairs: Sequence[tuple[str, str | None]]) -> Column:
-    """Plain replacements in order; a null target is skipped."""
-    for source, target in pairs:
-        if target is not None and source:
-            text = F.replace(text, F.lit(source), F.lit(target))
-    return text
+    """Plain replacements in order, as a fold over one array; a null target is skipped."""
+    used = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs if a and b is not None]
+    return F.aggregate(F.array(*used), text, lambda t, p: F.replace(t, p["a"], p["b"])) if used else text
 
 
 def needs_space(left: Column, right: Column) -> Column:

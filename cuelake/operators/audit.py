@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 
 
 def transcript_summary(docs: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
@@ -80,7 +79,3 @@ def stage_order_check(events: DataFrame, stages: list[str]) -> DataFrame:
     after = spans.select("doc_id", F.col("stage").alias("next_stage"), (F.col("_n") - 1).alias("_n"), F.col("_first").alias("_next"))
     met = spans.join(after, ["doc_id", "_n"])
     return met.where(F.col("_last") > F.col("_next")).select("doc_id", "stage", "next_stage")
-
-
-def redact_table(table: DataFrame, columns: list[str], secrets: list[str]) -> DataFrame:
-    return table.withColumns({c: T.redact(F.col(c), secrets) for c in columns})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -39,16 +39,29 @@ class QualityOptions:
             raise ValueError("limits must be positive")
 
 
-def glossary_match(cues: DataFrame, glossary: DataFrame) -> DataFrame:
-    """doc_id, seq, source: the first glossary entry, by ord, whose source is in the text and whose target isn't in the translation.
+def glossary_rows(glossary: DataFrame | None) -> list[Row]:
+    """The ordered glossary; it is configuration, refused above 10,000 entries."""
+    if glossary is None:
+        return []
+    rows = glossary.orderBy("ord").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("a glossary has 10,000 entries at most")
+    return rows
 
-    The glossary is a configuration table; Spark broadcasts it only below its size threshold.
-    """
+
+def first_term(glossary: DataFrame | None) -> Column:
+    """The first glossary entry's source, by ord, that is in the best text and whose target isn't in the translation."""
+    terms = [F.struct(F.lit(r.source).alias("source"), F.lit(r.target).alias("target")) for r in glossary_rows(glossary) if r.target is not None]
+    if not terms:
+        return F.lit(None).cast("string")
     best = T.best_text(F.col("corrected_text"), F.col("source_text"))
-    texts = cues.select("doc_id", "seq", best.alias("_text"), F.col("translated_text").alias("_translated"))
-    terms = glossary.where("target IS NOT NULL").select("ord", "source", "target")
-    hit = texts.join(terms, F.contains("_text", "source") & ~F.contains("_translated", "target"))
-    return hit.groupBy("doc_id", "seq").agg(F.min_by("source", "ord").alias("source"))
+    missed = F.filter(F.array(*terms), lambda x: F.contains(best, x["source"]) & ~F.contains(F.col("translated_text"), x["target"]))
+    return F.get(missed, F.lit(0))["source"]
+
+
+def glossary_match(cues: DataFrame, glossary: DataFrame) -> DataFrame:
+    """doc_id, seq, source: cues with the glossary entry that first_term() finds; the entries are one literal, no join."""
+    return cues.select("doc_id", "seq", first_term(glossary).alias("source")).where("source IS NOT NULL")
 
 
 def _issue(order: int, code: str, severity: str, when: Column, message: Column | str, measured: Column | None = None, label: Column | None = None, place: Column | None = None) -> Column:
@@ -76,10 +89,7 @@ def check_quality(cues: DataFrame, cue_docs: DataFrame, options: QualityOptions
     w = Window.partitionBy("doc_id").orderBy("seq")
     rows = rows.withColumns({"_before": F.lag("end_ms").over(w), "_before_id": F.lag("cue_id").over(w)})
     rows = rows.join(cue_docs.select("doc_id", "target_language"), "doc_id", "left")
-    if glossary is not None:
-        rows = rows.join(glossary_match(cues, glossary).withColumnRenamed("source", "_term"), ["doc_id", "seq"], "left")
-    else:
-        rows = rows.withColumn("_term", F.lit(None).cast("string"))
+    rows = rows.withColumn("_term", first_term(glossary))
     src, cor, tra, target = (F.col(c) for c in ("source_text", "corrected_text", "translated_text", "target_language"))
     has_target = F.coalesce(F.length(target) > 0, F.lit(False))
     checked = has_target & F.coalesce(F.length(tra) > 0, F.lit(False))
@@ -108,18 +118,24 @@ def check_quality(cues: DataFrame, cue_docs: DataFrame, options: QualityOptions
         _issue(15, "overlap", "error", F.col("start_ms") < F.col("_before"), F.concat(F.lit("cue overlaps previous cue "), F.col("_before_id"))),
     ]
 
+    # Lines and their measures are columns of their own, so that the rules don't wrap a text again and again.
+    variants = {"source": src, "corrected": cor, "translated": tra}
+    rows = rows.withColumns({f"_{k}_lines": T.display_lines(v, o.max_line_chars, o.max_lines) for k, v in variants.items()})
+    measures = lambda x: F.struct(F.length(x).alias("chars"), T.cjk_count(x).alias("cjk"), T.latin_words(x).alias("words"))
+    rows = rows.withColumns({f"_{k}_lines": F.transform(f"_{k}_lines", measures) for k in variants})
+
     def layout(text: Column, label: str, base: int) -> list[Column]:
         """Issues of one text variant: line count, longest line, two rules line by line, reading speed."""
-        lines = T.display_lines(text, o.max_line_chars, o.max_lines)
-        longest = F.array_max(F.transform(lines, F.length))
-        speed = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x)) / (duration / 1000.0)
+        lines = F.col(f"_{label}_lines")
+        longest = F.array_max(F.transform(lines, lambda x: x["chars"]))
+        speed = F.aggregate(lines, F.lit(0), lambda n, x: n + x["chars"]) / (duration / 1000.0)
         tag, there = F.lit(label), text.isNotNull()
         per_line = F.flatten(
             F.transform(
                 lines,
                 lambda line, k: F.array(
-                    _issue(base + 2, "cjk_line_too_long", "warning", T.cjk_count(line) > o.max_chars_cjk, F.concat(F.lit(f"{label} line has "), T.cjk_count(line).cast("string"), F.lit(f" CJK characters; maximum is {o.max_chars_cjk}")), T.cjk_count(line), tag, k * 2),
-                    _issue(base + 2, "latin_words_exceeded", "warning", T.latin_words(line) > o.max_words_latin, F.concat(F.lit(f"{label} line has "), T.latin_words(line).cast("string"), F.lit(f" Latin words; maximum is {o.max_words_latin}")), T.latin_words(line), tag, k * 2 + 1),
+                    _issue(base + 2, "cjk_line_too_long", "warning", line["cjk"] > o.max_chars_cjk, F.concat(F.lit(f"{label} line has "), line["cjk"].cast("string"), F.lit(f" CJK characters; maximum is {o.max_chars_cjk}")), line["cjk"], tag, k * 2),
+                    _issue(base + 2, "latin_words_exceeded", "warning", line["words"] > o.max_words_latin, F.concat(F.lit(f"{label} line has "), line["words"].cast("string"), F.lit(f" Latin words; maximum is {o.max_words_latin}")), line["words"], tag, k * 2 + 1),
                 ),
             )
         )
@@ -131,7 +147,7 @@ def check_quality(cues: DataFrame, cue_docs: DataFrame, options: QualityOptions
         return [head, F.coalesce(per_line, F.array_except(head, head))]
 
     parts = [F.array(*simple)]
-    for k, (label, text) in enumerate((("source", src), ("corrected", cor), ("translated", tra))):
+    for k, (label, text) in enumerate(variants.items()):
         parts += layout(text, label, 20 + 10 * k)
     found = rows.withColumn("_issue", F.explode(F.sort_array(F.array_compact(F.concat(*parts)))))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "_issue.ord"))

@@ -1,12 +1,13 @@
 """From timed words to cues: pieces, windows, boundaries, readability cuts.
 
-Tables are dealt once by doc_id and every window here partitions by it, so Spark
-keeps one exchange for the whole stage.
+Windows partition by doc_id, and boundaries meet their pieces by (doc_id, seq), or by
+(doc_id, window_id) in windows; the greedy cutter deals spans by (doc_id, span). Where
+boundaries come from the rows of the pieces themselves they are a column, not a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -63,10 +64,19 @@ def token_windows(pieces: DataFrame, size: int = 800, overlap: int = 0) -> DataF
     return out.withColumn("is_owner", F.floor(F.col("_i") / size) == F.col("window_id")).drop("_i", "_n")
 
 
-def rule_boundaries(pieces: DataFrame) -> DataFrame:
+def ends_by_rule(last: Column, silence_ms: int) -> Column:
+    return T.ends_sentence(F.col("text")) | (F.col("gap_after_ms") >= silence_ms) | last
+
+
+def rule_boundaries(pieces: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
     """doc_id, seq: pieces that end a sentence, precede a silence or come last. Needs gap_after_ms."""
     marked = pieces.withColumn("_last", is_last())
-    return marked.where(T.ends_sentence(F.col("text")) | (F.col("gap_after_ms") >= SILENCE_MS) | F.col("_last")).select("doc_id", "seq")
+    return marked.where(ends_by_rule(F.col("_last"), silence_ms)).select("doc_id", "seq")
+
+
+def rule_cues(pieces: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
+    """The cues that build_cues makes of rule_boundaries, without a join of the pieces with themselves."""
+    return _cues_of(pieces.withColumn("_last", is_last()).withColumn("_cut", ends_by_rule(F.col("_last"), silence_ms).cast("int")))
 
 
 def sentence_boundaries(windows: DataFrame) -> DataFrame:
@@ -83,7 +93,7 @@ def validate_boundaries(windows: DataFrame, choices: DataFrame) -> DataFrame:
     return windows.select("doc_id", "window_id").distinct().join(good, ["doc_id", "window_id"], "left").select("doc_id", "window_id", F.coalesce("good", F.lit(False)).alias("valid"))
 
 
-def merge_window_boundaries(windows: DataFrame, choices: DataFrame, outcomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def merge_window_boundaries(windows: DataFrame, choices: DataFrame, outcomes: DataFrame | None = None, silence_ms: int = SILENCE_MS) -> tuple[DataFrame, DataFrame]:
     """Boundaries (doc_id, seq) and the documents that fell back to the rules.
 
     Of a valid window the chosen owners count, or its last owner if none was chosen; a
@@ -100,8 +110,7 @@ def merge_window_boundaries(windows: DataFrame, choices: DataFrame, outcomes: Da
         {"_last": is_last("window_id"), "_any": F.bool_or(F.coalesce("picked", F.lit(False))).over(Window.partitionBy("doc_id", "window_id"))}
     )
     chosen = F.coalesce("picked", F.lit(False)) | (F.col("_last") & ~F.col("_any"))
-    by_rule = T.ends_sentence(F.col("text")) | (F.col("gap_after_ms") >= SILENCE_MS) | F.col("_last")
-    boundaries = near.where(F.when(F.col("valid"), chosen).otherwise(by_rule)).select("doc_id", "seq").distinct()
+    boundaries = near.where(F.when(F.col("valid"), chosen).otherwise(ends_by_rule(F.col("_last"), silence_ms))).select("doc_id", "seq").distinct()
     return boundaries, state.where("NOT valid").select("doc_id").distinct()
 
 
@@ -194,18 +203,17 @@ def constrain_boundaries(pieces: DataFrame, proposed: DataFrame, limits: Limits
     return dealt.mapInArrow(run, f"doc_id {kind.simpleString()}, seq {seq_kind.simpleString()}")
 
 
-def join_pieces(parts: Column) -> Column:
-    """The text of an ordered array of structs with a field text."""
-    step = lambda text, part: F.concat(text, F.when(T.needs_space(text, part["text"]), F.lit(" ")).otherwise(F.lit("")), part["text"])
-    return F.aggregate(parts, F.lit(""), step)
-
-
 def build_cues(pieces: DataFrame, boundaries: DataFrame) -> DataFrame:
     """doc_id, seq, cue_id, start_ms, end_ms, source_text, corrected_text, translated_text, source_word_ids, warnings."""
     cut = boundaries.select("doc_id", "seq").distinct().withColumn("_cut", F.lit(1))
+    return _cues_of(pieces.join(cut, ["doc_id", "seq"], "left"))
+
+
+def _cues_of(marked: DataFrame) -> DataFrame:
+    """Cues of pieces with _cut: 1 for the last piece of a cue, 0 or null for others."""
     w = in_order()
     before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    spaced = pieces.join(cut, ["doc_id", "seq"], "left").withColumns(
+    spaced = marked.withColumns(
         {"_cue": F.coalesce(F.sum("_cut").over(before), F.lit(0)) + 1, "_before": F.lag("text").over(w)}
     )
     # Only the first piece of a cue has no separator; cue texts are then plain concatenations.
@@ -239,12 +247,22 @@ def segment_warnings(cues: DataFrame, pieces: DataFrame, fallback_docs: DataFram
     return add_warning(out, long.where((F.col("n") == 0) & (F.col("longest") > limits.max_duration_ms)), "atomic_segment_too_long")
 
 
-def segment(words: DataFrame, segments: DataFrame, chooser=sentence_boundaries, size: int = 800, overlap: int = 0, limits: Limits = Limits(), outcomes: DataFrame | None = None) -> DataFrame:
-    """The whole stage. chooser: window tokens to (doc_id, window_id, piece_id) rows."""
-    pieces = gap_after(make_pieces(words, segments))
+def segment(
+    words: DataFrame, segments: DataFrame, chooser=sentence_boundaries, size: int = 800, overlap: int = 0, limits: Limits = Limits(), outcomes: DataFrame | None = None,
+    silence_ms: int = SILENCE_MS, keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
+) -> DataFrame:
+    """The whole stage.
+
+    chooser: window tokens to (doc_id, window_id, piece_id) rows, or to a pair of these and outcomes
+    (doc_id, window_id, error_type). keep stores a table that several steps read.
+    """
+    pieces = keep("pieces", gap_after(make_pieces(words, segments)))
     windows = token_windows(pieces, size, overlap)
-    boundaries, fallback = merge_window_boundaries(windows, chooser(windows), outcomes)
-    cues = build_cues(pieces, constrain_boundaries(pieces, boundaries, limits))
+    choices = chooser(windows)
+    if isinstance(choices, tuple):
+        choices, outcomes = choices
+    boundaries, fallback = merge_window_boundaries(windows, choices, outcomes, silence_ms)
+    cues = build_cues(pieces, keep("cuts", constrain_boundaries(pieces, boundaries, limits)))
     return segment_warnings(cues, pieces, fallback, limits)
 
 

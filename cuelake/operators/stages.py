@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .quality import select_repair_cues
+from ..sources.sinks import shared_folder, write_stage_tables
+from .quality import glossary_rows, select_repair_cues
 
 STYLE_RULES = ("faithful", "concise", "subtitle-readable")
 ITEM = "struct<id: string, text: string>"
@@ -30,10 +32,14 @@ def split_batches(items: DataFrame, size: int) -> DataFrame:
     return items.withColumn("_n", n).withColumns({"batch_id": F.floor(F.col("_n") / size).cast("int"), "pos": (F.col("_n") % size).cast("int")}).drop("_n")
 
 
-def neighbour_context(batched: DataFrame, reach: int = 2) -> DataFrame:
-    """doc_id, batch_id, items, before, after, style_rules: one row a batch with the items next to it.
+#: What a request says of its document, and one glossary entry in it.
+CONTENT, ENTRY = "struct<summary: string, domain: string, tone: string>", "struct<source: string, target: string, note: string>"
 
-    batched: doc_id, seq, batch_id, pos, id, text.
+
+def neighbour_context(batched: DataFrame, reach: int = 2, contexts: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
+    """doc_id, batch_id, items, before, after, style_rules, content, glossary: one row a batch with the items next to it.
+
+    batched: doc_id, seq, batch_id, pos, id, text. content: the document's row of contexts, empty without one.
     """
     w = Window.partitionBy("doc_id").orderBy("seq")
     item = F.struct("id", "text")
@@ -43,46 +49,63 @@ def neighbour_context(batched: DataFrame, reach: int = 2) -> DataFrame:
         F.min_by("_before", "pos").alias("before"),
         F.max_by("_after", "pos").alias("after"),
     )
-    return grouped.select("doc_id", "batch_id", F.transform("_items", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))).alias("items"), "before", "after", F.array(*map(F.lit, STYLE_RULES)).alias("style_rules"))
+    fields = ("summary", "domain", "tone")
+    none = F.struct(*(F.lit("").alias(c) for c in fields))
+    if contexts is None:
+        grouped = grouped.withColumn("content", none)
+    else:
+        content = contexts.select("doc_id", F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in fields)).alias("content"))
+        grouped = grouped.join(content, "doc_id", "left").withColumn("content", F.coalesce("content", none))
+    text = lambda x: F.lit(x).cast("string")
+    entries = [F.struct(*(text(v).alias(c) for c, v in zip(("source", "target", "note"), e, strict=True))) for e in glossary_entries(glossary)]
+    return grouped.select(
+        "doc_id", "batch_id", F.transform("_items", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))).alias("items"), "before", "after",
+        F.array(*map(F.lit, STYLE_RULES)).alias("style_rules"), "content", F.array(*entries).cast(f"array<{ENTRY}>").alias("glossary"),
+    )
+
+
+def with_retries(call: Callable[[], Any], retries: int, base_delay: float, max_delay: float) -> tuple[str | None, Any]:
+    """The error's name, if it failed, and the result; TransientError is tried again."""
+    for attempt in range(retries):
+        try:
+            return None, call()
+        except TransientError as e:
+            if attempt == retries - 1:
+                return type(e).__name__, None
+            time.sleep(min(max_delay, base_delay * 2**attempt) * random.uniform(0.5, 1.5))
+        except Exception as e:  # noqa: BLE001  errors are data
+            return type(e).__name__, None
+    raise AssertionError
 
 
 def transform_text(batches: DataFrame, make_fn: Callable[[], Callable[[list[dict], dict], dict[str, str]]], parallelism: int = 8, retries: int = 3, base_delay: float = 0.5, max_delay: float = 8.0) -> tuple[DataFrame, DataFrame]:
     """Calls a user function on each batch: updates (doc_id, batch_id, id, text) and outcomes (doc_id, batch_id, error_type).
 
     make_fn builds the function once for each partition, for example with a client.
-    The function gets a batch's items and its context (before, after, style_rules) and
-    returns texts by id. TransientError is tried again, with doubling delays; any
-    exception becomes the batch's error and leaves the other batches alone.
+    The function gets a batch's items and its context (before, after, style_rules, content,
+    glossary) and returns texts by id. TransientError is tried again, with doubling
+    delays; any exception becomes the batch's error and leaves the other batches alone.
+    Replies are stored in the shared folder, so that no reader, and no loss of an executor
+    after that, calls the function again.
     """
     if not 1 <= parallelism <= 100 or not 1 <= retries <= 10:
         raise ValueError("parallelism must be from 1 to 100 and retries from 1 to 10")
     schema = f"{batches.schema['doc_id'].dataType.simpleString()}"
 
-    def call(fn: Callable, items: list[dict], context: dict) -> tuple[str | None, dict[str, str]]:
-        for attempt in range(retries):
-            try:
-                return None, {str(k): str(v) for k, v in dict(fn(items, context)).items()}
-            except TransientError as e:
-                if attempt == retries - 1:
-                    return type(e).__name__, {}
-                time.sleep(min(max_delay, base_delay * 2**attempt) * random.uniform(0.5, 1.5))
-            except Exception as e:  # noqa: BLE001  errors are data
-                return type(e).__name__, {}
-        raise AssertionError
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_fn()
         for frame in frames:
             out: list[dict[str, Any]] = []
             for r in frame.to_dict("records"):
                 items = [dict(x) for x in r["items"]]
-                error, texts = call(fn, items, {"before": [dict(x) for x in r["before"]], "after": [dict(x) for x in r["after"]], "style_rules": list(r["style_rules"])})
+                context = {c: [dict(x) for x in r[c]] for c in ("before", "after", "glossary")} | {"style_rules": list(r["style_rules"]), "content": dict(r["content"])}
+                error, found = with_retries(lambda: dict(fn(items, context)), retries, base_delay, max_delay)
+                texts = {str(k): str(v) for k, v in (found or {}).items()}
                 out.append({"doc_id": r["doc_id"], "batch_id": r["batch_id"], "error_type": error, "ids": list(texts), "texts": list(texts.values())})
             yield pd.DataFrame(out, columns=["doc_id", "batch_id", "error_type", "ids", "texts"])
 
     called = batches.repartition(parallelism, "doc_id", "batch_id").mapInPandas(run, f"doc_id {schema}, batch_id int, error_type string, ids array<string>, texts array<string>")
-    # Kept, since a second reader would call the function again.
-    called = called.persist()
+    called = write_stage_tables(f"replies-{uuid.uuid4().hex}", called, shared_folder(batches.sparkSession))
     updates = called.select("doc_id", "batch_id", F.explode(F.arrays_zip("ids", "texts")).alias("_u")).select("doc_id", "batch_id", F.col("_u.ids").alias("id"), F.col("_u.texts").alias("text"))
     return updates, called.select("doc_id", "batch_id", "error_type")
 
@@ -154,10 +177,13 @@ class NativeFns:
 
     repair = translation
 
-    def context(self, text: Column) -> Column:
-        return F.substring(T.strip(text), 1, 120)
+    def contexts(self, texts: DataFrame) -> DataFrame:
+        """doc_id, summary, domain, tone, error_type."""
+        failed = F.lit("PermanentError" if self.fail_stage == "context" else None).cast("string")
+        values = (F.substring(T.strip(F.col("text")), 1, 120).alias("summary"), F.lit("test").alias("domain"), F.lit("neutral").alias("tone"))
+        return texts.select("doc_id", *values, failed.alias("error_type"))
 
-    def outcomes(self, requests: DataFrame, stage: str, target: str | None) -> tuple[DataFrame, DataFrame]:
+    def outcomes(self, requests: DataFrame, stage: str, target: str | None, how: Any = None, contexts: DataFrame | None = None, glossary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         failed = F.lit("PermanentError" if self.fail_stage == stage else None).cast("string")
         done = requests.select("doc_id", "batch_id").distinct().withColumn("error_type", failed)
         return requests.select("doc_id", "batch_id", "id", getattr(self, stage)(F.col("text"), target).alias("text")), done
@@ -168,13 +194,72 @@ def default_text_fns(fail_stage: str | None = None) -> NativeFns:
 
 
 class UserFns:
-    """Stage functions by user code. make: stage to a factory of (items, context) functions, as transform_text takes it."""
+    """Stage functions by user code.
+
+    make: correction, translation, repair to a factory of (items, context) functions, as
+    transform_text takes it; context, if there is one, to a factory of a function from a
+    text to a summary, a domain and a tone by name. Stages' own options go before
+    parallelism and retries.
+    """
 
     def __init__(self, make: dict[str, Callable[[], Callable]], parallelism: int = 8, retries: int = 3):
         self.make, self.parallelism, self.retries = make, parallelism, retries
 
-    def outcomes(self, requests: DataFrame, stage: str, target: str | None) -> tuple[DataFrame, DataFrame]:
-        return transform_text(neighbour_context(requests), self.make[stage], self.parallelism, self.retries)
+    def contexts(self, texts: DataFrame) -> DataFrame:
+        """doc_id, summary, domain, tone, error_type; each text is given to the function once, and the replies are stored."""
+        kind, make, retries = texts.schema["doc_id"].dataType.simpleString(), self.make.get("context"), self.retries
+        if make is None:
+            none = F.lit("")
+            return texts.select("doc_id", none.alias("summary"), none.alias("domain"), none.alias("tone"), F.lit(None).cast("string").alias("error_type"))
+        names = ["summary", "domain", "tone"]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fn = make()
+            for frame in frames:
+                out = []
+                for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                    error, found = with_retries(lambda text=text: dict(fn(text)), retries, 0.5, 8.0)
+                    out.append((doc_id, *(str((found or {}).get(c) or "") for c in names), error))
+                yield pd.DataFrame(out, columns=["doc_id", *names, "error_type"])
+
+        called = texts.select("doc_id", "text").repartition(self.parallelism, "doc_id").mapInPandas(run, f"doc_id {kind}, summary string, domain string, tone string, error_type string")
+        return write_stage_tables(f"contexts-{uuid.uuid4().hex}", called, shared_folder(texts.sparkSession))
+
+    def outcomes(self, requests: DataFrame, stage: str, target: str | None, how: Any = None, contexts: DataFrame | None = None, glossary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        if stage not in self.make:
+            raise ValueError(f"no user function for the stage {stage}")
+        batches = neighbour_context(requests, contexts=contexts, glossary=glossary)
+        if how is None:
+            return transform_text(batches, self.make[stage], self.parallelism, self.retries)
+        return transform_text(batches, self.make[stage], how.parallelism, how.retries, how.base_delay, how.max_delay)
+
+
+def user_chooser(make: Callable[[], Callable], parallelism: int = 4, retries: int = 3) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """A chooser for segment() by user code: the function gets a window's tokens (id, text, gap_after_ms) and returns the ids after which to cut.
+
+    A window whose call fails has an error in the outcomes and gets the rules' boundaries.
+    """
+
+    def choose(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        kind, window = windows.schema["doc_id"].dataType.simpleString(), windows.schema["window_id"].dataType.simpleString()
+        tokens = F.sort_array(F.collect_list(F.struct("seq", F.col("piece_id").alias("id"), "text", "gap_after_ms")))
+        rows = windows.groupBy("doc_id", "window_id").agg(tokens.alias("tokens"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fn = make()
+            for frame in frames:
+                out = []
+                for r in frame.to_dict("records"):
+                    own = [{c: x[c] for c in ("id", "text", "gap_after_ms")} for x in r["tokens"]]
+                    error, found = with_retries(lambda own=own: [str(x) for x in fn(own)], retries, 0.5, 8.0)
+                    out.append((r["doc_id"], r["window_id"], error, found or []))
+                yield pd.DataFrame(out, columns=["doc_id", "window_id", "error_type", "ids"])
+
+        called = rows.repartition(parallelism, "doc_id", "window_id").mapInPandas(run, f"doc_id {kind}, window_id {window}, error_type string, ids array<string>")
+        called = write_stage_tables(f"choices-{uuid.uuid4().hex}", called, shared_folder(windows.sparkSession))
+        return called.select("doc_id", "window_id", F.explode("ids").alias("piece_id")), called.select("doc_id", "window_id", "error_type")
+
+    return choose
 
 
 def requests_of(cues: DataFrame, text: Column, size: int) -> DataFrame:
@@ -186,10 +271,10 @@ def _best() -> Column:
     return T.best_text(F.col("corrected_text"), F.col("source_text"))
 
 
-def correct(cues: DataFrame, fns: Any = None, batch_size: int = 30, max_change_ratio: float = 0.5) -> DataFrame:
-    """Fills corrected_text of the batches whose corrections are sound."""
+def correct(cues: DataFrame, fns: Any = None, batch_size: int = 30, max_change_ratio: float = 0.5, **request: Any) -> DataFrame:
+    """Fills corrected_text of the batches whose corrections are sound. request: how, contexts and glossary for user functions."""
     requests = requests_of(cues, F.col("source_text"), batch_size)
-    updates, outcomes = (fns or NativeFns()).outcomes(requests, "correction", None)
+    updates, outcomes = (fns or NativeFns()).outcomes(requests, "correction", None, **request)
     return apply_text_stage(cues, *collect_outcomes(requests, updates, "correction", outcomes, max_change_ratio), "corrected_text")
 
 
@@ -208,38 +293,32 @@ def cleanup(cues: DataFrame, fillers: Sequence[str] = (), markers: Sequence[str]
     ).select(*cues.columns)
 
 
-def glossary_pairs(glossary: DataFrame | None) -> list[tuple[str, str | None]]:
-    """The ordered glossary as literals; it is configuration, refused above 10,000 entries."""
-    if glossary is None:
-        return []
-    rows = glossary.orderBy("ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a glossary has 10,000 entries at most")
-    return [(r.source, r.target) for r in rows]
+def glossary_entries(glossary: DataFrame | None) -> list[tuple[str, str | None, str | None]]:
+    return [(r.source, r.target, r.note) for r in glossary_rows(glossary)]
 
 
 def apply_glossary(text: Column, glossary: DataFrame | None) -> Column:
-    return T.replace_all(text, glossary_pairs(glossary))
+    return T.replace_all(text, [(r.source, r.target) for r in glossary_rows(glossary)])
 
 
 def _translated(values: DataFrame, glossary: DataFrame | None) -> DataFrame:
     return values.withColumn("text", apply_glossary(F.col("text"), glossary))
 
 
-def translate(cues: DataFrame, cue_docs: DataFrame, target: str, fns: Any = None, batch_size: int = 30, glossary: DataFrame | None = None, allow_partial: bool = True) -> tuple[DataFrame, DataFrame]:
+def translate(cues: DataFrame, cue_docs: DataFrame, target: str, fns: Any = None, batch_size: int = 30, glossary: DataFrame | None = None, allow_partial: bool = True, **request: Any) -> tuple[DataFrame, DataFrame]:
     """Fills translated_text from the best text and sets each document's target language."""
     requests = requests_of(cues, _best(), batch_size)
-    updates, outcomes = (fns or NativeFns()).outcomes(requests, "translation", target)
+    updates, outcomes = (fns or NativeFns()).outcomes(requests, "translation", target, glossary=glossary, **request)
     values, warnings = collect_outcomes(requests, updates, "translation", outcomes)
     if not allow_partial and not warnings.isEmpty():
         raise ValueError("a translation failed and partial output is off")
     return apply_text_stage(cues, _translated(values, glossary), warnings, "translated_text"), cue_docs.withColumn("target_language", F.lit(target))
 
 
-def repair(cues: DataFrame, cue_docs: DataFrame, issues: DataFrame | None, target: str, fns: Any = None, batch_size: int = 20, glossary: DataFrame | None = None) -> DataFrame:
+def repair(cues: DataFrame, cue_docs: DataFrame, issues: DataFrame | None, target: str, fns: Any = None, batch_size: int = 20, glossary: DataFrame | None = None, **request: Any) -> DataFrame:
     """Translates cues with repairable issues once more, from the best text; failures keep the old text and add a warning."""
     requests = requests_of(select_repair_cues(cues, cue_docs, issues), _best(), batch_size)
-    updates, outcomes = (fns or NativeFns()).outcomes(requests, "repair", target)
+    updates, outcomes = (fns or NativeFns()).outcomes(requests, "repair", target, glossary=glossary, **request)
     values, warnings = collect_outcomes(requests, updates, "repair", outcomes)
     return apply_text_stage(cues, _translated(values, glossary), warnings, "translated_text")
 
@@ -253,23 +332,19 @@ def content_context(texts: DataFrame, fns: Any = None, limit: int = 50_000) -> D
 
     A failing context function gives an empty context and a warning.
     """
-    fns = fns or NativeFns()
-    failed = F.lit(getattr(fns, "fail_stage", None) == "context")
-    cut = F.length("text") > limit
-    empty = F.lit("")
-    return texts.select(
-        "doc_id",
-        F.when(failed, empty).otherwise(fns.context(truncate_text(F.col("text"), limit))).alias("summary"),
-        F.when(failed, empty).otherwise(F.lit("test")).alias("domain"),
-        F.when(failed, empty).otherwise(F.lit("neutral")).alias("tone"),
-        F.array_compact(F.array(F.when(cut, F.lit("context_analysis_truncated")), F.when(failed, F.lit("context_analysis_fallback:PermanentError")))).alias("warnings"),
-    )
+    cut = texts.select("doc_id", truncate_text(F.col("text"), limit).alias("text"))
+    long = texts.select("doc_id", (F.length("text") > limit).alias("_long"))
+    found = (fns or NativeFns()).contexts(cut).join(long, "doc_id")
+    failed = F.col("error_type").isNotNull()
+    fields = [F.when(failed, F.lit("")).otherwise(F.coalesce(c, F.lit(""))).alias(c) for c in ("summary", "domain", "tone")]
+    warnings = F.array(F.when(F.col("_long"), F.lit("context_analysis_truncated")), F.when(failed, F.concat(F.lit("context_analysis_fallback:"), "error_type")))
+    return found.select("doc_id", *fields, F.array_compact(warnings).alias("warnings"))
 
 
 def cue_texts(cues: DataFrame) -> DataFrame:
-    """doc_id, text: each document's source texts in order, joined by spaces."""
-    grouped = cues.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "source_text"))).alias("_t"))
-    return grouped.select("doc_id", F.array_join(F.col("_t.source_text"), " ").alias("text"))
+    """doc_id, text: each document's texts in order, the corrected ones where there are any, joined by spaces."""
+    grouped = cues.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", _best().alias("text")))).alias("_t"))
+    return grouped.select("doc_id", F.array_join(F.col("_t.text"), " ").alias("text"))
 
 
 def restore_order(results: DataFrame) -> DataFrame:

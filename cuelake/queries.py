@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -278,7 +276,7 @@ def cue_digest(cues: DataFrame) -> DataFrame:
 @query(with_(DOCUMENT_WORDS, "boundaries AS (SELECT doc_id, seq FROM pieces WHERE ends OR gap_after_ms >= 700 OR is_last)", CUES_OF) + f"SELECT {CUE_COLUMNS} FROM cues")
 def build_cues(spark, sf_dir):
     p = document_pieces(spark, sf_dir)
-    return cue_digest(S.build_cues(p, S.rule_boundaries(p)))
+    return cue_digest(S.rule_cues(p))
 
 
 @query(with_(DOCUMENT_WORDS, "boundaries AS (SELECT doc_id, seq FROM pieces WHERE is_last)", CUES_OF) + "SELECT doc_id, md5(source_text) AS joined FROM cues")
@@ -833,12 +831,6 @@ def stage_order_check(spark, sf_dir):
 # Whole pipelines
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """A new folder for stage tables in the shared folder; stored stages keep plans short."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stages-{uuid.uuid4().hex}"
-
-
 PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF, recursive=True)
 
 
@@ -846,7 +838,7 @@ PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF, recursive=True)
 def run_pipeline(spark, sf_dir):
     w = X.turn_words(spark, sf_dir)
     docs = w.select("doc_id").distinct().select("doc_id", F.lit("und").alias("language"), F.lit("t").alias("text"), F.lit("asr_native").alias("timing_origin"), F.lit("p").alias("provider"), F.lit("m").alias("model_name"))
-    out = P.run_pipeline(transcripts.Transcripts(docs, w, X.no_segments(w)), Options(), workdir=stage_dir(spark))
+    out = P.run_pipeline(transcripts.Transcripts(docs, w, X.no_segments(w)), Options())
     return out.cues.select("doc_id", "seq", "start_ms", "end_ms", "corrected_text", "translated_text")
 
 
@@ -858,7 +850,7 @@ REFINED = with_(TURN_CUES, "v AS (SELECT *, lag(start_ms) OVER w AS s, lag(end_m
 def refine(spark, sf_dir):
     """Documents with overlapping cues are quarantined, the others refined."""
     cues = X.conversation_cues(spark, sf_dir, translated=False)
-    out = P.refine(cues, X.cue_documents(cues, None), Options(target_language="fr"), workdir=stage_dir(spark))
+    out = P.refine(cues, X.cue_documents(cues, None), Options(target_language="fr"))
     return out.cues.select("doc_id", "seq", "start_ms", "end_ms", "corrected_text", "translated_text")
 
 
@@ -867,7 +859,7 @@ SELECT doc_id, count(*) AS n_cues, count(*) FILTER (WHERE length(array_to_string
 def readable_cues(spark, sf_dir):
     """The flagship: documents cut at sentence ends and silences, and how many cues are too fast or too long to read."""
     p = document_pieces(spark, sf_dir)
-    cues = S.build_cues(p, S.rule_boundaries(p))
+    cues = S.rule_cues(p)
     lines = T.wrap_text(F.col("source_text"), 42, 2)
     duration = F.col("end_ms") - F.col("start_ms")
     speed = F.length(F.array_join(lines, "")) / (duration / 1000.0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from datetime import datetime
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -162,8 +166,27 @@ def write_transcripts(docs: DataFrame, words: DataFrame, segments: DataFrame, st
     write_documents(body.select(F.concat("stem", F.lit(".transcript.json")).alias("rel_path"), "body"), out, overwrite)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local session may do without (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 def write_stage_tables(stage: str, table: DataFrame, workdir: str) -> DataFrame:
     """Stores a stage's table and reads it back, which also cuts its lineage."""
     path = f"{workdir}/{stage}"
     table.write.mode("overwrite").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def write_run_tables(spark: SparkSession, workdir: str, options: Any, events: Sequence[tuple[str, str, datetime]], secrets: Sequence[str] = ()) -> None:
+    """Stores the tables run (options as JSON, secrets masked) and events (stage, status, ts) beside the stage tables."""
+    body = json.dumps(asdict(options), ensure_ascii=False, sort_keys=True)
+    run = spark.createDataFrame([(body,)], "options string").select(T.redact(F.col("options"), secrets).alias("options"))
+    run.write.mode("overwrite").parquet(f"{workdir}/run")
+    spark.createDataFrame(list(events), "stage string, status string, ts timestamp").coalesce(1).write.mode("overwrite").parquet(f"{workdir}/events")
