@@ -7,8 +7,10 @@ pair has changed since it was queued is stale and skipped when it comes up. So a
 pre-token of n bytes takes O(n log n), which matters for pre-tokens of many
 thousand bytes.
 
-Texts of a task share one cache from pre-token to its packed ids, of at most
-``CACHE`` entries, so memory is bounded.
+Texts of a Python worker share one cache from pre-token to its packed ids, of at
+most ``CACHE_BYTES`` bytes; pre-tokens of over ``LONG`` characters are never kept. A
+pre-token that is long itself needs memory in proportion to its bytes, in plain
+arrays. ``round_trip`` encodes and decodes in one map, so that a task has one worker.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes; equal rows
 give equal results; other columns are not read; an empty table gives an empty
@@ -19,8 +21,9 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, partial
 from heapq import heappop, heappush
 from itertools import pairwise
 
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts, worker_held
 
-#: Entries of the cache of one Python worker.
-CACHE = 500_000
+#: Bytes of the cache of one Python worker, and what an entry takes besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 200
+#: Longer pre-tokens are not kept in the cache, and use arrays of machine integers.
+LONG = 4096
 LEAF_BITS = 8
 LEAF_MASK = (1 << LEAF_BITS) - 1
 BITS = [1 << k for k in range(1 << LEAF_BITS)]
@@ -46,29 +51,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.tokens = {i: t for t, i in ranks.items()}
+        self.ranks, self.split = ranks, regex.compile(pattern)
         self.bytes_of = [ranks[bytes([b])] for b in range(256)]
-        self.width = max(self.tokens) + 1
+        self.width = max(ranks.values()) + 1
+        #: The bytes of each id, None for ids that no token has.
+        self.tokens: list[bytes | None] = [None] * self.width
+        for t, i in ranks.items():
+            self.tokens[i] = t
         #: The queue: positions by rank, and bits of the ranks in use; empty between pre-tokens.
         self.buckets: dict[int, list[int]] = {}
         self.leaves = [0] * ((self.width >> LEAF_BITS) + 1)
         outer = self
 
         class Cache(dict):
-            """Packed ids by pre-token, in two generations of CACHE / 2: what the older one still serves moves up."""
+            """Packed ids by pre-token, in two generations of CACHE_BYTES / 2: what the older one still serves moves up."""
 
             older: dict[str, bytes] = {}
+            room = CACHE_BYTES // 2
 
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE // 2:
-                    self.older = dict(self)
-                    self.clear()
                 out = self.older.get(piece)
                 if out is None:
                     ids = outer.encode_piece(piece.encode())
                     out = struct.pack(f"<{len(ids)}I", *ids)
-                self[piece] = out
+                if len(piece) <= LONG:
+                    self.room -= ENTRY_BYTES + 4 * len(piece) + len(out)
+                    if self.room < 0:
+                        self.older, self.room = dict(self), CACHE_BYTES // 2
+                        self.clear()
+                    self[piece] = out
                 return out
 
         self.cache = Cache()
@@ -85,11 +96,12 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         width, merge, leaves, buckets = self.width, self.merge.get, self.leaves, self.buckets
-        ids = [self.bytes_of[b] for b in piece]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n = len(piece)
+        held = list if n <= LONG else partial(array, "i")
+        ids = held([self.bytes_of[b] for b in piece] if n <= LONG else map(self.bytes_of.__getitem__, piece))
+        after, before = held(range(1, n + 1)), held(range(-1, n - 1))
         #: The rank of the pair that begins at each position, -1 for none.
-        pair = [merge(a * width + b, -1) for a, b in pairwise(ids)]
+        pair = held(merge(a * width + b, -1) for a, b in pairwise(ids))
         pair.append(-1)
         summary = 0
         for i, rank in enumerate(pair):
@@ -142,10 +154,13 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.cache.__getitem__, self.split(text)))
+        if len(text) <= LONG * LONG:
+            return b"".join(map(self.cache.__getitem__, self.split.findall(text)))
+        return b"".join(self.cache[m[0]] for m in self.split.finditer(text))  # no list of all pre-tokens
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I").tolist()))
+        """The bytes of little-endian ids; an id of no token is an error."""
+        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
 def model(path: str, pattern: str) -> ByteBpe:
@@ -179,3 +194,16 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     rows = encoded.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded of each whole text: encode, then decode from the ids, in the same task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model(rank_path, pattern)
+        for batch in slices(batches):
+            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+            out = [bpe.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")

@@ -33,7 +33,7 @@ def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
