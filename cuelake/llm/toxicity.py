@@ -9,21 +9,27 @@ mark stands before each word's first character.
 
 Landmarks are all word stems of labelled training texts that tell toxic from other
 texts better than chance does: than the best stem under shuffled labels, the median
-of ``SHUFFLES`` of them. Their number has no other bound; time grows with it. The kernel of a sentence with a landmark is the largest of its words';
-a text is described by the largest, the mean and the dampened sum over its
-sentences. The Nyström map, K_mm^(-1/2), turns each of these into coordinates in
-which a linear machine with hinge loss is trained; a logistic curve turns its
-margin into a probability.
+of ``SHUFFLES`` of them. Their number has no other bound; time grows with it. The
+kernel of a sentence with a landmark is the largest of its words'; a text is
+described by the largest, the mean and the dampened sum over its sentences. The
+Nyström map, K_mm^(-1/2), turns each of these into coordinates in which a linear
+machine with squared hinge loss is trained; a logistic curve turns its margin into
+a probability.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows, those of the least hash of
-doc_id; this bounds the driver's memory. Scoring is a map over whole texts.
+doc_id. Of near copies with one label, by MinHash signatures, one row trains, since the
+words of a text that was copied would stand out by chance otherwise. Tasks compute
+signatures, count stems and compute features; the driver gets these for the rows, their
+labels, and the stems over chance with the rows that hold them, never a text. Scoring is
+a map over whole texts.
 
 Edge cases: null and empty texts have no sentences and get the score of a text
 without hits; rows with a null label do not train; labels of one class alone give
-a constant score; repeated labels count as toxic if one is; equal rows get equal
-scores; tokens of over ``PIECE`` characters are read in overlapping pieces, all of
-them; an empty table gives an empty table; only doc_id and text are read, and
-only text is an input of the score.
+a constant score; repeated labels count as toxic if one is; equal training rows
+count once; equal rows get equal scores; tokens of over ``PIECE`` characters are
+read in overlapping pieces, all of them; a run of a script without spaces is one
+token; single ASCII letters have no subsequence and no part; an empty table gives an
+empty table; only doc_id and text are read, and only text is an input of the score.
 """
 
 from __future__ import annotations
@@ -37,10 +43,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices, texts, worker_held
+from .common import crc_remainder, drop_stored, release_held, slices, stored, texts, worker_held
+from .nearjoin import grams, signature
 
 ORDER = 3
 DECAY = 0.7
@@ -54,8 +61,8 @@ TRAIN_ROWS = 6000
 PIECE = 24
 #: Entries of a worker's word cache.
 CACHE = 300_000
-MARK = "^"
-#: Character codes: a to z, the mark, and 37 classes for all others.
+MARK, PAD = "^", "$"
+#: A coarse code of a character, for a table that finds most words without a landmark's subsequence at once.
 LETTERS = 64
 INNER = re.compile(r"[\W_]+")
 SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
@@ -73,12 +80,17 @@ def forms(token: str) -> list[str]:
             out.append(MARK + w)
         else:
             out += [MARK + w[:PIECE], *(w[k : k + PIECE] for k in range(PIECE // 2, len(w), PIECE // 2))]
-    return [w for w in out if len(w) >= ORDER]
+    # Short words of ASCII letters are no words of their own; others, such as one ideograph, are filled up.
+    return [w if len(w) >= ORDER else w.ljust(ORDER, PAD) for w in out if len(w) >= ORDER or not w.isascii()]
 
 
-def codes(words: list[str]) -> np.ndarray:
-    """Character codes under ``LETTERS`` of words of one length, one row a word."""
-    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(words), -1)
+def characters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, one row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(words), -1)
+
+
+def coarse(points: np.ndarray) -> np.ndarray:
+    """Codes under ``LETTERS``: a to z, the mark, and classes of all other characters."""
     plain = (points >= 97) & (points <= 122)
     return np.where(plain, points - 97, np.where(points == ord(MARK), 26, 27 + points % (LETTERS - 27)))
 
@@ -90,19 +102,21 @@ def choices(width: int) -> tuple[np.ndarray, np.ndarray]:
     return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all subsequences of words of one length, and the weight of each place."""
-    places, weights = choices(len(words[0]))
-    c = codes(words)
+def keys_at(c: np.ndarray, places: np.ndarray, base: int) -> np.ndarray:
+    """One number for each subsequence, exact if codes are below base."""
     key = c[:, places[:, 0]]
     for k in range(1, ORDER):
-        key = key * LETTERS + c[:, places[:, k]]
-    return key, weights
+        key = key * base + c[:, places[:, k]]
+    return key
+
+
+POINTS = 1 << 21
 
 
 def length_norm(words: list[str]) -> np.ndarray:
     """Root of each word's kernel with itself; words of one length."""
-    key, weights = subsequences(words)
+    places, weights = choices(len(words[0]))
+    key = keys_at(characters(words), places, POINTS)
     order = np.argsort(key, axis=1, kind="stable")
     key, value = np.take_along_axis(key, order, 1), weights[order].astype(float)
     new = np.ones(key.shape, bool)
@@ -126,15 +140,19 @@ class Landmarks:
         self.words = words
         held: dict[int, np.ndarray] = {}
         self.norms = np.zeros(len(words))
+        rough: set[int] = set()
         for k, w in enumerate(words):
-            key, weights = subsequences([w])
-            for u, x in zip(key[0].tolist(), weights.tolist(), strict=True):
+            places, weights = choices(len(w))
+            points = characters([w])
+            for u, x in zip(keys_at(points, places, POINTS)[0].tolist(), weights.tolist(), strict=True):
                 held.setdefault(u, np.zeros(len(words), np.float32))[k] += x
+            rough.update(keys_at(coarse(points), places, LETTERS)[0].tolist())
             self.norms[k] = length_norm([w])[0]
-        #: The row of a subsequence in the table, 0 if no landmark has it.
-        self.row = np.zeros(LETTERS**ORDER, np.int32)
-        self.row[list(held)] = np.arange(1, len(held) + 1)
-        self.weights = np.vstack([np.zeros(len(words), np.float32), *held.values()])
+        #: Whether a subsequence may be a landmark's, by coarse codes; then the exact ones, ascending, and their weights.
+        self.maybe = np.zeros(LETTERS**ORDER, bool)
+        self.maybe[list(rough)] = True
+        self.exact = np.array(sorted(held), np.int64)
+        self.weights = np.vstack([*(held[u] for u in self.exact.tolist()), np.zeros(len(words), np.float32)])
         values, vectors = np.linalg.eigh(self.similar(words, 0.0).astype(float))
         keep = values > 1e-6
         #: The Nyström map K_mm^(-1/2).
@@ -149,18 +167,22 @@ class Landmarks:
         """
         out = np.zeros((len(words), len(self.words)), np.float32)
         for width, ks in by_length(words).items():
-            _, weights = choices(width)
+            places, weights = choices(width)
             floor = math.sqrt(float((weights.astype(float) ** 2).sum()))
             chunk = max(1, min(500_000, CELLS // len(self.words)) // len(weights))
             for at in range(0, len(ks), chunk):
                 some = np.array(ks[at : at + chunk])
-                key, weights = subsequences([words[k] for k in some])
-                row = self.row[key]
-                who, which = np.nonzero(row)
+                points = characters([words[k] for k in some])
+                who, which = np.nonzero(self.maybe[keys_at(coarse(points), places, LETTERS)])
                 raw = np.zeros((len(some), len(self.words)))
                 if len(who):
+                    key = points[who, places[which, 0]]
+                    for k in range(1, ORDER):
+                        key = key * POINTS + points[who, places[which, k]]
+                    row = np.minimum(np.searchsorted(self.exact, key), len(self.exact) - 1)
+                    row = np.where(self.exact[row] == key, row, len(self.exact))
                     starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                    raw[who[starts]] = np.add.reduceat(self.weights[row[who, which]] * weights[which][:, None], starts, axis=0)
+                    raw[who[starts]] = np.add.reduceat(self.weights[row] * weights[which][:, None], starts, axis=0)
                 raw /= self.norms
                 near = np.flatnonzero(raw.max(axis=1) >= least * floor * 0.999)
                 if len(near):
@@ -283,55 +305,77 @@ def coordinates(features: np.ndarray, landmarks: Landmarks) -> np.ndarray:
     return np.hstack([features[:, k * m : (k + 1) * m] @ landmarks.map for k in range(3)])
 
 
-def deviations(both: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
-    """How far counts of toxic texts lie over the expected ones, in deviations."""
-    return (both - share * n) / np.sqrt(n * share * (1 - share) + 1)
-
-
-def choose_landmarks(rows: list[tuple[str, int]]) -> list[str]:
-    """Stems that tell the labels apart better than chance, each found in at least three texts; near doubles are left out."""
-    held: dict[str, set[int]] = {}
-    toxic = np.array([y for _, y in rows], bool)
-    for k, (text, _) in enumerate(rows):
-        stems = set()
-        for token in set(text.lower().split()):
-            for w in forms(token):
-                if w[0] == MARK and len(w) <= PIECE:
-                    stems.update(w[:n] for n in range(5, min(len(w), 9)))
-                    stems.add(w)
-        for x in stems:
-            held.setdefault(x, set()).add(k)
-    common = [x for x, ks in held.items() if len(ks) >= 3]
-    if not common:
+def stems_of(text: str) -> set[str]:
+    """Marked words and their beginnings of five to eight characters, the mark counted."""
+    out = set()
+    for token in set(text.lower().split()):
+        for w in forms(token):
+            if w[0] == MARK and len(w) <= PIECE:
+                out.update(w[:n] for n in range(5, min(len(w), 9)))
+                out.add(w)
+    return out
+
+
+def count_stems(train: DataFrame, labels: np.ndarray) -> DataFrame:
+    """stem, n, and m0, m1 ...: of the rows that hold it, how many each row of labels marks. train: n (place in labels), text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
+        packed = (labels.astype(np.int64) << np.arange(len(labels))[:, None]).sum(axis=0)
+        for batch in slices(batches):
+            held = [list(stems_of(t)) for t in batch.column("text").to_pylist()]
+            bits = np.repeat(packed[batch.column("n").to_numpy()], [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array([x for y in held for x in y], pa.string()), pa.array(bits)], ["stem", "bits"])
+
+    rows = train.select("n", "text").mapInArrow(run, "stem string, bits bigint")
+    marked = [F.sum(F.shiftright("bits", k).bitwiseAND(1)).alias(f"m{k}") for k in range(len(labels))]
+    return rows.groupBy("stem").agg(F.count("*").alias("n"), *marked).where("n >= 3")
+
+
+def deviation(marked: Column, share: float) -> Column:
+    """How far a stem's count of toxic rows lies over the expected one, in deviations."""
+    return (marked - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n") + 1)
+
+
+def choose_landmarks(train: DataFrame, y: np.ndarray) -> list[str]:
+    """Stems that tell the labels apart better than chance, each found in at least three rows; near doubles are left out."""
+    rng, share = np.random.default_rng(5), float(y.mean())
+    counted = stored(count_stems(train, np.array([y, *(rng.permutation(y) for _ in range(SHUFFLES))])), "stems")
+    tops = counted.agg(*(F.max(deviation(F.col(f"m{k}"), share)) for k in range(1, SHUFFLES + 1))).first()
+    if tops[0] is None:
         return []
-    n = np.array([len(held[x]) for x in common])
-    postings = np.fromiter((k for x in common for k in held[x]), np.int32, int(n.sum()))
-    starts, share = np.cumsum(n) - n, toxic.sum() / max(1, len(rows))
-    over = lambda marks: deviations(np.add.reduceat(marks[postings], starts, dtype=np.int64), n, share)
-    rng = np.random.default_rng(5)
-    chance = float(np.median([over(rng.permutation(toxic)).max() for _ in range(SHUFFLES)]))
-    found = over(toxic)
-    ranked = [(-float(found[k]), -len(common[k]), common[k]) for k in np.flatnonzero(found > max(0.0, chance)).tolist()]
+    found = counted.select("stem", deviation(F.col("m0"), share).alias("over")).where(F.col("over") > max(0.0, float(np.median(tops))))
+    # Only stems over chance reach the driver, and then the rows that hold them.
+    ranked = [r.stem for r in found.orderBy(F.desc("over"), F.desc(F.length("stem")), "stem").collect()]
+    wanted = set(ranked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            pairs = [(x, n) for n, t in zip(batch.column("n").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in stems_of(t) & wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int64())], ["stem", "n"])
+
+    by_stem = {r.stem: set(r.rows) for r in train.select("n", "text").mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.collect_set("n").alias("rows")).collect()}
+    drop_stored(counted)
     chosen: list[str] = []
-    for _, _, x in sorted(ranked):
-        if all(len(held[x] & held[c]) < 0.6 * len(held[x] | held[c]) and not x.startswith(c) for c in chosen):
+    for x in ranked:
+        if all(len(by_stem[x] & by_stem[c]) < 0.6 * len(by_stem[x] | by_stem[c]) and not x.startswith(c) for c in chosen):
             chosen.append(x)
     return chosen
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.2, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Dual coordinate ascent for the hinge loss; the last weight is the bias."""
+def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.01, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Newton's steps on half the squared norm plus cost times the squared hinge losses; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     sign = np.where(y > 0, 1.0, -1.0)
-    size = (x * x).sum(axis=1)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    order = np.random.default_rng(7)
+    w = np.zeros(x.shape[1])
+    inside = np.ones(len(x), bool)
     for _ in range(rounds):
-        for k in order.permutation(len(x)):
-            step = min(max(alpha[k] + (1 - sign[k] * (x[k] @ w)) / size[k], 0), cost) - alpha[k]
-            if step:
-                alpha[k] += step
-                w += step * sign[k] * x[k]
+        near = x[inside]
+        w = np.linalg.solve(np.eye(len(w)) + 2 * cost * near.T @ near, 2 * cost * near.T @ sign[inside])
+        now = sign * (x @ w) < 1
+        if (now == inside).all():
+            break
+        inside = now
     return w[:-1], float(w[-1])
 
 
@@ -348,33 +392,87 @@ def fit_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_rows(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """A model of (text, label) rows. Repeated texts count once for each label."""
-    rows = sorted(set(rows))
-    y = np.array([r[1] for r in rows])
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """text_id, toxic, text of at most max_rows labelled rows that are not held out; equal rows once."""
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), 5) != 0))
+    marked = marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    first = lambda rows, *more: rows.orderBy(F.xxhash64("doc_id"), "doc_id", *more).limit(max_rows)
+    rows = texts(docs, F.xxhash64("text").alias("text_id"))
+    # Both tables that are sent have max_rows narrow rows at most.
+    narrow = rows.join(F.broadcast(first(marked)), "doc_id").select("doc_id", "text_id", "toxic").distinct()
+    met = rows.join(F.broadcast(first(narrow, "text_id", "toxic")), ["doc_id", "text_id"])
+    return met.select("text_id", "toxic", "text").dropDuplicates(["text_id", "toxic"])
+
+
+def near_groups(signatures: np.ndarray, band: int = 4) -> np.ndarray:
+    """The least row of each row's group: rows that share a band of their signatures, directly or through others."""
+    root = np.arange(len(signatures))
+    bands = [np.unique(signatures[:, k : k + band], axis=0, return_inverse=True)[1].ravel() for k in range(0, signatures.shape[1], band)]
+    while True:
+        before = root
+        for b in bands:
+            least = np.full(b.max(initial=0) + 1, len(root))
+            np.minimum.at(least, b, root)
+            root = least[b]
+        if (root == before).all():
+            return root
+
+
+def training_ids(train: DataFrame) -> pa.Table:
+    """text_id, toxic, n (0, 1 ...) of the training rows, one for each group of near copies and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sig = pa.array([signature(grams(t)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("toxic"), sig], ["text_id", "toxic", "sig"])
+
+    # At most TRAIN_ROWS rows of 512 bytes.
+    rows = train.select("text_id", "toxic", "text").mapInArrow(run, "text_id bigint, toxic int, sig binary").toArrow().sort_by([("text_id", "ascending"), ("toxic", "ascending")])
+    if not rows.num_rows:
+        return rows.select(["text_id", "toxic"])
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(rows.num_rows, -1)
+    _, first = np.unique(near_groups(sig) * 2 + rows.column("toxic").to_numpy(), return_index=True)
+    return rows.select(["text_id", "toxic"]).take(pa.array(np.sort(first))).append_column("n", pa.array(np.arange(len(first))))
+
+
+def features_of(train: DataFrame, landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Place and features of each training row, computed in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
+        pooler = Pooler(Landmarks(landmarks))
+        for batch in slices(batches):
+            found = pooler.pool(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))], ["n", "x"])
+
+    out = train.select("n", "text").mapInArrow(run, "n bigint, x array<double>").toArrow()
+    return out.column("n").to_numpy(), out.column("x").combine_chunks().flatten().to_numpy().reshape(out.num_rows, -1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> ToxicityModel:
+    """Learns from the labelled rows whose doc_id isn't held out, max_rows of them at most."""
+    train = stored(training_rows(docs, labels, max_rows), "toxicity-train")
+    ids = training_ids(train)
+    y = ids.column("toxic").to_numpy().astype(np.int64)
     none = np.zeros(0)
     rate = (y.sum() + 1) / (len(y) + 2)
     constant = ToxicityModel([], none, none, none, 0.0, (0.0, float(np.log(rate / (1 - rate)))))
-    chosen = choose_landmarks(rows) if 0 < y.sum() < len(y) else []
+    if not 0 < y.sum() < len(y):
+        return constant
+    places = docs.sparkSession.createDataFrame(ids)
+    held = train
+    train = held.join(F.broadcast(places), ["text_id", "toxic"])
+    chosen = choose_landmarks(train, y)
     if not chosen:
         return constant
-    marks = Landmarks(chosen)
-    x = coordinates(Pooler(marks).pool([r[0] for r in rows]), marks)
+    n, found = features_of(train, chosen)
+    drop_stored(held)
+    x = coordinates(found[np.argsort(n)], Landmarks(chosen))
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     weights, bias = train_svm((x - centre) / scale, y)
     return ToxicityModel(chosen, weights, centre, scale, bias, fit_curve((x - centre) / scale @ weights + bias, y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Learns from the labelled rows whose doc_id isn't held out, max_rows of them at most."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), 5) != 0))
-    marked = marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # The sample's size is bounded by max_rows.
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct().orderBy(F.xxhash64("text"), "text").limit(2 * max_rows).collect()
-    return fit_rows([(r.text, r.toxic) for r in rows])
-
-
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score of every row."""
 
