@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(jumped.select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("old")).alias("moved")), "labels")
         drop_stored(labels)
         labels = now.select("node", "label")
+        labels.stored_at = now.stored_at
         if now.where("moved").isEmpty():
+            drop_stored(both)
             return labels.union(alone.join(labels, "node", "left_anti"))

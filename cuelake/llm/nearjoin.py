@@ -1,23 +1,28 @@
 """n-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts are sets of word five-grams (lower case, split at white space). Documents
-with equal sets form a class, and one of each class goes on. A class has a
-MinHash signature, cut into ``TREES`` keys of ``DEPTH`` values. A tree is the sorted
-list of its keys, which is a prefix trie: neighbours that share a prefix of d
-values lie under one node. The prefix is shortened from ``DEPTH`` values on until
-a pair at the threshold is found in some tree with the target probability, and
-under each node the walk goes from the deepest prefixes, which tie up near equal
-classes at once, to that length; only classes that no deeper prefix has tied are
-compared again. Classes under one node whose signatures agree well enough are
-candidates. Candidates' connected groups come together with their sets, and all
-sets of a group are compared exactly, block against block, by products of 0/1
-matrices. A block pair returns a count of links and the least linked class for
-each class, never the pairs, so that output grows with the number of classes.
+Texts are sets of word five-grams (lower case, split at white space). Rows with
+equal sets form a class, and one of each class goes on. A class has a MinHash
+signature, cut into ``TREES`` keys of ``DEPTH`` values. A tree is the sorted list of
+its keys, which is a prefix trie: neighbours that share a prefix of d values lie
+under one node. The least prefix is the longest at which a pair at the threshold
+meets in some tree with the target probability. Classes that share it with none in
+a tree are done with that tree. Under a node the walk goes from the deepest prefixes,
+which tie up near equal classes at once, and shortens the prefix only for what they
+leave untied. A node of over ``CHUNK`` classes is dealt by its deeper prefixes to
+several tasks; one class of each tied group goes on from there, and these meet under
+the shorter prefix, block against block. So no task holds a large node.
+
+Classes under one node whose signatures agree well enough are candidates.
+Candidates' connected groups come together with their sets, and the sets of a group
+whose sizes allow the threshold are compared exactly, block against block, by
+products of 0/1 matrices. A block pair returns a count of links and a linked class
+for each class, never the pairs, so that output grows with the number of classes.
 
 Edge cases: null or empty texts have no grams and link to nothing; a text of one
-to four words is one gram; rows of equal doc_id count as one document in classes
-and as rows in counts; a row without doc_id links to nothing and has a null class;
-an empty table gives an empty table; other columns are not read.
+to four words is one gram; rows of one doc_id with several texts belong to the classes
+of their texts, one by one; equal rows are copies of each other in counts; a row
+without doc_id links to nothing and has a null class; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,15 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, mix64, slices, stored, texts, without, worker_held
+from .common import drop_stored, hot_join, maybe_in, mix64, slices, stored, text_key, texts, without, worker_held
 from .components import components
 
 GRAM = 5
 TREES, DEPTH = 16, 8
 #: Classes whose signatures agree in less than the threshold less this are no candidates: over five deviations.
 SLACK = 0.2
-#: Classes of one side of an exact comparison.
-BLOCK = 1024
+#: Classes under one trie node that a task compares at once, and of one side of an exact comparison.
+CHUNK, BLOCK = 2048, 1024
 #: Entries of a worker's word cache.
 CACHE = 500_000
 _rng = np.random.default_rng(20)
@@ -83,21 +88,27 @@ def signature(g: np.ndarray) -> np.ndarray:
     return out
 
 
+FINGERPRINT = ["n_grams", "f1", "f2"]
+
+
+def fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two 64-bit sums of each set."""
+    f1 = [int(g.sum(dtype=np.uint64).astype(np.int64)) for g in sets]
+    f2 = [int(mix64(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) for g in sets]
+    return [pa.array([len(g) for g in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_grams, f1, f2 (128-bit fingerprint of the set), sig (packed big-endian, so that bytes sort as values)."""
+    """doc_id, text_id, n_grams, f1, f2 (128-bit fingerprint of the set), sig (packed big-endian, so that bytes sort as values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, f1, f2, sig = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                g = grams(text)
-                n.append(len(g))
-                f1.append(int(g.sum(dtype=np.uint64).astype(np.int64)))
-                f2.append(int(mix64(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                sig.append(signature(g).astype(">u4").tobytes() if len(g) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_grams", "f1", "f2", "sig"])
+            sets = [grams(t) for t in batch.column("text").to_pylist()]
+            sig = pa.array([signature(g).astype(">u4").tobytes() if len(g) else None for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), *fingerprints(sets), sig], ["doc_id", "text_id", *FINGERPRINT, "sig"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_grams bigint, f1 bigint, f2 bigint, sig binary")
+    rows = texts(docs, text_key(F.col("doc_id"), F.col("text"))[1].alias("text_id"))
+    return rows.mapInArrow(run, "doc_id bigint, text_id bigint, n_grams bigint, f1 bigint, f2 bigint, sig binary")
 
 
 def prefix_length(threshold: float, recall: float) -> int:
@@ -161,28 +172,69 @@ def tie(sig: np.ndarray, own: np.ndarray, depth: int, least: float) -> np.ndarra
     return root
 
 
-def candidate_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """a, b: edges that join the classes of each candidate group; at most one for each class and tree."""
-    depth = prefix_length(threshold, recall)
-    keys = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'node', xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth}))))")).alias("k")
-    nodes = classes.select("rep", keys).select("rep", "k.tree", "k.node")
-    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").select("tree", "node")
-    under = nodes.join(shared, ["tree", "node"]).join(classes.select("rep", "sig"), "rep")
-    own = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
-    dealt = under.repartition("tree", "node").sortWithinPartitions("tree", "node", own)
-    least = threshold - SLACK
+def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Stretches of rows with equal keys, cut after every `most` rows; the batches come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last, n = None, 0
+    for batch in batches:
+        at = 0
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), strict=True)):
+            if key != last or n == most:
+                if k > at:
+                    held.append(batch.slice(at, k - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, last, n = [], k, key, 0
+            n += 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tied(rows: DataFrame, keys: list[str], depth: int, least: float, most: int) -> DataFrame:
+    """a, b: edges that join what is alike under a node; with tree and node: the classes that are left of a node in several parts.
+
+    rows: rep, tree, node, sig, parts (tasks that the node is in) and keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, ["tree", "node"]):
-            ids = rows.column("rep").to_numpy()
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(len(ids), -1)
-            tree = rows.column("tree")[0].as_py()
+        for t in pieces(batches, keys, most):
+            ids, tree, node = t.column("rep").to_numpy(), t.column("tree")[0].as_py(), t.column("node")[0].as_py()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(len(ids), -1)
             root = tie(sig, sig[:, tree * DEPTH : (tree + 1) * DEPTH], depth, least)
             far = root != np.arange(len(ids))
-            if far.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
+            left = ids[~far] if t.column("parts")[0].as_py() > 1 else ids[:0]
+            n, m = int(far.sum()), len(left)
+            if n or m:
+                place = [pa.array([None] * n + [x] * m, k) for x, k in ((tree, pa.int32()), (node, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[far], left]), pa.array(np.r_[ids[root[far]], left]), *place], ["a", "b", "tree", "node"])
+
+    own = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, own)
+    return dealt.select("rep", "tree", "node", "parts", "sig", *(k for k in keys if k not in ("tree", "node"))).mapInArrow(run, "a bigint, b bigint, tree int, node bigint")
+
 
-    return dealt.select("rep", "tree", "node", "sig").mapInArrow(run, "a bigint, b bigint")
+def candidate_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """a, b: edges that join the classes of each candidate group; at most a few for each class and tree."""
+    depth, least = prefix_length(threshold, recall), threshold - SLACK
+    keys = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'node', xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth}))))")).alias("k")
+    nodes = classes.select("rep", keys).select("rep", "k.tree", "k.node")
+    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("tree", "node", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    sigs = classes.select("rep", "sig")
+    under = nodes.join(shared, ["tree", "node"]).join(sigs, "rep")
+    # Classes of one full key stay together, unless these alone are too many.
+    whole = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    salt = F.when(F.col("parts") > 16, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0)
+    first = stored(tied(under.withColumn("part", F.pmod(F.xxhash64(whole, salt), F.col("parts")).cast("int")), ["tree", "node", "part"], depth, least, CHUNK), "tied")
+    heads = first.where("node IS NOT NULL").select(F.col("a").alias("rep"), "tree", "node")
+    blocks = heads.groupBy("tree", "node").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("n_blocks"))
+    placed = heads.join(blocks, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    placed = placed.select("rep", "tree", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.lit(1).alias("parts"))
+    second = tied(placed.join(sigs, "rep"), ["tree", "node", "low", "high"], depth, least, 4 * CHUNK)
+    return first.where("node IS NULL").select("a", "b").union(second.select("a", "b"))
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -206,23 +258,33 @@ def compare(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
 def verify(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """rep, links, root: of each class and block pair, the rows it is linked with and the least class of its linked group.
 
-    members: rep, size, cluster. A group of more than BLOCK classes is cut into blocks, and each pair of blocks is compared in a task of its own.
+    members: rep (the class), doc_id, n_grams, f1, f2, size, cluster. Classes of a group are put in bins by
+    size of set, so that linked ones are in one bin or in neighbouring ones, and a bin of more than
+    BLOCK classes is cut into blocks; each pair of blocks is compared in a task of its own.
     """
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    bins = members.withColumn("bin", F.floor(F.log("n_grams") / np.log(1 / threshold) + 1e-9).cast("int"))
+    blocks = stored(bins.groupBy("cluster", "bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")), "blocks")
+    up = blocks.select("cluster", (F.col("bin") - 1).alias("bin"), F.col("n_blocks").alias("n_up"))
+    down = blocks.select("cluster", (F.col("bin") + 1).alias("bin"), F.col("n_blocks").alias("n_down"))
+    counts = blocks.join(up, ["cluster", "bin"], "left").join(down, ["cluster", "bin"], "left").na.fill(0, ["n_up", "n_down"])
+    placed = bins.join(counts, ["cluster", "bin"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [grams(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), packed], ["rep", "grams"])
+            found = [grams(t) for t in batch.column("text").to_pylist()]
+            packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*fingerprints(found), packed], [*FINGERPRINT, "grams"])
 
     # Only texts that may be a member's are read on; their grams meet the members in a join.
-    rows = maybe_in(texts(docs).withColumnRenamed("doc_id", "rep"), "rep", members, "rep").where("maybe").select("rep", "text")
-    gathered = rows.mapInArrow(sets, "rep bigint, grams array<bigint>").dropDuplicates(["rep"])
-    pairs = gathered.join(placed, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    dealt = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "rep")
+    rows = maybe_in(texts(docs), F.col("doc_id"), members, "doc_id", "maybe").where("maybe").select("text")
+    gathered = rows.mapInArrow(sets, "n_grams bigint, f1 bigint, f2 bigint, grams array<bigint>").dropDuplicates(FINGERPRINT)
+    place = lambda bin_, block: F.shiftleft(bin_.cast("bigint"), 32) + block
+    others = lambda n, bin_: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: place(bin_, k))).otherwise(F.array().cast("array<bigint>"))
+    b = F.col("bin")
+    met = gathered.join(placed, FINGERPRINT).withColumn("block", place(b, F.col("block")))
+    met = met.withColumn("other", F.explode(F.concat(others("n_blocks", b), others("n_up", b + 1), others("n_down", b - 1))))
+    met = met.select("rep", "size", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "grams")
+    dealt = met.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["cluster", "low", "high"]):
@@ -248,38 +310,41 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
                 root = least
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(link @ size.astype(np.int64)), pa.array(root)], ["rep", "links", "root"])
 
-    return dealt.select("rep", "size", "cluster", "low", "high", "block", "grams").mapInArrow(run, "rep bigint, links bigint, root bigint")
+    return dealt.mapInArrow(run, "rep bigint, links bigint, root bigint")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
-    """doc_id, copy_id, class_id, n_copies, n_links for each row of docs.
+    """doc_id, copy_id, class_id, n_copies, n_links, text_id for each row of docs.
 
     copy_id: the least doc_id with the same grams; class_id: the least doc_id of the group that links join;
-    n_copies: rows with the same grams; n_links: other rows of similarity threshold or more, copies included.
+    n_copies: rows with the same grams; n_links: other rows of similarity threshold or more, copies included;
+    text_id: a hash of the text, which tells apart rows of equal doc_id.
     """
     sketched = stored(sketches(docs), "sketches")
     full = sketched.where("n_grams > 0 AND doc_id IS NOT NULL")
-    equal = full.groupBy("n_grams", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    rows = full.join(equal, ["n_grams", "f1", "f2"])
-    members = stored(rows.select("doc_id", "rep", "size"), "members")
-    classes = stored(rows.where("doc_id = rep").select("rep", "size", "sig").dropDuplicates(["rep"]), "classes")
+    equal = full.groupBy(*FINGERPRINT).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.min("sig").alias("sig"))
+    classes = stored(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
     clusters = components(candidate_links(classes, threshold, recall))
-    grouped = stored(classes.select("rep", "size").join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep"), "grouped")
+    grouped = stored(classes.drop("sig").join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep"), "grouped")
     found = stored(verify(docs, grouped, threshold), "links")
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links")).join(joined.select(F.col("node").alias("rep"), "label"), "rep")
-    linked = members.join(counts, "rep", "left").select(
-        "doc_id",
-        F.col("rep").alias("copy_id"),
-        F.coalesce("label", "rep").alias("class_id"),
-        F.col("size").alias("n_copies"),
-        (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-    )
-    none = sketched.where("n_grams = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"))
-    return linked.unionByName(none)
+    # Classes that nothing links are groups of their own.
+    labelled = classes.select("rep", *FINGERPRINT, "doc_id", "size").join(counts, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = stored(labelled, "labelled")
+    least = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "groups")
+    named = hot_join(labelled, least, ["label"], "n", ["rep"])
+    named = stored(named.select(*FINGERPRINT, F.col("doc_id").alias("copy_id"), "class_id", "size", F.coalesce("links", F.lit(0)).alias("links")), "named")
+    linked = hot_join(full.select("doc_id", "text_id", *FINGERPRINT), named, FINGERPRINT, "size", ["doc_id", "text_id"])
+    one = F.col("doc_id")
+    out = linked.select("doc_id", "copy_id", "class_id", F.col("size").alias("n_copies"), (F.col("size") - 1 + F.col("links")).alias("n_links"), "text_id")
+    none = sketched.where("n_grams = 0 OR doc_id IS NULL").select("doc_id", one.alias("copy_id"), one.alias("class_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links"), "text_id")
+    result = stored(out.unionByName(none), "near")
+    drop_stored(sketched, classes, grouped, found, labelled, least, named)
+    return result
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
     """The rows of docs, all columns, without those of a group's other documents; the least doc_id stays."""
-    gone = near_duplicates(docs, threshold, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return without(docs, "doc_id", stored(gone, "gone"), "gone_id")
+    gone = near_duplicates(docs, threshold, recall).where("doc_id <> class_id").select("doc_id", "text_id")
+    return without(docs, gone)

@@ -46,9 +46,11 @@ def corpus(seed=1, groups=40):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "chunk"), [(1024, 2048), (7, 2048), (1024, 4)])
+def test_against_brute_force(spark, monkeypatch, block, chunk):
+    """Small blocks and nodes cut to small pieces give the same groups and counts."""
     monkeypatch.setattr(nearjoin, "BLOCK", block)
+    monkeypatch.setattr(nearjoin, "CHUNK", chunk)
     rows = corpus()
     got = {r.doc_id: (r.class_id, r.n_links) for r in nearjoin.near_duplicates(docs(spark, rows)).collect()}
     assert got == brute(rows)
@@ -69,6 +71,21 @@ def test_repeated_null_and_empty(spark):
     assert nearjoin.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(0, a), (2, a), (2, b), (3, b)]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in nearjoin.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(0, 0, 1), (2, 0, 1), (2, 2, 1), (3, 2, 1)}
+    assert sorted((r.doc_id, r.text) for r in nearjoin.keep_one(docs(spark, rows)).collect()) == [(0, a), (2, b)]
+
+
+def test_clashing_columns(spark):
+    names = "doc_id bigint, text string, maybe string, may_go string, filter_bit string, k string, text_id string, gone_doc string"
+    rows = [(k, "some words that are all the same", *"abcdef") for k in range(3)]
+    kept = nearjoin.keep_one(spark.createDataFrame(rows, names))
+    assert [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
 def test_signature_agreement():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
