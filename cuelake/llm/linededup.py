@@ -2,16 +2,17 @@
 
 Lines are exploded with their positions and normalised to a key. Keys are hashed
 to 128 bits, distinct documents are counted for each hash, and the lines of keys
-over the threshold are dropped by position. Only hashes and positions are
-shuffled on the way; a common line becomes one row for each task before its
-shuffle, and in the join that finds the lines to drop, the side of the keys has
-one row for each key, so that AQE may split a hot key's other side.
+over the threshold are dropped by position. Up to there only hashes, ids and
+positions are shuffled; a common line becomes one row for each task before its
+shuffle, and the lines of hot keys are not dealt by key (``hot_join``). In the end
+the positions to drop meet the texts in a join that shuffles both.
 
 Edge cases: a null or empty text is one empty line; keys shorter than
 ``min_chars`` never count; several lines of a document with one key count once
 but are all dropped; rows with equal doc_id are one document, and all of them
 keep the line if theirs is the largest id; a null doc_id is an id below all
-others; an empty table gives an empty table; other columns are not read.
+others; an empty table gives an empty table; other columns are not read, but for
+those carried along in one struct.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import hot_join, stored, texts
 
 #: Characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,7 +34,7 @@ def line_key(line: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text_id, was_null, n_lines, n_dropped, kept: every row of docs with the text that stays; then the columns named in carry.
+    """doc_id, text_id, was_null, n_lines, n_dropped, kept, carried: every row of docs with the text that stays, and a struct of the columns named in carry.
 
     A line whose key has at least min_chars code points and is found in at least
     min_docs documents stays only in the largest doc_id that holds it. text_id is
@@ -46,14 +47,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry:
     hashed = keyed.select("doc_id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(29), F.col("key")).alias("h2"))
     # Null ids sort below all others and count as one document.
     held = hashed.select("h1", "h2", F.col("doc_id").isNull().alias("no_id"), "doc_id").distinct()
-    common = (
-        held.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
-    )
+    common = stored(held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs), "lines")
     drops = (
-        hashed.join(common, ["h1", "h2"])
+        hot_join(hashed, common, ["h1", "h2"], "n_docs", ["doc_id", "text_id", "pos"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "text_id")
         .agg(F.collect_set("pos").alias("drops"))
@@ -63,5 +59,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry:
     parts = joined.withColumn("lines", F.split("text", "\n", -1)).withColumn("n_lines", F.size("lines").cast("bigint"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    more = [F.col("carried").getField(c).alias(c) for c in carry]
-    return parts.select("doc_id", "text_id", "was_null", "n_lines", F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("bigint").alias("n_dropped"), kept.alias("kept"), *more)
+    return parts.select("doc_id", "text_id", "was_null", "n_lines", F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("bigint").alias("n_dropped"), kept.alias("kept"), "carried")
