@@ -8,8 +8,9 @@ the decoded bytes.
 
 Edge cases: null texts stay null through the filters and count as empty in the
 last stage; documents whose lines are all dropped stay with an empty text, since
-only the filtering stages remove documents; extra columns pass through; rows of
-equal doc_id are one document; an empty table gives an empty table.
+only the filtering stages remove documents; extra columns pass through, whatever
+their names; a filter removes a row by its doc_id and text together, so that rows of
+one doc_id with other texts stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe, decontam, linededup, nearjoin, toxicity
-from cuelake.llm.common import stored
+from cuelake.llm.common import drop_stored, stored
 from cuelake.llm.queries import split_pattern, table, tokenizer_file
 
 
@@ -30,10 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each without the lines that a later document holds too; n_chars follows."""
     kept = linededup.dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    out = kept.withColumn("text", F.when(F.col("was_null"), F.lit(None).cast("string")).otherwise(F.col("kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in docs.schema))
+    text = F.when(F.col("was_null"), F.lit(None).cast("string")).otherwise(F.col("kept"))
+    columns = {"doc_id": F.col("doc_id"), "text": text}
+    for c in docs.columns:
+        if c == "n_chars":
+            columns[c] = F.when(F.col("n_dropped") > 0, F.length(text)).otherwise(F.col("carried").getField(c))
+        elif c not in columns:
+            columns[c] = F.col("carried").getField(c)
+    return kept.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed), ids_sha256, decoded_sha256 of each whole text."""
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    coded = bpe.round_trip(docs, path, pattern)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -67,6 +72,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return docs
