@@ -1,192 +1,218 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are cut to lower-case words. Seeds are the word
-n-grams of the benchmark; a document's n-grams are joined with them, and the
-words under a seed of an item are the only ones a tile with that item can cover.
-Greedy string tiling over these words marks the longest common runs that don't
-overlap, found by running Karp-Rabin hashes, again and again until no run of
-``min_tile`` words is left. Runs may stand in any order, so reordered passages
-are caught. An item whose words are covered by tiles to ``threshold`` or more is
-contained in the document.
-
-The benchmark is read in blocks of bounded size, each of which is sent to the
-tasks; a larger benchmark takes more blocks, not larger ones. Documents are
-never shuffled. One task handles one document at a time.
-
-Edge cases: null or empty texts hold nothing; an item of fewer words than
-``min_tile`` counts as contained where its words stand in a row; items without
-words match nothing; equal rows give equal results; an empty documents or
+Documents and benchmark items are cut to lower-case words; a character of a script
+without spaces is a word of its own. Seeds are the hashes of the benchmark's word
+n-grams of ``min_tile`` words. A document's n-grams meet them in a join on the hash, so
+that only a document and an item that share seeds are looked at together; a fixed
+filter of 1 MB keeps nearly all other n-grams out of its shuffle. A run of words that
+document and item have in common is a run of shared seeds at neighbouring places, so
+the greedy tiling of a pair needs its shared seeds alone: it marks the longest runs
+that don't overlap in either, found by running Karp-Rabin sums over the seeds, for
+one length after the other from the longest down, until none of ``min_tile`` words is
+left. Runs may stand in any order, so reordered passages are caught. An item whose
+words are covered by tiles to ``threshold`` or more is contained in the document.
+
+The benchmark may have any size: it is a table that is joined. Texts are read where
+they are and never shuffled to find leaks.
+
+Edge cases: null or empty texts hold nothing; an item of fewer than ``min_tile`` words,
+null and empty ones among them, is never found, as its words stand in clean texts
+too: ``short_items`` names these; equal items are found one by one; rows of equal
+doc_id and text count once, and all of them go; rows of one doc_id with other texts
+are documents of their own; a null item_id stays null; an empty documents or
 benchmark table gives no pairs; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, texts, worker_held
+from .common import FILTER_BITS, MAP_BITS, drop_stored, mix64, slices, stored, text_key, texts, without
+from .nearjoin import word_hashes
 
-WORDS = re.compile(r"\w+")
-#: Characters of benchmark text in one block.
-BLOCK_CHARS = 8_000_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-PAIRS = "doc_id bigint, item_id bigint, item_words bigint, covered_words bigint, n_tiles bigint, coverage double"
+#: Ideographs, kana and syllables of Hangul are words of their own.
+UNSPACED = "぀-ヿ㐀-鿿가-힯豈-﫿"
+WORDS = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+")
+BASE = 0x9E3779B97F4A7C15
+PAIRS = "doc_id bigint, text_id bigint, item_id bigint, item_words bigint, covered_words bigint, n_tiles bigint, coverage double"
 
 
 def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def windows(ids: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n ids from each place on."""
-    if len(ids) < n:
-        return np.empty(0, np.uint64)
-    m = mix64(ids.astype(np.uint64))
-    h = m[: len(ids) - n + 1].copy()
-    for j in range(1, n):
-        h *= BASE
-        h += m[j : len(ids) - n + 1 + j]
-    return h
+class Sums:
+    """Karp-Rabin sums of a sequence, modulo 2^64: the hash of any window in constant time."""
 
+    def __init__(self, x: np.ndarray, top: int):
+        """top: the length of the longest sequence whose windows are compared."""
+        self.n, self.top = len(x), top
+        powers = np.full(top + 1, BASE, np.uint64)
+        powers[0] = 1
+        self.powers = np.cumprod(powers, dtype=np.uint64)
+        self.sums = np.r_[np.uint64(0), np.cumsum(mix64(x) * self.powers[: self.n], dtype=np.uint64)]
 
-def tiles(item: np.ndarray, text: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in item, place in text, length) of the runs marked, longest first.
+    def windows(self, size: int) -> np.ndarray:
+        """A hash of the `size` elements from each place on: differences of sums, lifted to one common power."""
+        if size > self.n:
+            return np.empty(0, np.uint64)
+        starts = np.arange(self.n - size + 1)
+        return (self.sums[size:] - self.sums[: self.n - size + 1]) * self.powers[self.top - starts]
 
-    Negative ids in text match nothing. For each length from the longest run down,
-    hashes of the unmarked windows of the item meet those of the text.
+
+def seeds_of(text: str, size: int) -> tuple[int, np.ndarray]:
+    """The number of words, and the hash of the n-gram from each place on."""
+    found = words_of(text)
+    if len(found) < size:
+        return len(found), np.empty(0, np.uint64)
+    m = mix64(word_hashes(found))
+    h = m[: len(m) - size + 1].copy()
+    for j in range(1, size):
+        h = h * np.uint64(BASE) + m[j : len(m) - size + 1 + j]
+    return len(found), mix64(h)
+
+
+def tiles(item: np.ndarray, text: np.ndarray, places: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (word of item, word of text, words) of the runs marked, longest first.
+
+    item: the seeds of an item at each place; text: seeds of a text at the given ascending places.
     """
-    free_i, free_t = np.ones(len(item), bool), text >= 0
-    out: list[tuple[int, int, int]] = []
-    size = min(len(item), len(text))
-    # The longest common run, by bisection: a run of n holds runs of every smaller length.
-    low, high = min_tile - 1, size
+    # Places of the text close up, with a gap of one element that matches nothing between stretches.
+    gaps = np.r_[0, np.cumsum(np.diff(places) > 1)] if len(places) else np.empty(0, int)
+    at = np.arange(len(places)) + gaps
+    closed = np.zeros(int(at[-1]) + 1 if len(at) else 0, np.uint64)
+    word = np.zeros(len(closed), np.int64)
+    closed[at], word[at] = text, places
+    is_seed = np.zeros(len(closed), bool)
+    is_seed[at] = True
+    free_i, used_t = np.ones(len(item) + min_tile - 1, bool), set()
+    top = max(len(item), len(closed))
+    sums_i, sums_t = Sums(item, top), Sums(closed, top)
+    seeds_before = np.r_[0, np.cumsum(is_seed)]
+
+    def common(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the item's windows; the text's windows of seeds alone, and their hashes."""
+        if size > len(closed):
+            return sums_i.windows(size), np.empty(0, np.int64), np.empty(0, np.uint64)
+        some = np.flatnonzero(seeds_before[size:] - seeds_before[:-size] == size)
+        return sums_i.windows(size), some, sums_t.windows(size)[some]
+
+    # The longest common run, by bisection: a run of n seeds holds runs of every smaller length.
+    low, high = 0, min(len(item), len(closed))
     while low < high:
         mid = (low + high + 1) // 2
-        if np.isin(windows(item, mid), windows(text, mid)).any():
-            low = mid
-        else:
-            high = mid - 1
+        a, _, b = common(mid)
+        low, high = (mid, high) if np.isin(a, b).any() else (low, mid - 1)
+    out: list[tuple[int, int, int]] = []
     size = low
-    while size >= min_tile:
-        open_i = np.convolve(free_i, np.ones(size, int), "valid") == size if len(item) >= size else np.empty(0, bool)
-        open_t = np.convolve(free_t, np.ones(size, int), "valid") == size if len(text) >= size else np.empty(0, bool)
-        at_i, at_t = np.flatnonzero(open_i), np.flatnonzero(open_t)
-        hash_i, hash_t = windows(item, size)[at_i], windows(text, size)[at_t]
-        places: dict[int, list[int]] = defaultdict(list)
-        for k in np.flatnonzero(np.isin(hash_t, hash_i)):
-            places[int(hash_t[k])].append(int(at_t[k]))
-        for k, h in zip(at_i.tolist(), hash_i.tolist(), strict=True):
-            for t in places.get(h, ()):
-                if free_i[k : k + size].all() and free_t[t : t + size].all() and np.array_equal(item[k : k + size], text[t : t + size]):
-                    free_i[k : k + size] = False
-                    free_t[t : t + size] = False
-                    out.append((k, t, size))
+    while size > 0:
+        length = size + min_tile - 1
+        hash_i, some, hash_t = common(size)
+        hit = np.isin(hash_t, hash_i)
+        met: dict[int, list[int]] = defaultdict(list)
+        for t, h in zip(some[hit].tolist(), hash_t[hit].tolist(), strict=True):
+            met[h].append(t)
+        for k in np.flatnonzero(np.isin(hash_i, hash_t)).tolist() if met else ():
+            if not free_i[k : k + length].all():
+                continue
+            for t in met[int(hash_i[k])]:
+                w = int(word[t])
+                if used_t.isdisjoint(range(w, w + length)) and np.array_equal(item[k : k + size], closed[t : t + size]):
+                    free_i[k : k + length] = False
+                    used_t.update(range(w, w + length))
+                    out.append((k, w, length))
                     break
-        size -= 1
+        # No longer run than the free words of the item allow is left.
+        edges = np.flatnonzero(np.diff(np.r_[0, free_i, 0]))
+        size = min(size - 1, int(np.diff(edges)[::2].max(initial=0)) - min_tile + 1)
     return out
 
 
-class Block:
-    """Seeds and words of some benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.seed, self.ids = seed, {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        seeds: dict[int, set[int]] = defaultdict(set)
-        for item_id, text in items:
-            found = words_of(text)
-            if found:
-                ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in found], np.int64)
-                for h in windows(ids, min(seed, len(ids))).tolist():
-                    seeds[h].add(len(self.items))
-                self.items.append((item_id, ids))
-        self.lengths = sorted({min(seed, len(x)) for _, x in self.items}, reverse=True)
-        self.seeds = seeds
-        self.sorted = np.array(sorted(seeds), np.uint64)
-
-    def matches(self, text: str, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
-        """(item_id, words, covered words, tiles, coverage) of each item in the text."""
-        found = words_of(text)
-        ids = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int64, len(found))
-        covers: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in self.lengths:
-            if len(ids) < n:
-                continue
-            # Only windows of benchmark words throughout.
-            known = np.flatnonzero(np.convolve(ids >= 0, np.ones(n, int), "valid") == n)
-            if not len(known):
-                continue
-            h = windows(ids, n)[known]
-            at = np.searchsorted(self.sorted, h)
-            hit = self.sorted[np.minimum(at, len(self.sorted) - 1)] == h
-            for place, key in zip(known[hit].tolist(), h[hit].tolist(), strict=True):
-                for k in self.seeds[key]:
-                    if min(self.seed, len(self.items[k][1])) == n:
-                        covers[k].append((place, n))
-        for k, places in covers.items():
-            item_id, item = self.items[k]
-            under = np.zeros(len(ids), bool)
-            for place, n in places:
-                under[place : place + n] = True
-            if under.sum() < threshold * len(item):  # no tile lies outside
-                continue
-            # Keep the words under seeds, with a gap between stretches.
-            keep = under | np.r_[False, under[:-1]]
-            run = np.where(under, ids, -1)[keep]
-            tiled = tiles(item, run, min(self.seed, len(item)))
-            covered = sum(x[2] for x in tiled)
-            if covered >= threshold * len(item):
-                yield item_id, len(item), covered, len(tiled), covered / len(item)
+def item_seeds(benchmark: DataFrame, size: int) -> DataFrame:
+    """item, item_id, n_words, seeds of each item of at least `size` words; item tells rows apart."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [seeds_of(t, size) for t in batch.column("text").to_pylist()]
+            seeds = pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([n for n, _ in found], pa.int64()), seeds], ["item_id", "n_words", "seeds"])
 
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about BLOCK_CHARS characters, one at a time."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // BLOCK_CHARS))
-    for k in range(n_blocks):
-        # A block's size is bounded by BLOCK_CHARS on average, however large the benchmark is.
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "item_id bigint, n_words bigint, seeds array<bigint>").withColumn("item", F.monotonically_increasing_id())
+
+
+def short_items(benchmark: DataFrame, min_tile: int = 5) -> DataFrame:
+    """item_id, n_words of the items that are too short to be found."""
+    return item_seeds(benchmark, min_tile).where(F.col("n_words") < min_tile).select("item_id", "n_words")
+
+
+def document_seeds(docs: DataFrame, packed: bytes, size: int) -> DataFrame:
+    """doc_id, text_id, seed, place of the n-grams whose bit of the filter is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        for batch in slices(batches):
+            row, place, seed = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                _, h = seeds_of(text, size)
+                at = np.flatnonzero(bits[h & np.uint64(FILTER_BITS - 1)])
+                row.append(np.full(len(at), k))
+                place.append(at)
+                seed.append(h[at].view(np.int64))
+            who = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(who), batch.column("text_id").take(who), pa.array(np.concatenate(seed)), pa.array(np.concatenate(place))], ["doc_id", "text_id", "seed", "place"]
+            )
+
+    rows = texts(docs, text_key(F.col("doc_id"), F.col("text"))[1].alias("text_id"))
+    return rows.mapInArrow(run, "doc_id bigint, text_id bigint, seed bigint, place bigint")
+
+
+def filter_of(seeds: DataFrame) -> bytes:
+    """Which values of the last bits of the seeds occur: FILTER_BITS bits, however many seeds there are."""
+    bit = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
+    maps = seeds.groupBy(F.floor(bit / MAP_BITS).cast("int").alias("map")).agg(F.bitmap_construct_agg(bit % MAP_BITS).alias("bits"))
+    found = {r["map"]: bytes(r["bits"]) for r in maps.collect()}  # at most 256 rows of 4 KB
+    return b"".join(found.get(k, bytes(MAP_BITS // 8)) for k in range(FILTER_BITS // MAP_BITS))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.6) -> DataFrame:
-    """One row for each document and benchmark item that it contains."""
-    out = None
-    for rows in blocks_of(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, sent_id=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            block = worker_held(("benchmark", sent_id, min_tile), lambda: Block(sent.value, min_tile))
-            for batch in slices(batches):
-                got: list[tuple] = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if block.items:
-                        got += [(doc_id, *x) for x in block.matches(text, threshold)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), [*[pa.int64()] * 5, pa.float64()], strict=True)], ["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
-
-        part = texts(docs).mapInArrow(run, PAIRS)
-        out = part if out is None else out.unionByName(part)
+    """One row for each document and benchmark item that it contains; text_id is a hash of the document's text."""
+    items = stored(item_seeds(benchmark, min_tile).where(F.col("n_words") >= min_tile), "items")
+    seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
+    near = document_seeds(docs, filter_of(seeds), min_tile).join(seeds, "seed")
+    shared = near.groupBy("doc_id", "text_id", "item").agg(F.collect_set(F.struct("place", "seed")).alias("shared"))
+    pairs = shared.join(items, "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[tuple] = []
+            for doc_id, text_id, item_id, n_words, shared, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_id", "item_id", "n_words", "shared", "seeds")), strict=True):
+                shared.sort(key=lambda x: x["place"])
+                places, met = np.array([x["place"] for x in shared]), np.array([x["seed"] for x in shared], np.int64).view(np.uint64)
+                own = np.array(item, np.int64).view(np.uint64)
+                under = np.convolve(np.isin(own, met), np.ones(min_tile, int)) > 0
+                if under.sum() < threshold * n_words:  # no tile lies outside
+                    continue
+                tiled = tiles(own, met, places, min_tile)
+                covered = sum(x[2] for x in tiled)
+                if covered >= threshold * n_words:
+                    got.append((doc_id, text_id, item_id, n_words, covered, len(tiled), covered / n_words))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [*[pa.int64()] * 6, pa.float64()], strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
+
+    out = stored(pairs.select("doc_id", "text_id", "item_id", "n_words", "shared", "seeds").mapInArrow(run, PAIRS), "leaks")
+    drop_stored(items)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.6) -> DataFrame:
-    """The rows of docs, with all their columns, that contain no benchmark item; one map after another, no join."""
-    for rows in blocks_of(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, sent_id=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            block = worker_held(("benchmark", sent_id, min_tile), lambda: Block(sent.value, min_tile))
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not block.items or next(block.matches(t or "", threshold), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs, with all their columns, that contain no benchmark item."""
+    return without(docs, find_leaks(docs, benchmark, min_tile, threshold))
