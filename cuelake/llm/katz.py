@@ -13,45 +13,51 @@ How it runs. Documents are gathered in blocks of some million tokens, written on
 a table bucketed by block, with word ids local to the block. Each block counts its
 distinct n-grams and sends hashes and counts, dealt by hash, to the count tables;
 so a frequent n-gram is one entry a block, and hot histories are spread over all
-parts, since parts go by the whole n-gram. The count tables (partitioned by order and
-part) answer each block with the total counts of its n-grams and name one block
+parts, since parts go by the whole n-gram. The count tables (partitioned by order; a
+row holds one part's n-grams) answer each block with the total counts of its n-grams and name one block
 as the holder of each n-gram. Holders then send, for each history, sums over the
 n-grams they hold, the history tables add them up and answer with a(h); and once a
 block knows counts and weights of a level it evaluates that level, one below the
 other, for each of its distinct n-grams, and adds up its documents. Messages hold
-arrays, not single rows, for the sake of shuffle size. Only counts of counts, a few
-numbers for each order, reach the driver.
+arrays, not single rows, for the sake of shuffle size; the orders send theirs one
+after the other, and a step's shuffle files go when its result is stored. Only counts
+of counts, a few numbers for each order, reach the driver.
+
+Words and n-grams are known by 64-bit hashes: among a billion distinct ones some 0.03
+pairs are expected to be taken for one. The end token has a key of its own and is no word.
+Where the counts of counts of a small corpus give no Good-Turing discount between 0 and
+1 for a count, half a count is taken off instead.
 
 Edge cases: a null or empty text is the end token alone; a null doc_id counts as
 the empty id when texts are split by crc32; rows of equal doc_id are scored one by
 one; without training text every token has probability 1 (all unknown); an empty
-table gives an empty table; other columns are not read. Hashes have 64 bits.
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, mix64, stored, texts
+from .common import crc_remainder, drop_stored, mix64, stored, texts
 from .nearjoin import runs
 
 K = 5
 BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 3_000_000
-END = b"\x00end"
+#: The key of the end token, and what keys of text beginnings come from.
+END_HASH = np.uint64(0x0FEDCBA987654321)
 BEGIN_HASH = np.uint64(0x1234567890ABCDEF)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_ROW = "block bigint, doc_ids array<bigint>, held array<int>, sizes array<int>, tokens array<int>, words array<bigint>"
@@ -94,12 +100,11 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
         first, number = TaskContext.get().partitionId() << 32, count()
 
         def start():
-            ids = defaultdict(count().__next__)
-            ids[END]
+            ids = defaultdict(count(1).__next__)  # 0 is the end token
             return ids, [], [], [], []
 
         def flush():
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids)).view(np.int64)
+            hashes = np.r_[END_HASH, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))].view(np.int64)
             return batch(BLOCK_ROW, [(first + next(number), doc_ids, held, sizes, np.concatenate(tokens), hashes)])
 
         ids, doc_ids, held, sizes, tokens = start()
@@ -207,14 +212,14 @@ def block_levels(b: pa.RecordBatch, k: int, order: int) -> tuple[int, np.ndarray
     return row.column("block")[0].as_py(), doc_ids, held, sizes, levels(tokens.astype(np.int64), sizes, held, words, order)
 
 
-def send_counts(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+def send_counts(blocks: DataFrame, level: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                block, _, _, _, made = block_levels(b, k, order)
-                for level, x in enumerate(made, 1):
-                    for p, at in dealt(x.keys, parts):
-                        yield batch(MESSAGE, [(level, p, block, pack_keys(x.keys[at], p, parts), *pack_counts(x.n_train[at]))])
+                block, _, _, _, made = block_levels(b, k, level)
+                x = made[-1]
+                for p, at in dealt(x.keys, parts):
+                    yield batch(MESSAGE, [(level, p, block, pack_keys(x.keys[at], p, parts), *pack_counts(x.n_train[at]))])
 
     return blocks.mapInArrow(run, MESSAGE)
 
@@ -414,14 +419,6 @@ def score_blocks(blocks: DataFrame, order: int, parts: int, discounts: list[Disc
     return blocks.mapInArrow(run, SCORES)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of steps whose results have been stored."""
-    for _ in range(2):  # the first collection lets go of plans, the second of what they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
@@ -438,8 +435,8 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         if not total:
             return spark.createDataFrame([], SCORES)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
-        counted = stored(count_parts(send_counts(blocks, order, parts), parts), "katz-counts", ["level"])
-        release(spark)
+        tables = [stored(count_parts(send_counts(blocks, level, parts), parts), f"katz-counts-{level}", ["level"]) for level in range(1, order + 1)]
+        counted = reduce(DataFrame.unionByName, tables)
         sums = [F.sum(F.get("stats", k)).alias(f"s{k}") for k in range(K + 3)]
         stats = {r[0]: [int(x) for x in r[1:]] for r in counted.where("block = -1").groupBy("level").agg(*sums).collect()}
         discounts = [Discounts.of(stats[k]) for k in range(1, order + 1)]
@@ -447,10 +444,10 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         weighed = None
         for level in range(2, order + 1):
             known = with_answers(blocks, answers_by_block(counted.where(F.col("level") <= level), weighed, buckets))
-            more = stored(weigh_parts(send_sums(known, level, parts, discounts, base), parts), f"katz-weights-{level}")
-            weighed = more if weighed is None else weighed.unionByName(more)
-            release(spark)
+            tables.append(stored(weigh_parts(send_sums(known, level, parts, discounts, base), parts), f"katz-weights-{level}"))
+            weighed = tables[-1] if weighed is None else weighed.unionByName(tables[-1])
         scores = stored(score_blocks(with_answers(blocks, answers_by_block(counted, weighed, buckets)), order, parts, discounts, base), "katz-scores")
+        drop_stored(*tables)
         return scores
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

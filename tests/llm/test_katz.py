@@ -111,3 +111,13 @@ def test_edges(spark):
     r = katz.katz_scores(docs(spark, [(held, "only held out")])).collect()
     assert [(x.n_tokens, x.n_known, x.train_tokens, x.score) for x in r] == [(4, 0, 0, 0.0)]
     assert [x.doc_id for x in katz.katz_scores(docs(spark, [(None, "no id")])).collect()] == [None]
+
+
+def test_end_is_no_word(spark):
+    """Texts cannot spell the end token."""
+    rows = [(i, "\x00end one <end> END") for i in range(20)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    seen = Counter(x for t in train for x in tokens(t.replace("<end>", "<own>")))
+    n, v = sum(seen.values()), len(seen)
+    for r in katz.katz_scores(docs(spark, rows)).collect():
+        assert r.base_score == pytest.approx(sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in tokens(rows[0][1].replace("<end>", "<own>"))))
