@@ -16,10 +16,10 @@ The first centroid makes a region; a region of many vectors is cut into chunks o
 about ``CHUNK``. A query is sent once to each chunk of the regions it visits; a task
 holds one chunk and streams the queries past it, and returns each query's best k.
 
-Equal vectors: a result of k rows takes the smallest ids among equal scores, so of
-equal vectors only the k + 1 of smallest id can be in any result; the others are
-found in the same cell but need no ranking, and are left out before the index by a
-window limit that runs before the shuffle.
+Equal vectors: equal rows count once. A result of k rows takes the smallest ids among
+equal scores, so of equal vectors only the k + 1 of smallest id can be in any result;
+the others are found in the same cell but need no ranking, and are left out before the
+index by a window limit that runs before the shuffle.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part; ties go to the smaller id; with fewer than
@@ -163,8 +163,10 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
     half = max(1, sample.shape[1] // 2)
     one, two = kmeans(sample[:, :half], n_centroids), kmeans(sample[:, half:], n_centroids)
 
-    same = Window.partitionBy(F.xxhash64("v"), F.xxhash64(F.lit(3), "v")).orderBy("vec_id")
-    kept = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "v")
+    # Equal rows first become one, so that the limit counts distinct ids.
+    distinct = rows.groupBy("vec_id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2")).agg(F.first("v").alias("v"))
+    same = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    kept = distinct.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "v")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
