@@ -3,16 +3,18 @@
 Four strict patterns (email, ip, card, phone) find base spans, which always stay.
 Wider patterns find candidates of the same kinds that the strict ones miss. Each
 candidate gets votes (yes, no or none) from labelers: shape, plausible parts,
-check sum, digit count, a gazetteer of cue words, and the words and characters
-around it. Vote patterns are counted over all documents; expectation-maximisation
-over these counts estimates, for each kind, how often each labeler is right, and
-the posterior of each pattern. A logistic classifier is trained on the votes and
-the span's features against these posteriors, and adds the candidates that it
-finds likelier than not and that no base span of the kind touches.
-
-Counts of patterns are bounded by the number of possible patterns, not by the
-text. The text is read twice: for counts, then for spans; nothing is shuffled
-but the counts.
+check sum, cue words near it, the characters around it, words that speak against it, and
+gazetteers of mail providers, top-level domains, address ranges, issuers and prefixes.
+Vote patterns are counted over all documents, with a few coarse features of the span:
+its length, how many of its characters differ, and whether a base span of the kind is in
+the same text. Expectation-maximisation over the votes estimates, for each kind, how
+often each labeler is right, and the posterior of each pattern. A logistic classifier is
+trained on votes and span features against these posteriors, and adds the candidates
+that it finds likelier than not and that no base span touches.
+
+Counts of patterns are bounded by the number of possible patterns, 3^LABELERS times
+``FEATURES``, not by the text. The text is read twice: for counts, then for spans;
+nothing is shuffled but the counts.
 
 Edge cases: null and empty texts have no spans; equal rows get equal spans; long
 texts are read whole; without candidates only base spans are found; an empty table
@@ -21,6 +23,7 @@ gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,8 +44,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates beyond the strict patterns.
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.| dot ) ?[A-Za-z0-9-]{1,63})+", re.IGNORECASE),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.| dot ) ?[A-Za-z0-9-]++)+", re.IGNORECASE),
+    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\)[ -]?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-](?=[0-9]{3}[ .-]))[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"),
 }
@@ -53,7 +56,18 @@ CUES = {
     "card": ("card", "visa", "credit", "carte", "karte", "tarjeta", "payment"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone", "dial"),
 }
-LABELERS = 5
+CUE = {k: re.compile(rf"\b(?:{'|'.join(map(re.escape, w))})\b") for k, w in CUES.items()}
+#: Words near what only looks like one of the kinds.
+AGAINST = re.compile(r"\b(?:isbn|issn|version|v\d|order|invoice|page|chapter|figure|ref|sku|serial|build|ratio|score|verse)\b")
+#: Gazetteers: mail providers, top-level domains, first bytes of addresses that are in use, card issuers, phone prefixes.
+PROVIDERS = re.compile(r"(?:gmail|googlemail|yahoo|hotmail|outlook|live|icloud|proton|protonmail|gmx|aol|mail|web|orange|free|posteo|example)\b", re.IGNORECASE)
+DOMAINS = re.compile(r"\b(?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|uk|eu|ch|at|nl|be|pt|us|ca|mx|ar|br|in|jp|cn|ru|test|example)$", re.IGNORECASE)
+RANGES = re.compile(r"(?:2[0-9a-f]{3}|3[0-9a-f]{3}|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2}|::1$|::ffff)", re.IGNORECASE)
+ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35")
+PREFIXES = re.compile(r"\(?0|\([2-9]|[2-9][0-9]{2}[ .-]")
+LABELERS = 7
+#: Values of the coarse features: length, distinct characters, a base span of the kind in the text.
+FEATURES = (4, 3, 2)
 REACH = 30
 
 
@@ -109,7 +123,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         check = int(bool(re.search(r"[@(\[{]", span)))
     elif kind == "ip":
         shape = int(len(set(span)) > 2)
-        parts = int(len(set(span.split(":"))) > 2)
+        parts = int(sum(map(len, span.split(":"))) >= 4)
         check = 2
     elif kind == "card":
         shape = int(len(d) == 16)
@@ -119,9 +133,27 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         shape = int(9 <= len(d) <= 12)
         parts = int(len(set(d)) > 3)
         check = 1 if span.startswith(("(", "0")) else 2
-    cue = 1 if any(re.search(rf"\b{w}\b", around) for w in CUES[kind]) else 2
+    if kind == "email":
+        known = 1 if PROVIDERS.search(span) or DOMAINS.search(span) else 0
+    else:
+        known = 1 if {"ip": RANGES, "card": ISSUERS, "phone": PREFIXES}[kind].match(d if kind == "card" else span) else 0
+    cue = 1 if CUE[kind].search(around) else 2
+    against = 0 if AGAINST.search(around) else 2
     edges = 1 if (not before or before.isspace() or before in "<([\"':;,") and (not after or after.isspace() or after in ">)]\"':;,.!?") else 0
-    return shape, parts, check, cue, edges
+    return shape, parts, check, cue, edges, against, known
+
+
+def span_features(kind: str, text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> tuple[int, ...]:
+    """Coarse features of a span, below FEATURES."""
+    span = text[start:end]
+    return min(3, len(span) // 10), min(2, len(set(span)) // 5), int(any(k == kind and (a, b) != (start, end) for k, a, b in base))
+
+
+def is_ipv6(text: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(text).version == 6 and any(c.isalnum() for c in text)
+    except ValueError:
+        return False
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -135,7 +167,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             continue
         own = [x for x in base if x[0] == kind]
         for m in pattern.finditer(text):
-            if kind == "email" and not re.search(r"[(\[{]at|\bdot\b", m[0], re.IGNORECASE):
+            if kind == "email" and not re.search(r"[(\[{]at|\bdot\b", m[0], re.IGNORECASE) or kind == "ip" and not is_ipv6(m[0]):
                 continue
             if not any(a < m.end() and m.start() < b for _, a, b in base if kind != "email") and not any(a < m.end() and m.start() < b for _, a, b in own):
                 out.append((kind, m.start(), m.end()))
@@ -161,23 +193,29 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tup
 
 
 def features(pattern: tuple[int, ...]) -> np.ndarray:
-    return np.array([1.0, *(x == 1 for x in pattern), *(x == 0 for x in pattern)])
+    """A classifier's inputs: yes and no of each labeler, and each value of the coarse features."""
+    votes_, spans = pattern[:LABELERS], pattern[LABELERS:]
+    return np.array([1.0, *(x == 1 for x in votes_), *(x == 0 for x in votes_), *(x == k for x, n in zip(spans, FEATURES, strict=True) for k in range(1, n))])
 
 
 def train(patterns: dict[tuple[int, ...], int], posterior: dict[tuple[int, ...], float], steps: int = 400) -> np.ndarray:
-    """Logistic regression of the posteriors on the votes, each pattern weighted by its count."""
+    """Logistic regression of the votes' posteriors on votes and span features, each pattern weighted by its count."""
     if not patterns:
-        return np.zeros(1 + 2 * LABELERS)
+        return np.zeros(len(features((2,) * LABELERS + (0,) * len(FEATURES))))
     x = np.array([features(p) for p in patterns])
     n = np.array([patterns[p] for p in patterns], float)
     n /= n.sum()
-    target = np.array([posterior[p] for p in patterns])
+    target = np.array([posterior[p[:LABELERS]] for p in patterns])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         w -= 2.0 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - target)) + 1e-3 * w)
     return w
 
 
+def pattern_of(kind: str, text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> tuple[int, ...]:
+    return votes(kind, text, start, end) + span_features(kind, text, start, end, base)
+
+
 def vote_patterns(docs: DataFrame) -> DataFrame:
     """kind, pattern, n over all candidates and base spans of all documents."""
 
@@ -187,7 +225,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 for kind, a, b in [*base, *candidates(text, base)]:
-                    found[kind, "".join(map(str, votes(kind, text, a, b)))] += 1
+                    found[kind, "".join(map(str, pattern_of(kind, text, a, b, base)))] += 1
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found]), pa.array([p for _, p in found]), pa.array(list(found.values()), pa.int64())], ["kind", "pattern", "n"])
 
@@ -195,15 +233,21 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """A classifier for each kind. At most 3^LABELERS patterns a kind reach the driver."""
+    """A classifier for each kind. The patterns that reach the driver are bounded, see above."""
     by_kind: dict[str, dict[tuple[int, ...], int]] = {k: {} for k in KINDS}
     for r in vote_patterns(docs).orderBy("kind", "pattern").collect():
         by_kind[r.kind][tuple(map(int, r.pattern))] = r.n
-    return {k: train(p, reliabilities(p)[2]) for k, p in by_kind.items()}
+    models = {}
+    for kind, patterns in by_kind.items():
+        by_votes: Counter = Counter()
+        for p, n in patterns.items():
+            by_votes[p[:LABELERS]] += n
+        models[kind] = train(patterns, reliabilities(by_votes)[2])
+    return models
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: dict[str, np.ndarray]) -> list[tuple[str, int, int]]:
-    return [(k, a, b) for k, a, b in candidates(text, base) if features(votes(k, text, a, b)) @ model[k] > 0]
+    return [(k, a, b) for k, a, b in candidates(text, base) if features(pattern_of(k, text, a, b, base)) @ model[k] > 0]
 
 
 def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

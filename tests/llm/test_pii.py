@@ -69,12 +69,31 @@ def test_adds_spans_and_keeps_base(spark):
 
 
 def test_em():
-    good = {(1, 1, 1, 1, 1): 60, (0, 0, 0, 2, 0): 40, (1, 1, 2, 2, 0): 5}
-    share, chance, posterior = pii.reliabilities(good)
-    assert posterior[1, 1, 1, 1, 1] > 0.9 > 0.1 > posterior[0, 0, 0, 2, 0] and (chance[:3, 1] > chance[:3, 0]).all()
+    yes, no, mixed = (1, 1, 1, 1, 1, 2, 1), (0, 0, 0, 2, 0, 0, 0), (1, 1, 2, 2, 0, 2, 1)
+    share, chance, posterior = pii.reliabilities({yes: 60, no: 40, mixed: 5})
+    assert posterior[yes] > 0.9 > 0.1 > posterior[no] and (chance[:3, 1] > chance[:3, 0]).all()
     assert 0.3 < share < 0.9 and pii.reliabilities({})[2] == {}
 
 
+def test_classifier_sees_the_span():
+    """Equal votes, but spans of different lengths: the classifier's inputs differ."""
+    votes = (1, 1, 1, 2, 0, 2, 1)
+    assert (pii.features(votes + (0, 1, 0)) != pii.features(votes + (3, 1, 0))).any()
+    base = [("phone", 0, 12), ("phone", 20, 32)]
+    assert pii.span_features("phone", "+1 234 567 8 ------ +1 234 567 8", 0, 12, base)[2] == 1
+
+
+@pytest.mark.parametrize(("text", "want"), [("host ::1 here", "::1"), ("ip 2001:db8::1, ok", "2001:db8::1"), ("at 12:30:45 today", None), ("std::vector and a :: b", None), ("fe80:0:0:1:2:3:4:5", "fe80:0:0:1:2:3:4:5")])
+def test_addresses(text, want):
+    assert [text[a:b] for k, a, b in pii.candidates(text, []) if k == "ip"] == ([want] if want else [])
+
+
+def test_long_local_part():
+    local = "x" * 80
+    text = f"write to {local} (at) site (dot) example now"
+    assert [text[a:b] for k, a, b in pii.candidates(text, []) if k == "email"] == [f"{local} (at) site (dot) example"]
+
+
 def test_empty(spark):
     none = docs(spark, [])
     assert pii.find_spans(none, pii.fit(none)).count() == 0
