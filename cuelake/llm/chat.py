@@ -11,8 +11,15 @@ Template: ``<s>[INST]role[/INST]text</s>`` for each turn. In roles and texts a
 backslash goes before every backslash and before every control string, which
 ``unescape`` undoes exactly.
 
-Rows are dealt by conversation and sorted by turn; a task keeps the open window and
-its history only, so a conversation of any length takes bounded memory.
+Rows are dealt by conversation and stretch of ``STRETCH`` turn numbers and sorted by
+turn; a window does not reach over the end of a stretch. A stretch after the first
+begins with what it needs of those before it: the system turn, and as history the turns
+of the last ``REACH`` turn numbers. So a long conversation is shared by many tasks, and
+a task keeps the open window and its history only. ``read_back`` hashes a
+conversation's turns in their order, which one task has to do, in bounded memory.
+
+The budget counts the words and marks of a turn; ``tokens`` may name a column with the
+counts of a tokenizer instead.
 
 Edge cases: null texts and roles are empty; a null conv_id is a conversation of its
 own; null turns come first; rows of equal turn go by role, then text, and all
@@ -25,18 +32,22 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import maybe_in
+
 OPEN, ROLE, TEXT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = "|".join(map(re.escape, (OPEN, CLOSE, ROLE, TEXT)))
 HIDE = re.compile(rf"\\|(?={CONTROL})")
 SHOW = re.compile(rf"\\(\\|(?={CONTROL}))")
 MARK = re.compile(rf"\\\\|\\(?={CONTROL})(?:{CONTROL})|{CONTROL}")
-TOKEN = re.compile(r"\w+|[^\w\s]")
-WINDOWS = "conv_id bigint, window int, n_repeated int, n_turns int, n_tokens bigint, text string, loss array<struct<start: int, end: int>>"
+TOKEN = r"(?U)\w+|[^\w\s]"
+STRETCH, REACH = 1024, 64
+WINDOWS = "conv_id bigint, stretch bigint, window int, n_repeated int, n_turns int, n_tokens bigint, text string, loss array<struct<start: int, end: int>>"
 
 
 def escape(text: str) -> str:
@@ -47,9 +58,9 @@ def unescape(text: str) -> str:
     return SHOW.sub(r"\1", text)
 
 
-def n_tokens(role: str, text: str) -> int:
+def token_count(role: Column, text: Column) -> Column:
     """Tokens of a formatted turn; each of its four control strings is one."""
-    return 4 + len(TOKEN.findall(role)) + len(TOKEN.findall(text))
+    return 4 + F.regexp_count(role, F.lit(TOKEN)) + F.regexp_count(text, F.lit(TOKEN))
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:
@@ -67,10 +78,10 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 
 
 class Formatter:
-    """Turns of one conversation, in order, to windows."""
+    """Turns of one stretch of a conversation, in order, to windows."""
 
-    def __init__(self, conv_id: int | None, budget: int, history: int):
-        self.conv_id, self.budget, self.history = conv_id, budget, history
+    def __init__(self, key: tuple[int | None, int], budget: int, history: int):
+        self.key, self.budget, self.history = key, budget, history
         self.system: tuple[str, str, int] | None = None
         #: History and new turns, with prefix sums of their tokens; turns from `new` on are new.
         self.turns: list[tuple[str, str, int]] = []
@@ -81,8 +92,19 @@ class Formatter:
         #: A system turn at the beginning, new in the first window and repeated in the later ones.
         self.lead: tuple[str, str, int] | None = None
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, n_tokens(role, text))
+    def carry(self, kind: int, turn: tuple[str, str, int]) -> None:
+        """What earlier stretches bring: first their system turn (of an empty role if there is none), then history."""
+        self.begun = True
+        if kind == SYSTEM:
+            self.system = self.lead = turn if turn[0] == "system" else None
+        elif turn != self.lead:
+            self.turns.append(turn)
+            self.sums.append(self.sums[-1] + turn[2])
+            self.new = len(self.turns)
+            self.forget(bisect_left(self.sums, self.sums[-1] - self.history))
+
+    def add(self, *turn: Any) -> Iterator[tuple]:
+        role = turn[0]
         room = self.budget - (self.system[2] if self.system else 0)
         if len(self.turns) > self.new and self.sums[-1] + turn[2] - self.sums[0] > room:
             yield self.close()
@@ -113,7 +135,7 @@ class Formatter:
             text.append(f"{head}{body}{CLOSE}")
             at += len(text[-1])
             total += size
-        row = (self.conv_id, self.window, len(repeated), len(repeated) + len(self.turns) - self.new, total, "".join(text), loss)
+        row = (*self.key, self.window, len(repeated), len(repeated) + len(self.turns) - self.new, total, "".join(text), loss)
         self.window += 1
         self.forget(bisect_left(self.sums, self.sums[-1] - self.history))
         self.system = self.lead
@@ -123,34 +145,61 @@ class Formatter:
         return row
 
 
-def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
+SYSTEM, HISTORY, OWN = 0, 1, 2
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """Rows that stretches after a conversation's first get from earlier ones; rows has conv_id, no_id, stretch, kind, turn, role, text, tokens."""
+    conv = ["no_id", "conv"]
+    stretches = rows.select(*conv, "stretch").distinct().groupBy(*conv).agg(F.min("stretch").alias("first"), F.collect_set("stretch").alias("all")).where(F.size("all") > 1)
+    long = stretches.withColumn("key", F.xxhash64(*conv))
+    # Most conversations have one stretch; only rows that may be of others are looked at.
+    near = maybe_in(rows, F.xxhash64(*conv), long, "key", "maybe").where("maybe").drop("maybe").join(long.drop("key"), conv)
+    lead = near.where(F.col("stretch") == F.col("first")).groupBy(*conv).agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("x"), F.first("all").alias("all"), F.first("first").alias("first"))
+    is_system = F.col("x.role") == "system"
+    marks = lead.withColumn("stretch", F.explode("all")).where(F.col("stretch") > F.col("first"))
+    marks = marks.select(*conv, "stretch", F.lit(SYSTEM).alias("kind"), F.col("x.turn").alias("turn"), *(F.when(is_system, F.col(f"x.{c}")).otherwise(F.lit("")).alias(c) for c in ("role", "text")), "x.tokens")
+    last = near.where(F.pmod("turn", F.lit(STRETCH)) >= STRETCH - REACH).withColumn("stretch", F.col("stretch") + 1).where(F.array_contains("all", F.col("stretch")))
+    return marks.unionByName(last.select(*conv, "stretch", F.lit(HISTORY).alias("kind"), "turn", "role", "text", "tokens"))
+
+
+def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, tokens: str | None = None) -> DataFrame:
     """One row for each window: the formatted text and the spans of the loss mask in it.
 
-    n_repeated: turns at its beginning that an earlier window has brought.
+    window: counts the windows of a stretch of the conversation; n_repeated: turns at its beginning that an
+    earlier window has brought. tokens: a column with the number of tokens of each turn.
     """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turn = F.col("turn").cast("bigint")
     rows = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+        F.col("conv_id").isNull().alias("no_id"), F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)).alias("conv"), F.coalesce(F.floor(turn / STRETCH), F.lit(-(2**62))).cast("bigint").alias("stretch"),
+        F.lit(OWN).alias("kind"), turn.alias("turn"), role.alias("role"), text.alias("text"), (token_count(role, text) if tokens is None else F.col(tokens)).cast("bigint").alias("tokens"),
+    )
+    keys = ("no_id", "conv", "stretch")
+    dealt = rows.unionByName(carried(rows)).repartition(*keys).sortWithinPartitions(*keys, "kind", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-        names = [x.split()[0] for x in WINDOWS.split(", ")[:6]] + ["loss"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        names = [x.split()[0] for x in WINDOWS.split(", ")[:7]] + ["loss"]
 
         def pack(done: list[tuple]) -> pa.RecordBatch:
             columns = [*zip(*done, strict=True)]
-            columns[6] = [[{"start": a, "end": b} for a, b in x] for x in columns[6]]
+            columns[7] = [[{"start": a, "end": b} for a, b in x] for x in columns[7]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         open_one: Formatter | None = None
         for b in batches:
             done: list[tuple] = []
-            for conv_id, role, text in zip(*(b.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
-                if open_one is None or open_one.conv_id != conv_id:
+            for no_id, conv, stretch, kind, *turn in zip(*(b.column(k).to_pylist() for k in (*keys, "kind", "role", "text", "tokens")), strict=True):
+                key = (None if no_id else conv, stretch)
+                if open_one is None or open_one.key != key:
                     if open_one is not None:
                         done.append(open_one.close())
-                    open_one = Formatter(conv_id, budget, history)
-                done += open_one.add(role, text)
+                    open_one = Formatter(key, budget, history)
+                if kind == OWN:
+                    done += open_one.add(*turn)
+                else:
+                    open_one.carry(kind, tuple(turn))
             if done:
                 yield pack(done)
         if open_one is not None:
@@ -162,7 +211,7 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
 def read_back(windows: DataFrame) -> DataFrame:
     """Digests of each conversation's turns and loss text, read from formatted windows alone."""
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    dealt = windows.select("conv_id", "window", "n_repeated", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    dealt = windows.select("conv_id", "stretch", "window", "n_repeated", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]

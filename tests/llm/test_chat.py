@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cuelake.llm import chat
 
@@ -42,8 +44,14 @@ def digest(rows):
     return len(rows), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("budget", "history"), [(512, 128), (60, 20), (1, 0)])
-def test_round_trip(spark, budget, history):
+def count(role, text):
+    return 4 + len(re.findall(r"\w+|[^\w\s]", role)) + len(re.findall(r"\w+|[^\w\s]", text))
+
+
+@pytest.mark.parametrize(("budget", "history", "stretch"), [(512, 128, 1024), (60, 20, 1024), (1, 0, 1024), (60, 20, 8)])
+def test_round_trip(spark, monkeypatch, budget, history, stretch):
+    monkeypatch.setattr(chat, "STRETCH", stretch)
+    monkeypatch.setattr(chat, "REACH", min(stretch // 2, 64))
     rows = corpus()
     random.Random(1).shuffle(rows)
     windows = chat.format_windows(table(spark, rows), budget, history).collect()
@@ -52,7 +60,7 @@ def test_round_trip(spark, budget, history):
     system = {c: t for c, n, r, t in rows if r == "system"}
     for w in windows:
         turns = chat.read_turns(w.text)
-        assert len(turns) == w.n_turns and w.n_tokens == sum(chat.n_tokens(*t) for t in turns)
+        assert len(turns) == w.n_turns and w.n_tokens == sum(count(*t) for t in turns)
         new = w.n_turns - w.n_repeated
         assert w.n_tokens <= budget or new == 1
         if w.conv_id in system:
@@ -60,5 +68,23 @@ def test_round_trip(spark, budget, history):
     assert budget > 500 or any(w.n_repeated > 1 for w in windows) or history == 0
 
 
+def test_long_conversation_is_shared(spark, monkeypatch):
+    """A stretch begins with the system turn and the history before it, as if one task had formatted all."""
+    monkeypatch.setattr(chat, "STRETCH", 50)
+    monkeypatch.setattr(chat, "REACH", 25)
+    rows = [(7, 0, "system", "be kind"), *((7, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1, 400))]
+    windows = chat.format_windows(table(spark, rows), 100, 40).orderBy("stretch", "window").collect()
+    assert {w.stretch for w in windows} == set(range(8)) and all(w.n_tokens <= 100 for w in windows)
+    new = [t for w in windows for t in chat.read_turns(w.text)[w.n_repeated :]]
+    assert new == [(r, t) for _, _, r, t in rows]
+    for w in windows[1:]:
+        turns = chat.read_turns(w.text)
+        assert turns[0] == ("system", "be kind") and 3 < w.n_repeated < w.n_turns
+        first = int(turns[1][1].split()[1])
+        assert [t for _, t in turns[1:]] == [f"turn {k}" for k in range(first, first + w.n_turns - 1)]
+    own = table(spark, rows).drop("window").withColumnRenamed("loss", "size").withColumn("size", F.lit(30))
+    assert all(w.n_turns <= 3 for w in chat.format_windows(own, 100, 0, tokens="size").collect())
+
+
 def test_empty(spark):
     assert chat.read_back(chat.format_windows(table(spark, []))).count() == 0
