@@ -10,8 +10,10 @@ ends gives its count. Characters in no piece are one unknown piece each.
 The vocabulary file names pieces by rank, without probabilities; a piece of rank r
 scores -log(r + 1), as under Zipf's law. Tokenizers are not trained here.
 
-A task keeps its trie between batches and starts a new one when it has ``NODES``
-nodes, so memory is bounded. Nothing is shuffled.
+A Python worker keeps its trie and starts a new one when it has ``NODES`` nodes. Only
+the first ``SHARED`` characters of a pre-token go into the trie; beyond them the same
+recurrence goes on with the last few scores, as many as the longest piece has
+characters. So memory is bounded for any pre-token. Nothing is shuffled.
 
 Edge cases: null and empty texts, and texts of white space alone, have no tokens;
 long pre-tokens are solved whole; equal rows give equal counts; an empty table gives
@@ -21,8 +23,9 @@ an empty table; other columns are not read.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,10 @@ from pyspark.sql import DataFrame
 from .common import slices, texts, worker_held
 
 MARK = "▁"
-NODES = 2_000_000
+NODES = 1_500_000
+#: Characters of a pre-token that go into the trie.
+SHARED = 256
+POINTS = 0x110000
 #: An unknown character's score, below that of any piece.
 UNKNOWN = -20.0
 
@@ -52,36 +58,44 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        #: Of each node: children, forward score, pieces; node 0 is the root. Depth first along one pre-token.
-        self.children: list[dict[str, int]] = [{}]
-        self.forward = [0.0]
-        self.pieces = [0]
+        #: The node below a node by a character, as node * POINTS + code point; node 0 is the root.
+        self.below: dict[int, int] = {}
+        #: Of each node: forward score and pieces. Of each pre-token that ends at a node of its own: pieces.
+        self.forward, self.pieces = array("d", [0.0]), array("q", [0])
         self.ends: dict[str, int] = {}
 
+    def best(self, token: str, k: int, forward: Sequence[float], pieces: Sequence[int]) -> tuple[float, int]:
+        """Score and pieces of token[: k + 1]; forward and pieces end with those of its beginnings of up to k characters."""
+        score, last = self.scores.get, len(forward)
+        best, count = forward[last - 1] + UNKNOWN, pieces[last - 1] + 1
+        for width in range(1, min(self.longest, k + 1) + 1):
+            s = score(token[k + 1 - width : k + 1])
+            if s is not None:
+                value, n = forward[last - width] + s, pieces[last - width] + 1
+                if value > best or value == best and n < count:
+                    best, count = value, n
+        return best, count
+
     def insert(self, token: str) -> int:
         """The number of pieces of a pre-token."""
-        children, forward, pieces, score = self.children, self.forward, self.pieces, self.scores.get
-        path, node = [0], 0
-        for k, char in enumerate(token):
-            below = children[node].get(char)
-            if below is None:
-                best, count = forward[node] + UNKNOWN, pieces[node] + 1
-                for start in range(max(0, k + 1 - self.longest), k + 1):
-                    s = score(token[start : k + 1])
-                    if s is not None:
-                        at = path[start]
-                        value = forward[at] + s
-                        if value > best or value == best and pieces[at] < count - 1:
-                            best, count = value, pieces[at] + 1
-                below = len(forward)
-                children[node][char] = below
-                children.append({})
-                forward.append(best)
-                pieces.append(count)
-            node = below
-            path.append(node)
-        self.ends[token] = pieces[node]
-        return pieces[node]
+        below, all_forward, all_pieces = self.below, self.forward, self.pieces
+        forward, pieces, node = [0.0], [0], 0
+        for k, char in enumerate(token[:SHARED]):
+            edge = node * POINTS + ord(char)
+            node = below.get(edge)
+            if node is None:
+                node = below[edge] = len(all_forward)
+                best, count = self.best(token, k, forward, pieces)
+                all_forward.append(best)
+                all_pieces.append(count)
+            forward.append(all_forward[node])
+            pieces.append(all_pieces[node])
+        for k in range(SHARED, len(token)):
+            del forward[: -self.longest], pieces[: -self.longest]
+            best, count = self.best(token, k, forward, pieces)
+            forward.append(best)
+            pieces.append(count)
+        return pieces[-1]
 
     def count(self, token: str) -> int:
         found = self.ends.get(token)
@@ -89,7 +103,8 @@ class Trie:
             if len(self.forward) > NODES:
                 self.clear()
             found = self.insert(MARK + token)
-            self.ends[token] = found
+            if len(token) < SHARED:
+                self.ends[token] = found
         return found
 
 

@@ -31,7 +31,9 @@ def test_trie_against_brute_force():
     for _ in range(500):
         word = "".join(rng.choices("abcd", k=rng.randrange(1, 12)))
         assert trie.count(word) == brute("▁" + word, scores)
-    assert len(trie.forward) < sum(map(len, trie.ends))
+    assert len(trie.forward) < sum(1 + len(x) for x in trie.ends)
+    shared = {("▁" + x)[:n] for x in trie.ends for n in range(1, len(x) + 2)}
+    assert len(trie.forward) == 1 + len(shared)  # a node for each distinct prefix, and the root
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +48,15 @@ def test_table(spark, scores):
     assert tokencount.token_counts(docs(spark, []), PATH).count() == 0
 
 
+def test_long_pre_token(scores):
+    """A pre-token of a million characters takes a trie of SHARED nodes."""
+    trie = tokencount.Trie(scores)
+    word = "".join(random.Random(2).choices("etaoinshr", k=1000))
+    assert trie.count(word) == brute("▁" + word, scores)
+    assert trie.count(word[:300] * 3000) > 100_000
+    assert len(trie.forward) <= 2 * tokencount.SHARED + 1 and not trie.ends
+
+
 def test_bounded_trie(monkeypatch, scores):
     monkeypatch.setattr(tokencount, "NODES", 50)
     trie = tokencount.Trie(scores)
