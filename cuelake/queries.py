@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,8 @@ from .operators import stages as G
 from .operators import validation as V
 from .plans import pipeline as P
 from .plans.options import Options
-from .sources import sinks, srt, transcripts
+from .sources import files, sinks, srt, transcripts
+from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -527,9 +529,9 @@ def select_repair_cues(spark, sf_dir):
     return Q.select_repair_cues(cues, docs).select("doc_id", "cue_id")
 
 
-@query("SELECT doc_id, substr(regexp_replace(substr(coalesce(text, ''), 1, 500), '^\\s+|\\s+$', '', 'g'), 1, 120) AS summary, CASE WHEN length(text) > 500 THEN 'context_analysis_truncated' ELSE '' END AS warnings FROM documents")
+@query("SELECT doc_id, substr(regexp_replace(substr(coalesce(text, ''), 1, 50000), '^\\s+|\\s+$', '', 'g'), 1, 120) AS summary, CASE WHEN length(text) > 50000 THEN 'context_analysis_truncated' ELSE '' END AS warnings FROM documents")
 def content_context(spark, sf_dir):
-    out = G.content_context(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), limit=500)
+    out = G.content_context(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     return out.select("doc_id", "summary", joined(F.col("warnings")).alias("warnings"))
 
 
@@ -626,6 +628,36 @@ def check_quality_layout(spark, sf_dir):
     return checked(spark, sf_dir).where("label IS NOT NULL").select("doc_id", "seq", "cue_id", "label", "code", F.round("measured", 6).alias("measured"))
 
 
+VARIANTS_SQL = rf"""varied AS (SELECT doc_id, seq, cue_id, start_ms, end_ms, source_text, CASE doc_id % 2 WHEN 0 THEN 'en' ELSE 'zh-CN' END AS target,
+    CASE (doc_id + seq) % 4 WHEN 0 THEN '  ' WHEN 1 THEN source_text || ' ' || repeat('漢', 30) WHEN 2 THEN NULL ELSE source_text || ' ' || source_text END AS corrected_text,
+    CASE (doc_id + seq) % 3 WHEN 0 THEN repeat('漢字', 20) WHEN 1 THEN 'plainwordsonlyhere ' || seq ELSE translated_text END AS translated_text FROM cues),
+raw AS (SELECT doc_id, seq, start_ms, end_ms, 'source' AS label, source_text AS t FROM varied UNION ALL SELECT doc_id, seq, start_ms, end_ms, 'corrected', corrected_text FROM varied WHERE corrected_text IS NOT NULL
+  UNION ALL SELECT doc_id, seq, start_ms, end_ms, 'translated', translated_text FROM varied WHERE translated_text IS NOT NULL),
+{WRAP_SQL.strip()},
+shown AS (SELECT * EXCLUDE (lines), CASE WHEN regexp_matches(t, '[\r\n]') THEN string_split(t, chr(10)) ELSE lines END AS lines FROM wrapped),
+per_line AS (SELECT doc_id, seq, label, line, length(regexp_replace(line, '[^{CJK_SQL}]', '', 'g')) AS cjk, len(regexp_extract_all(line, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS words FROM (SELECT doc_id, seq, label, unnest(lines) AS line FROM shown)),
+lang AS (SELECT *, length(regexp_replace(translated_text, '\s', '', 'g')) AS n, length(regexp_replace(translated_text, '[^{CJK_SQL}]', '', 'g')) AS cjk, length(regexp_replace(translated_text, '[^A-Za-z]', '', 'g')) AS letters FROM varied WHERE translated_text <> '')"""
+
+
+@query(with_(TURN_CUES, VARIANTS_SQL) + """SELECT doc_id, seq, label, 'line_count_exceeded' AS code, len(lines)::DOUBLE AS measured FROM shown WHERE len(lines) > 2
+UNION ALL SELECT doc_id, seq, label, 'line_too_long', list_max(list_transform(lines, lambda x: length(x)))::DOUBLE FROM shown WHERE list_max(list_transform(lines, lambda x: length(x))) > 42
+UNION ALL SELECT doc_id, seq, label, 'cps_exceeded', round(length(array_to_string(lines, '')) / ((end_ms - start_ms) / 1000.0::DOUBLE), 6) FROM shown WHERE end_ms > start_ms AND length(array_to_string(lines, '')) / ((end_ms - start_ms) / 1000.0::DOUBLE) > 17
+UNION ALL SELECT doc_id, seq, label, 'cjk_line_too_long', cjk::DOUBLE FROM per_line WHERE cjk > 24
+UNION ALL SELECT doc_id, seq, label, 'latin_words_exceeded', words::DOUBLE FROM per_line WHERE words > 14
+UNION ALL SELECT doc_id, seq, NULL, 'empty_correction', NULL FROM varied WHERE trim(corrected_text) = ''
+UNION ALL SELECT doc_id, seq, NULL, 'target_language_unexpected', NULL FROM lang WHERE CASE target WHEN 'en' THEN letters = 0 AND cjk / n > 0.5 ELSE letters / length(translated_text) > 0.8 END""")
+def check_quality_variants(spark, sf_dir):
+    """Corrected texts, some blank and some with long CJK lines, and translations in the wrong script: rules that plain turns never break."""
+    cues = X.conversation_cues(spark, sf_dir)
+    n = F.col("doc_id") + F.col("seq")
+    corrected = F.when(n % 4 == 0, F.lit("  ")).when(n % 4 == 1, F.concat("source_text", F.lit(" " + "漢" * 30))).when(n % 4 == 3, F.concat_ws(" ", "source_text", "source_text"))
+    translated = F.when(n % 3 == 0, F.lit("漢字" * 20)).when(n % 3 == 1, F.concat(F.lit("plainwordsonlyhere "), F.col("seq").cast("string"))).otherwise(F.col("translated_text"))
+    cues = cues.withColumns({"corrected_text": corrected, "translated_text": translated})
+    docs = X.cue_documents(cues).withColumn("target_language", F.when(F.col("doc_id") % 2 == 0, F.lit("en")).otherwise(F.lit("zh-CN")))
+    found = Q.check_quality(cues, docs).where(F.col("label").isNotNull() | F.col("code").isin("empty_correction", "target_language_unexpected"))
+    return found.select("doc_id", "seq", "label", "code", F.round("measured", 6).alias("measured"))
+
+
 ALL_ISSUES = (TURN_CUES, TIMING_SQL, TRANSLATION_SQL, LAYOUT_SQL, "issues AS (SELECT doc_id, seq, cue_id, code FROM timing UNION ALL SELECT doc_id, seq, cue_id, code FROM translation UNION ALL SELECT doc_id, seq, cue_id, code FROM layout)")
 SEVERE = "('empty_source', 'empty_correction', 'empty_translation', 'invalid_duration', 'overlap')"
 MENDS = "(" + ", ".join(f"'{c}'" for c in Q.REPAIRABLE) + ")"
@@ -774,6 +806,143 @@ def parse_model_responses(spark, sf_dir):
     return transcripts.parse_model_responses(replies)[0]
 
 
+# Files: written from the tables to the shared folder and read back
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, as the path that tasks see."""
+    return f"{sinks.shared_folder(spark).removeprefix('file://')}/files-{uuid.uuid4().hex}"
+
+
+def supplier_files(spark, sf_dir) -> str:
+    """One small file for each supplier: in a folder by nation, with suffixes in either case, some names hidden."""
+    s, out = table(spark, sf_dir, "supplier"), folder(spark)
+    k = F.col("s_suppkey")
+    suffix = F.when(k % 4 == 0, ".MP3").when(k % 4 == 1, ".json").when(k % 4 == 2, ".wav").otherwise(".txt")
+    name = F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"), F.lit("/"), F.when(k % 7 == 0, "_").otherwise(""), F.when(k % 2 == 0, "Take").otherwise("take"), k.cast("string"), suffix)
+    sinks.write_documents(s.select(name.alias("rel_path"), F.concat(F.col("s_name"), F.when(k % 5 == 0, " key-123").otherwise("")).alias("body")), out)
+    return out
+
+
+FILES_SQL = """f AS (SELECT s_suppkey AS k, 'Nation ' || s_nationkey || '/' || CASE WHEN s_suppkey % 7 = 0 THEN '_' ELSE '' END || CASE WHEN s_suppkey % 2 = 0 THEN 'Take' ELSE 'take' END || s_suppkey
+  || CASE s_suppkey % 4 WHEN 0 THEN '.MP3' WHEN 1 THEN '.json' WHEN 2 THEN '.wav' ELSE '.txt' END AS rel_path, s_name || CASE WHEN s_suppkey % 5 = 0 THEN ' key-123' ELSE '' END AS body FROM supplier)"""
+
+
+@query(with_(FILES_SQL) + "SELECT rel_path, strlen(body) AS length FROM f WHERE k % 4 <> 3")
+def discover_inputs(spark, sf_dir):
+    return files.discover_inputs(spark, supplier_files(spark, sf_dir)).select("rel_path", "length")
+
+
+@query(with_(FILES_SQL) + "SELECT rel_path, row_number() OVER (ORDER BY lower(rel_path), rel_path) - 1 AS place FROM f")
+def order_inputs(spark, sf_dir):
+    """The place of each file in order, from a stored copy of the ordered rows."""
+    ordered = files.order_inputs(files.list_files(spark, supplier_files(spark, sf_dir)))
+    ranked = ordered.select("rel_path", F.monotonically_increasing_id().alias("i"))
+    return ranked.select("rel_path", (F.row_number().over(Window.orderBy("i")) - 1).cast("bigint").alias("place"))
+
+
+@query(with_(FILES_SQL) + "SELECT sha256(body) AS sha256 FROM f WHERE k % 7 <> 0 AND rel_path NOT LIKE '%.txt'")
+def file_checksums(spark, sf_dir):
+    return files.file_checksums(spark, supplier_files(spark, sf_dir), [".txt"]).select("sha256")
+
+
+@query(with_(FILES_SQL) + "SELECT rel_path FROM f WHERE k % 7 <> 0 AND k % 5 = 0")
+def secret_scan(spark, sf_dir):
+    found = files.secret_scan(spark, supplier_files(spark, sf_dir), ["key-123", ""])
+    return found.select(F.regexp_replace(F.regexp_replace("path", "%20", " "), "^.*/(?=Nation )", "").alias("rel_path"))
+
+
+def doc_of_path(suffix: str):
+    return F.regexp_extract("doc_id", rf"/(-?\d+)\{suffix}$", 1).cast("bigint").alias("doc_id")
+
+
+def conversation_words(spark, sf_dir):
+    """The words of all turns of a conversation, one transcript each."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("x"))
+    return X.timed_words(turns.select("doc_id", F.array_join(F.col("x.t"), " ").alias("text")))
+
+
+CONVERSATION_WORDS = X.WORDS_SQL.replace("{texts}", "SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+
+
+def transcript_files(spark, sf_dir) -> str:
+    w, out = conversation_words(spark, sf_dir), folder(spark)
+    docs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    docs = docs.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.lit("en")).alias("language"), F.lit("t").alias("text"), F.lit("asr_native").alias("timing_origin"), F.lit("p").alias("provider"), F.lit("m").alias("model_name"))
+    sinks.write_transcripts(docs, w, X.word_segments(w), docs.select("doc_id", F.col("doc_id").cast("string").alias("stem")), out)
+    return out
+
+
+@query(with_(CONVERSATION_WORDS) + "SELECT doc_id, seq, word_id, text, start_ms, end_ms FROM words")
+def read_transcripts(spark, sf_dir):
+    t = transcripts.read_transcripts(spark, transcript_files(spark, sf_dir))
+    return t.words.select(doc_of_path(".transcript.json"), "seq", "word_id", "text", "start_ms", "end_ms")
+
+
+@query(with_(CONVERSATION_WORDS) + "SELECT doc_id, ((seq - 1) // 10 + 1)::INT AS seq, min(start_ms) AS start_ms, max(end_ms) AS end_ms, md5(string_agg(word_id, ',' ORDER BY seq)) AS words FROM words GROUP BY ALL")
+def write_transcripts(spark, sf_dir):
+    t = transcripts.read_transcripts(spark, transcript_files(spark, sf_dir))
+    return t.segments.select(doc_of_path(".transcript.json"), "seq", "start_ms", "end_ms", F.md5(joined(F.col("word_ids"), ",").cast("binary")).alias("words"))
+
+
+@query(with_(TURN_CUES) + "SELECT doc_id, seq, cue_id, start_ms, end_ms, source_text, translated_text FROM cues")
+def read_subtitle_json(spark, sf_dir):
+    cues, out = X.conversation_cues(spark, sf_dir), folder(spark)
+    docs = X.cue_documents(cues)
+    sinks.write_documents(sinks.render_formats(cues, docs, docs.select("doc_id", F.col("doc_id").cast("string").alias("stem")), ("json",)), out)
+    back, _ = transcripts.read_subtitle_json(spark, out)
+    return back.select(doc_of_path(".subtitle.json"), "seq", "cue_id", "start_ms", "end_ms", "source_text", "translated_text")
+
+
+@query(with_(TURN_CUES, RENDER_SQL.replace("{m}", ",")) + "SELECT doc_id, sha256(string_agg(b, chr(10) || chr(10) ORDER BY seq) || chr(10)) AS sha256 FROM blocks GROUP BY doc_id")
+def write_documents(spark, sf_dir):
+    """SRT files, and their checksums."""
+    cues, out = X.conversation_cues(spark, sf_dir), folder(spark)
+    docs = X.cue_documents(cues)
+    sinks.write_documents(sinks.render_formats(cues, docs, docs.select("doc_id", F.concat(F.lit("sub/"), F.col("doc_id").cast("string")).alias("stem")), ("srt",)), out)
+    return files.file_checksums(spark, out).withColumnRenamed("path", "doc_id").select(doc_of_path(".srt"), "sha256")
+
+
+@query(with_(TURN_CUES) + "SELECT doc_id, seq, start_ms, source_text FROM cues")
+def write_stage_tables(spark, sf_dir):
+    return sinks.write_stage_tables("cues", X.conversation_cues(spark, sf_dir), folder(spark)).select("doc_id", "seq", "start_ms", "source_text")
+
+
+@query("""SELECT c_custkey, ord, n_name AS source, lower(n_name) AS target FROM customer JOIN (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey)::INT AS ord FROM nation) ON c_nationkey = n_nationkey""")
+def glossary_table(spark, sf_dir):
+    """The nations as a glossary, whose entries number them from 1; each customer's term."""
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    g = transcripts.glossary_table(spark, [(r.n_name, r.n_name.lower(), None) for r in nations])
+    c = table(spark, sf_dir, "customer")
+    return c.join(g, F.col("c_nationkey") + 1 == F.col("ord")).select("c_custkey", F.col("ord").cast("int").alias("ord"), "source", "target")
+
+
+@query(with_(TURN_CUES, BATCHES.replace("{n}", "3"), f"x AS (SELECT i.doc_id, i.batch_id, i.id, {STRIPPED} AS t FROM items i JOIN cues c ON c.doc_id = i.doc_id AND c.cue_id = i.id)") + """
+SELECT doc_id, id, 'correction' AS stage, t AS text, NULL::VARCHAR AS error FROM x UNION ALL SELECT doc_id, id, 'translation', '[de] ' || t, 'PermanentError' FROM x UNION ALL SELECT doc_id, id, 'repair', '[de] ' || t, NULL FROM x""")
+def default_text_fns(spark, sf_dir):
+    """All three stages of the native functions, of which translation is told to fail."""
+    req, out = requests(spark, sf_dir), None
+    for stage in ("correction", "translation", "repair"):
+        updates, done = G.default_text_fns("translation").outcomes(req, stage, "de")
+        part = updates.join(done, ["doc_id", "batch_id"]).select("doc_id", "id", F.lit(stage).alias("stage"), "text", F.col("error_type").alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(with_(CONVERSATION_WORDS) + "SELECT c.doc_id, count(w.seq) AS n_words, c.doc_id % 3 > 0 AS good FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) c LEFT JOIN words w ON w.doc_id = c.doc_id GROUP BY ALL")
+def stream_transcripts(spark, sf_dir):
+    """A stream picks up transcript files; those without a language count as failed."""
+    source, out = transcript_files(spark, sf_dir), folder(spark)
+
+    def handle(batch):
+        rows = batch.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.col("language").isNotNull().alias("good"))
+        return rows.where("good"), rows.where("NOT good")
+
+    streams.stream_transcripts(spark, source, handle, f"{out}/good", f"{out}/failed", f"{out}/check", max_files=10_000).awaitTermination()
+    rows = spark.read.schema("doc_id string, n_words bigint, good boolean").parquet(f"{out}/good/*", f"{out}/failed/*")
+    return rows.select(doc_of_path(".transcript.json"), "n_words", "good")
+
+
 # Audits
 
 
@@ -837,7 +1006,8 @@ PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF, recursive=True)
 @query(PIPELINE_CUES + f"SELECT doc_id, seq, start_ms, end_ms, {STRIPPED} AS corrected_text, '[en] ' || {STRIPPED} AS translated_text FROM cues")
 def run_pipeline(spark, sf_dir):
     w = X.turn_words(spark, sf_dir)
-    docs = w.select("doc_id").distinct().select("doc_id", F.lit("und").alias("language"), F.lit("t").alias("text"), F.lit("asr_native").alias("timing_origin"), F.lit("p").alias("provider"), F.lit("m").alias("model_name"))
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts.select("doc_id", F.lit("und").alias("language"), "text", F.lit("asr_native").alias("timing_origin"), F.lit("p").alias("provider"), F.lit("m").alias("model_name"))
     out = P.run_pipeline(transcripts.Transcripts(docs, w, X.no_segments(w)), Options())
     return out.cues.select("doc_id", "seq", "start_ms", "end_ms", "corrected_text", "translated_text")
 

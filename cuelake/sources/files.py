@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +15,52 @@ TRANSCRIPT_SUFFIXES = (".json",)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel_path, length of all files under root; contents are not read. Names beginning with _ or . are skipped, as Spark does."""
+    """path, rel_path, length of all files under root, or of the file root itself; contents are not read."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    prefix = fs.makeQualified(base).toString().rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    strip = F.expr(f"substring(path, length('{prefix.split(':', 1)[-1]}') + locate('{prefix.split(':', 1)[-1]}', path))")
-    return rows.select("path", strip.alias("rel_path"), "length")
+    whole = fs.makeQualified(base).toString().rstrip("/")
+    alone = fs.getFileStatus(base).isFile()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    hidden = [] if alone else hidden_files(spark, fs, root)
+    if hidden:
+        found = found.unionByName(spark.createDataFrame(hidden, "path string, length bigint"))
+    # Without its beginning, since a scheme may be written in two ways.
+    folder = (whole.rpartition("/")[0] if alone else whole).split(":", 1)[-1].lstrip("/") + "/"
+    return found.select("path", F.substr(F.col("path"), F.locate(folder, F.col("path")) + F.lit(len(folder))).alias("rel_path"), "length")
+
+
+def hidden_files(spark: SparkSession, fs: Any, root: str) -> list[tuple[str, int]]:
+    """Path and length of the few files that Spark's readers skip: those whose name, or whose folder's, begins with _ or a dot.
+
+    The driver lists names only, one depth at a time, as Spark's file sources do.
+    """
+    level = re.sub(r"([\\*?\[\]{}])", r"\\\1", root.rstrip("/"))
+    make, out = spark._jvm.org.apache.hadoop.fs.Path, set()
+    while fs.globStatus(make(f"{level}/*")):
+        for status in fs.globStatus(make(f"{level}/[_.]*")):
+            if status.isFile():
+                out.add((status.getPath().toString(), status.getLen()))
+                continue
+            files = fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                file = files.next()
+                out.add((file.getPath().toString(), file.getLen()))
+        level += "/*"
+    return sorted(out)
+
+
+def order_inputs(files: DataFrame) -> DataFrame:
+    """Files by folded relative path, then path."""
+    return files.orderBy(F.lower("rel_path"), "rel_path")
 
 
 def discover_inputs(spark: SparkSession, root: str, suffixes: Sequence[str] = MEDIA_SUFFIXES + TRANSCRIPT_SUFFIXES) -> DataFrame:
-    """Files whose suffix is one of suffixes, whatever its case, by folded relative path, then path; none is an error."""
+    """Files whose suffix is one of suffixes, whatever its case, in order; none is an error."""
     suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
-    found = list_files(spark, root).where(suffix.isin(*[s.lower() for s in suffixes])).orderBy(F.lower("rel_path"), "rel_path")
+    found = list_files(spark, root).where(suffix.isin(*[s.lower() for s in suffixes]))
     if found.isEmpty():
         raise FileNotFoundError(f"no input files under {root}")
-    return found
+    return order_inputs(found)
 
 
 def read_contents(spark: SparkSession, root: str) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass
 from datetime import datetime
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -82,44 +83,38 @@ def render_transcript_json(docs: DataFrame, words: DataFrame, segments: DataFram
 
 @dataclass
 class Written(WriterCommitMessage):
-    pairs: list[tuple[str, str]]
+    count: int
 
 
 class DocumentWriter(DataSourceWriter):
-    """Writes to temporary names in the tasks; the driver renames all at the end or deletes all."""
+    """Writes a partition's files under temporary names, then gives them their own; the driver hears of counts alone."""
 
-    def __init__(self, root: str, overwrite: bool):
-        self.root, self.overwrite = root, overwrite
+    def __init__(self, root: str):
+        self.root = root
 
     def write(self, rows: Iterator) -> Written:
         pairs = []
-        for row in rows:
-            final = os.path.normpath(os.path.join(self.root, row.rel_path))
-            if not final.startswith(os.path.normpath(self.root) + os.sep):
-                raise ValueError(f"path leaves the output folder: {row.rel_path}")
-            if os.path.exists(final) and not self.overwrite:
-                raise FileExistsError(f"output exists: {final}")
-            os.makedirs(os.path.dirname(final), exist_ok=True)
-            temporary = f"{final}.{uuid.uuid4().hex}.tmp"
-            with open(temporary, "w", encoding="utf-8", newline="") as f:
-                f.write(row.body)
-            pairs.append((temporary, final))
-        return Written(pairs)
+        try:
+            for row in rows:
+                final = os.path.join(self.root, row.rel_path)
+                os.makedirs(os.path.dirname(final), exist_ok=True)
+                temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+                pairs.append((temporary, final))
+                with open(temporary, "w", encoding="utf-8", newline="") as f:
+                    f.write(row.body)
+            for temporary, final in pairs:
+                os.replace(temporary, final)
+        finally:
+            for temporary, _ in pairs:
+                if os.path.exists(temporary):
+                    os.remove(temporary)
+        return Written(len(pairs))
 
     def commit(self, messages: list[Written | None]) -> None:
-        pairs = [p for m in messages if m for p in m.pairs]
-        finals = [f for _, f in pairs]
-        if len(set(finals)) < len(finals):
-            self.abort(messages)
-            raise ValueError("two documents have one output path")
-        for temporary, final in pairs:
-            os.replace(temporary, final)
+        pass
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            for temporary, _ in m.pairs if m else ():
-                if os.path.exists(temporary):
-                    os.remove(temporary)
+        pass
 
 
 class DocumentSource(DataSource):
@@ -133,15 +128,39 @@ class DocumentSource(DataSource):
         return "rel_path string, body string"
 
     def writer(self, schema, overwrite: bool) -> DocumentWriter:
-        return DocumentWriter(self.options["path"], overwrite)
+        return DocumentWriter(self.options["path"])
 
 
 def write_documents(rendered: DataFrame, out: str, overwrite: str = "error") -> None:
-    """One file for each row of rendered (rel_path, body); overwrite: error or replace."""
+    """One file for each row of rendered (rel_path, body) under a mounted folder; overwrite: error or replace.
+
+    All paths are checked before the first file is written: paths that leave the folder, two
+    documents with one path, and files that are there already (for error) stop the whole. Files
+    of a partition appear together; a task that is run again replaces what it wrote.
+    """
     if overwrite not in ("error", "replace"):
         raise ValueError("overwrite must be error or replace")
-    rendered.sparkSession.dataSource.register(DocumentSource)
-    rendered.select("rel_path", "body").write.format("cue_documents").mode("overwrite" if overwrite == "replace" else "append").save(out)
+    spark, root = rendered.sparkSession, os.path.normpath(out)
+    rows = write_stage_tables(f"rendered-{uuid.uuid4().hex}", rendered.select("rel_path", "body"), shared_folder(spark))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = []
+            for rel_path in b.column("rel_path").to_pylist():
+                final = os.path.normpath(os.path.join(root, rel_path))
+                if not final.startswith(root + os.sep):
+                    bad.append(f"path leaves the output folder: {rel_path}")
+                elif overwrite == "error" and os.path.exists(final):
+                    bad.append(f"output exists: {final}")
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["message"])
+
+    wrong = rows.select("rel_path").mapInArrow(check, "message string")
+    twice = rows.groupBy("rel_path").count().where("count > 1").select(F.concat(F.lit("two documents have one output path: "), "rel_path").alias("message"))
+    first = wrong.union(twice).orderBy("message").first()
+    if first is not None:
+        raise (FileExistsError if first.message.startswith("output exists") else ValueError)(first.message)
+    spark.dataSource.register(DocumentSource)
+    rows.write.format("cue_documents").mode("append").save(out)
 
 
 def render_formats(cues: DataFrame, cue_docs: DataFrame, stems: DataFrame, formats: Sequence[str] = ("srt", "json"), bilingual: bool = True, max_line_chars: int | None = None, max_lines: int = 2) -> DataFrame:

@@ -245,6 +245,95 @@ def test_text_stages_keep_times(spark):
     assert sorted(out.select(*key).collect()) == sorted(c.select(*key).collect())
 
 
+def shout():
+    return lambda items, context: {x["id"]: f"{context['content']['tone']}:{context['content']['summary']}:{context['glossary'][0]['note']}:{x['text']}" for x in items}
+
+
+def keep_texts():
+    return lambda items, context: {x["id"]: x["text"] for x in items}
+
+
+def describe():
+    def fn(text):
+        if "broken" in text:
+            raise RuntimeError(text)
+        return {"summary": text[:5], "domain": "d", "tone": "calm"}
+
+    return fn
+
+
+def test_user_functions_from_end_to_end(spark, tmp_path):
+    """Context, glossary and options reach the user's functions, in both pipelines."""
+    g = transcripts.glossary_table(spark, [("none", "none", "a note")])
+    fns = G.UserFns({"correction": keep_texts, "translation": shout, "repair": keep_texts, "context": describe})
+    t = transcripts.normalize_segments_json(golden(spark))
+    options = Options.of({"correction": {"parallelism": 2, "retries": 1}, "repair": {"enabled": False}})
+    out = run_pipeline(t, options, fns, glossary=g, workdir=str(tmp_path / "w"), secrets=["a note"])
+    text = t.docs.first().text[:5]
+    assert [r.translated_text for r in by_seq(out.cues)] == [f"calm:{text}:a note:{x}" for x in ("今天错误。", "明天！", "好？")]
+    events = spark.read.parquet(str(tmp_path / "w" / "events"))
+    assert {(r.stage, r.status) for r in events.collect()} >= {("segmented", "started"), ("segmented", "completed"), ("quality", "completed")}
+    assert json.loads(spark.read.parquet(str(tmp_path / "w" / "run")).first().options)["correction"]["parallelism"] == 2
+    c = cues(spark, ["broken one", "two"], "e").unionByName(cues(spark, ["fine", "two"], "f", corrected="better"))
+    got = refine(c, cue_documents(c, None), options, fns, glossary=g)
+    texts = {(r.doc_id, r.seq): r.translated_text for r in got.cues.collect()}
+    assert texts["e", 1] == "::a note:broken one" and texts["f", 2] == "calm:bette:a note:two"
+    assert {r.doc_id: r.warnings for r in got.contexts.collect()} == {"e": [], "f": []}
+    off = refine(c, cue_documents(c, None), Options.of({"context_enabled": False, "repair": {"enabled": False}}), fns, glossary=g)
+    assert off.contexts.count() == 0 and off.cues.where("translated_text LIKE '::a note:%'").count() == 4
+    with pytest.raises(ValueError, match="no user function"):
+        refine(c, cue_documents(c, None), options, G.UserFns({"correction": keep_texts}))
+
+
+def test_context_failure_goes_on(spark):
+    rows = spark.createDataFrame([("a", "broken"), ("b", "x" * 30)], "doc_id string, text string")
+    got = {r.doc_id: (r.summary, r.warnings) for r in G.content_context(rows, G.UserFns({"context": describe}), limit=20).collect()}
+    assert got == {"a": ("", ["context_analysis_fallback:RuntimeError"]), "b": ("xxxxx", ["context_analysis_truncated"])}
+    got = G.content_context(rows, G.NativeFns("context")).first()
+    assert got.summary == "" and got.warnings == ["context_analysis_fallback:PermanentError"]
+
+
+def choose_ends():
+    def fn(tokens):
+        if any(x["text"] == "t5" for x in tokens):
+            raise RuntimeError("no")
+        return [tokens[-1]["id"]]
+
+    return fn
+
+
+def test_user_chooser(spark):
+    words = spark.createDataFrame([("d", k + 1, f"w{k}", f"t{k}", 500 * k, 500 * k + 300, None) for k in range(6)], "doc_id string, seq int, word_id string, text string, start_ms bigint, end_ms bigint, confidence double")
+    none = spark.createDataFrame([], "doc_id string, seq int, segment_id string, text string, start_ms bigint, end_ms bigint, word_ids array<string>")
+    got = by_seq(S.segment(words, none, G.user_chooser(choose_ends), size=2))
+    assert [c.source_text for c in got] == ["t0 t1", "t2 t3", "t4 t5"] and all(c.warnings == ["segmentation_fallback"] for c in got)
+
+
+def test_silence_option(spark):
+    """The rules' silence comes from the options."""
+    words = spark.createDataFrame([("d", k + 1, f"w{k}", "a", 1000 * k, 1000 * k + 400, None) for k in range(4)], "doc_id string, seq int, word_id string, text string, start_ms bigint, end_ms bigint, confidence double")
+    p = S.gap_after(S.make_pieces(words, spark.createDataFrame([], "doc_id string, seq int, segment_id string, text string, start_ms bigint, end_ms bigint, word_ids array<string>")))
+    assert S.rule_boundaries(p, 600).count() == 4 and S.rule_boundaries(p, 601).count() == 1
+    assert S.rule_cues(p, 600).count() == 4
+
+
+def test_hidden_names_and_a_single_file(spark, tmp_path):
+    for name in ("_take1.wav", "a/.b.mp3", "_c/d.mp4", "a/e.ogg", "_x.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert sorted(r.rel_path for r in discover_inputs(spark, str(tmp_path)).collect()) == ["_c/d.mp4", "_take1.wav", "a/.b.mp3", "a/e.ogg"]
+    assert [r.rel_path for r in discover_inputs(spark, str(tmp_path / "a" / "e.ogg")).collect()] == ["e.ogg"]
+
+
+def test_two_documents_with_one_path(spark, tmp_path):
+    rows = spark.createDataFrame([("a.srt", "x"), ("b.srt", "y"), ("a.srt", "z")], "rel_path string, body string")
+    with pytest.raises(ValueError, match="one output path"):
+        sinks.write_documents(rows, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="leaves"):
+        sinks.write_documents(spark.createDataFrame([("../a.srt", "x")], "rel_path string, body string"), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
 def test_segment_words_only_of_good_documents(spark):
     t = transcripts.normalize_segments_json(golden(spark))
     t.words = t.words.withColumn("text", F.when(F.col("seq") == 2, F.lit(" ")).otherwise(F.col("text")))
