@@ -53,8 +53,12 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 def drop_stored(*tables: DataFrame) -> None:
     """Deletes stored tables that no later step reads."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_remainder(doc_id: Column, modulus: int) -> Column:

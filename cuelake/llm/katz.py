@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, drop_stored, mix64, stored, texts
+from .common import crc_remainder, delete, drop_stored, mix64, shared_dir, stored, texts
 from .nearjoin import runs
 
 K = 5
@@ -428,7 +428,8 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     # As many buckets as a join would make parts, so that the block table is never shuffled.
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"katz_blocks_{uuid.uuid4().hex}"
-    encode_blocks(docs).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    encode_blocks(docs).write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
     try:
         blocks = spark.table(name)
         total = blocks.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
@@ -451,3 +452,4 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         return scores
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)

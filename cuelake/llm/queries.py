@@ -28,7 +28,8 @@ def split_pattern() -> str:
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"))
+    """The contract's columns, and mean_score: the log10 probability of a token on average."""
+    return katz.katz_scores(table(spark, sf_dir, "documents")).withColumn("mean_score", F.col("score") / F.col("n_tokens"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = "CASE x.kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 ELSE 3 END"
     ranked = F.expr(f"transform(concat(base, added), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', x.kind))")
     counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(ranked)).alias("spans"))
+    n_spans = (F.size("base") + F.size("added")).cast("bigint").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(ranked)).alias("spans"), n_spans)
 
 
 def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
