@@ -45,3 +45,19 @@ def test_null_id(spark):
     line = "a line that is long enough to count"
     got = {r.doc_id: r.n_dropped for r in dedup_lines(docs(spark, [(None, line), (1, line), (2, line)])).collect()}
     assert got == {None: 1, 1: 1, 2: 0}
+
+
+def test_hot_keys_join_apart(spark, monkeypatch, tmp_path):
+    """Keys over the share are met in a small table, the others in a shuffle; the rows are those of a plain join."""
+    from collections import Counter
+
+    from cuelake.llm import common
+
+    rows = [(k % 50 if k % 3 else 7, k) for k in range(600)] + [(99, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "key int, x int")
+    sizes = Counter(k for k, _ in rows if k is not None and k != 99)
+    keys = spark.createDataFrame([(k, n, f"p{k}") for k, n in sizes.items()], "key int, n bigint, payload string")
+    want = Counter((k, x, sizes[k], f"p{k}") for k, x in rows if k in sizes)
+    for hot in (1, 10, 2000):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert Counter(map(tuple, common.hot_join(df, keys, ["key"], "n", ["x"]).collect())) == want
