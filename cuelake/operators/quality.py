@@ -100,6 +100,7 @@ def check_quality(cues: DataFrame, cue_docs: DataFrame, options: QualityOptions
     letters = F.regexp_count(tra, F.lit("[A-Za-z]"))
     foreign_en = folded.startswith("en") & (T.cjk_ratio(tra) > 0.5) & (letters == 0)
     foreign_cjk = (folded.startswith("zh") | folded.startswith("ja")) & (letters > 0) & (letters / F.greatest(F.length(tra), F.lit(1)) > 0.8)
+    # Codes, severities and messages of a report, here and in layout().
     simple = [
         _issue(1, "empty_source", "error", T.is_blank(src), "source text is empty"),
         _issue(2, "empty_correction", "error", T.is_blank(cor), "corrected text is empty"),

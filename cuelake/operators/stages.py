@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..sources.sinks import shared_folder, write_stage_tables
 from .quality import glossary_rows, select_repair_cues
 
+#: The style rules that each request carries.
 STYLE_RULES = ("faithful", "concise", "subtitle-readable")
 ITEM = "struct<id: string, text: string>"
 

@@ -72,6 +72,7 @@ def test_retries_then_succeeds(spark, tmp_path):
 
 
 def test_protected_content(spark):
+    # Golden input: the sentence is a fixed value.
     def make():
         return lambda items, context: {x["id"]: "rewritten" for x in items}
 
@@ -86,6 +87,7 @@ def test_cleanup(spark):
 
 
 def test_translation_checks(spark):
+    # Golden input: the sentences are fixed values.
     c = cues(spark, ["API version 42 at https://example.test"], translated="API version")
     g = transcripts.glossary_table(spark, [("API", "Schnittstelle", None)])
     codes = {r.code for r in Q.check_quality(c, cue_documents(c, "de"), glossary=g).collect()}
