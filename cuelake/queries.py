@@ -833,12 +833,12 @@ def discover_inputs(spark, sf_dir):
     return files.discover_inputs(spark, supplier_files(spark, sf_dir)).select("rel_path", "length")
 
 
-@query(with_(FILES_SQL) + "SELECT rel_path, row_number() OVER (ORDER BY lower(rel_path), rel_path) - 1 AS place FROM f")
+@query(with_(FILES_SQL) + "SELECT rel_path, row_number() OVER (PARTITION BY split_part(rel_path, '/', 1) ORDER BY lower(rel_path), rel_path) - 1 AS place FROM f")
 def order_inputs(spark, sf_dir):
-    """The place of each file in order, from a stored copy of the ordered rows."""
+    """The place of each file among those of its folder, by the order of the rows."""
     ordered = files.order_inputs(files.list_files(spark, supplier_files(spark, sf_dir)))
     ranked = ordered.select("rel_path", F.monotonically_increasing_id().alias("i"))
-    return ranked.select("rel_path", (F.row_number().over(Window.orderBy("i")) - 1).cast("bigint").alias("place"))
+    return ranked.select("rel_path", (F.row_number().over(Window.partitionBy(F.substring_index("rel_path", "/", 1)).orderBy("i")) - 1).cast("bigint").alias("place"))
 
 
 @query(with_(FILES_SQL) + "SELECT sha256(body) AS sha256 FROM f WHERE k % 7 <> 0 AND rel_path NOT LIKE '%.txt'")
