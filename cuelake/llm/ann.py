@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop_stored, stored
+
 SAMPLE = 20_000
 MOST_CENTROIDS = 512
 CHUNK = 50_000
@@ -174,7 +176,8 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
                 x = matrix(b.column("v"))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(nearest(x[:, :half], one), pa.int32()), pa.array(nearest(x[:, half:], two), pa.int32())], ["vec_id", "v", "c1", "c2"])
 
-    index = kept.mapInArrow(place, "vec_id bigint, v array<double>, c1 int, c2 int")
+    # Stored, since the sizes of cells, the probes and the ranking all read it.
+    index = stored(kept.mapInArrow(place, "vec_id bigint, v array<double>, c1 int, c2 int"), "index")
     # At most MOST_CENTROIDS squared counts.
     sizes = np.zeros((len(one), len(two)), np.int64)
     for r in index.groupBy("c1", "c2").count().collect():
@@ -265,4 +268,6 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
 
     found = dealt.mapInArrow(rank, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    drop_stored(index)
+    return out
