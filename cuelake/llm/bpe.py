@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts, worker_held
 
 #: Bytes of the cache of one Python worker, and what an entry takes besides its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 64_000_000, 200
+CACHE_BYTES, ENTRY_BYTES = 128_000_000, 200
 #: Longer pre-tokens are not kept in the cache, and use arrays of machine integers.
 LONG = 4096
 LEAF_BITS = 8
