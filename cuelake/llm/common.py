@@ -200,3 +200,24 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batches of a sorted stream in stretches of equal values of the integer columns `keys`."""
+    for batch in batches:
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if not batch.num_rows:
+            continue
+        moved = np.zeros(batch.num_rows, bool)
+        moved[0] = True
+        for v in values:
+            moved[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(moved).tolist()
+        for at, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield tuple(int(v[at]) for v in values), batch.slice(at, end - at)
+
+
+def n_chunks(spark: SparkSession, rows: int, most: int, least: int) -> int:
+    """Chunks of `most` rows at most; smaller ones, not under `least`, while there are fewer than shuffle partitions."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // most), min(partitions, rows // least))

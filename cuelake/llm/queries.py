@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, katz, linededup, nearjoin, pii, tokencount, toxicity
+from . import ann, balltree, bpe, chat, covertree, decontam, hardneg, katz, linededup, nearjoin, pii, tokencount, toxicity
 from .common import crc_remainder
 
 
@@ -82,6 +82,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 first get the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -103,6 +117,71 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
+#: The vectors that take part, in both searches below.
+USABLE_SQL = """
+good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP11_SQL = f"""
+WITH {USABLE_SQL},
+q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(v, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v
+  FROM good WHERE label IS NOT NULL),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank,
+         n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE {USABLE_SQL},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id
+   AND len(list_filter(a.v, lambda x: x <> 0)) > 0 AND len(list_filter(b.v, lambda x: x <> 0)) > 0
+   AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT l.vec_id, coalesce(c.n_links, 0) AS n_links, l.component_id, l.vec_id = l.component_id AS kept
+FROM least l LEFT JOIN counts c ON l.vec_id = c.vec_id
+"""
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+sized AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM lengths, totals),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sized USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_byte_bpe": op2_byte_bpe,
@@ -114,6 +193,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_inverted_multi_index": op8_inverted_multi_index,
     "op9_chat_windows": op9_chat_windows,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_cover_tree": op12_cover_tree,
+    "op13_ball_tree": op13_ball_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op12_cover_tree": OP12_SQL, "op13_ball_tree": OP13_SQL}
