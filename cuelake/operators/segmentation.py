@@ -3,12 +3,16 @@
 Windows partition by doc_id, and boundaries meet their pieces by (doc_id, seq), or by
 (doc_id, window_id) in windows; the greedy cutter deals spans by (doc_id, span). Where
 boundaries come from the rows of the pieces themselves they are a column, not a join.
+
+Where a document may be too long for one task, `stretch` cuts it: rows are then dealt by
+(doc_id, seq // stretch), and what a row needs from other stretches (the first row of the
+next one, the last of the one before, sums over all before) comes from a table of one row for each
+stretch (`carried`), so that no task holds or reads a whole document. The rows are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,18 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.timecode import make_cue_id
-
-SILENCE_MS = 700
-
-
-@dataclass(frozen=True)
-class Limits:
-    max_duration_ms: int = 7_000
-    max_chars_cjk: int = 24
-    max_words_latin: int = 14
-    max_cps: float = 17.0
-    silence_ms: int = SILENCE_MS
-
+from .cutter import SILENCE_MS, Cutter, Limits, cuts_in_stretches
 
 def in_order(*more: str) -> Window:
     return Window.partitionBy("doc_id", *more).orderBy("seq")
@@ -40,23 +33,53 @@ def make_pieces(words: DataFrame, segments: DataFrame) -> DataFrame:
     return own.unionByName(bare.select("doc_id", "seq", F.col("segment_id").alias("piece_id"), "text", "start_ms", "end_ms", F.array().cast("array<string>").alias("source_word_ids")))
 
 
-def gap_after(pieces: DataFrame) -> DataFrame:
+def carried(rows: DataFrame, stretch: int, first: dict[str, str] | None = None, last: dict[str, str] | None = None, sums: dict[str, str] | None = None, totals: dict[str, str] | None = None) -> DataFrame:
+    """Adds _part and, from the other stretches of a document, columns by name.
+
+    first: a column's value in the next stretch's first row; last: in the last row of the one before; sums: its sum over all
+    stretches before; totals: over the whole document.
+    """
+    placed = rows.withColumn("_part", F.floor(F.col("seq") / stretch))
+    aggs = [F.min_by(c, "seq").alias(n) for n, c in (first or {}).items()] + [F.max_by(c, "seq").alias(n) for n, c in (last or {}).items()]
+    aggs += [F.sum(c).alias(n) for n, c in ((sums or {}) | (totals or {})).items()]
+    edges = placed.groupBy("doc_id", "_part").agg(*aggs)
+    by_part = Window.partitionBy("doc_id").orderBy("_part")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    columns = [F.lead(n).over(by_part).alias(n) for n in first or {}] + [F.lag(n).over(by_part).alias(n) for n in last or {}]
+    columns += [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums or {}] + [F.sum(n).over(Window.partitionBy("doc_id")).alias(n) for n in totals or {}]
+    return placed.join(edges.select("doc_id", "_part", *columns), ["doc_id", "_part"])
+
+
+def gap_after(pieces: DataFrame, stretch: int | None = None) -> DataFrame:
     """Adds gap_after_ms: the silence before the next piece, 0 for the last."""
-    gap = F.lead("start_ms").over(in_order()) - F.col("end_ms")
-    return pieces.withColumn("gap_after_ms", F.coalesce(F.greatest(gap, F.lit(0)), F.lit(0)))
+    if stretch is None:
+        after = F.lead("start_ms").over(in_order())
+    else:
+        pieces = carried(pieces, stretch, first={"_next": "start_ms"})
+        after = F.coalesce(F.lead("start_ms").over(in_order("_part")), F.col("_next"))
+    return pieces.withColumn("gap_after_ms", F.coalesce(F.greatest(after - F.col("end_ms"), F.lit(0)), F.lit(0))).drop("_part", "_next")
 
 
 def is_last(*more: str) -> Column:
     return F.lead("seq").over(in_order(*more)).isNull()
 
 
-def token_windows(pieces: DataFrame, size: int = 800, overlap: int = 0) -> DataFrame:
+def with_last(pieces: DataFrame, stretch: int | None = None) -> DataFrame:
+    """Adds _last: whether a piece is its document's last."""
+    if stretch is None:
+        return pieces.withColumn("_last", is_last())
+    return carried(pieces, stretch, first={"_next": "seq"}).withColumn("_last", is_last("_part") & F.col("_next").isNull()).drop("_part", "_next")
+
+
+def token_windows(pieces: DataFrame, size: int = 800, overlap: int = 0, stretch: int | None = None) -> DataFrame:
     """doc_id, window_id, seq, is_owner and the columns of pieces: owner ranges of `size` pieces with context on both sides."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to below size")
-    own = Window.partitionBy("doc_id")
-    index, count = F.row_number().over(in_order()) - 1, F.count("*").over(own)
-    placed = pieces.withColumns({"_i": index, "_n": count})
+    if stretch is None:
+        placed = pieces.withColumns({"_i": F.row_number().over(in_order()) - 1, "_n": F.count("*").over(Window.partitionBy("doc_id"))})
+    else:
+        placed = carried(pieces.withColumn("_1", F.lit(1)), stretch, sums={"_i": "_1"}, totals={"_n": "_1"})
+        placed = placed.withColumn("_i", (F.col("_i") + F.row_number().over(in_order("_part")) - 1).cast("int")).drop("_1", "_part")
     last = F.ceil(F.col("_n") / size) - 1
     first = F.greatest(F.lit(0), F.floor((F.col("_i") - overlap) / size)).cast("int")
     to = F.least(last, F.floor((F.col("_i") + overlap) / size)).cast("int")
@@ -68,15 +91,15 @@ def ends_by_rule(last: Column, silence_ms: int) -> Column:
     return T.ends_sentence(F.col("text")) | (F.col("gap_after_ms") >= silence_ms) | last
 
 
-def rule_boundaries(pieces: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
+def rule_boundaries(pieces: DataFrame, silence_ms: int = SILENCE_MS, stretch: int | None = None) -> DataFrame:
     """doc_id, seq: pieces that end a sentence, precede a silence or come last. Needs gap_after_ms."""
-    marked = pieces.withColumn("_last", is_last())
+    marked = with_last(pieces, stretch)
     return marked.where(ends_by_rule(F.col("_last"), silence_ms)).select("doc_id", "seq")
 
 
-def rule_cues(pieces: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
+def rule_cues(pieces: DataFrame, silence_ms: int = SILENCE_MS, stretch: int | None = None) -> DataFrame:
     """The cues that build_cues makes of rule_boundaries, without a join of the pieces with themselves."""
-    return _cues_of(pieces.withColumn("_last", is_last()).withColumn("_cut", ends_by_rule(F.col("_last"), silence_ms).cast("int")))
+    return _cues_of(with_last(pieces, stretch).withColumn("_cut", ends_by_rule(F.col("_last"), silence_ms).cast("int")), stretch)
 
 
 def sentence_boundaries(windows: DataFrame) -> DataFrame:
@@ -121,45 +144,6 @@ def dedupe_boundaries(*boundaries: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-class Cutter:
-    """The greedy cutter's state within one span between proposed cuts.
-
-    Counters of the pieces since the last cut are kept as sums, so a cut only takes
-    away what came before it.
-    """
-
-    def __init__(self, limits: Limits):
-        self.limits = limits
-        self.open: list[tuple[int, int, int, int, int, int]] = []  # seq, start, end, cjk, words, characters
-        self.sums = [0, 0, 0]
-        self.candidate = -1
-
-    def cut(self, count: int) -> int:
-        """Takes the first `count` open pieces away; the seq of the last of them."""
-        gone = self.open[:count]
-        del self.open[:count]
-        for k in range(3):
-            self.sums[k] -= sum(p[3 + k] for p in gone)
-        self.candidate = -1
-        return gone[-1][0]
-
-    def add(self, seq: int, start: int, end: int, cjk: int, words: int, characters: int, pause: bool, proposed: bool) -> int | None:
-        """The seq after which to cut, if the new piece causes a cut."""
-        self.open.append((seq, start, end, cjk, words, characters))
-        for k, n in enumerate((cjk, words, characters)):
-            self.sums[k] += n
-        n = len(self.open)
-        if pause:
-            self.candidate = n - 1
-        if proposed:
-            return self.cut(n)
-        top, duration = self.limits, end - self.open[0][1]
-        fast = duration >= top.max_duration_ms // 2 and self.sums[2] / max(duration / 1000, 0.001) > top.max_cps
-        if duration > top.max_duration_ms or self.sums[0] > top.max_chars_cjk or self.sums[1] > top.max_words_latin or fast:
-            return self.cut(self.candidate + 1 if self.candidate >= 0 else max(1, n - 1))
-        return None
-
-
 def cutter_columns(pieces: DataFrame, limits: Limits) -> DataFrame:
     """Counters of each piece, which add up over pieces since joining only puts in spaces."""
     text = F.col("text")
@@ -170,15 +154,20 @@ def cutter_columns(pieces: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def constrain_boundaries(pieces: DataFrame, proposed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def constrain_boundaries(pieces: DataFrame, proposed: DataFrame, limits: Limits = Limits(), stretch: int | None = None) -> DataFrame:
     """doc_id, seq: proposed cuts and the readability cuts between them.
 
     State ends at each proposed cut, so the spans between them are independent
-    groups; they, not documents, are dealt to tasks and streamed in order.
+    groups; they, not documents, are dealt to tasks and streamed in order. With
+    stretch, documents are cut in stretches whatever was proposed, and the maps of
+    their stretches are composed (``cuts_in_stretches``).
     """
     marked = cutter_columns(pieces, limits).join(proposed.select("doc_id", "seq").distinct().withColumn("proposed", F.lit(True)), ["doc_id", "seq"], "left")
+    marked = marked.withColumn("proposed", F.coalesce("proposed", F.lit(False)))
+    if stretch is not None:
+        return cuts_in_stretches(marked, limits, stretch)
     before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    spans = marked.withColumns({"proposed": F.coalesce("proposed", F.lit(False)), "last": is_last()}).withColumn("span", F.coalesce(F.count_if("proposed").over(before), F.lit(0)))
+    spans = marked.withColumn("last", is_last()).withColumn("span", F.coalesce(F.count_if("proposed").over(before), F.lit(0)))
     dealt = spans.repartition("doc_id", "span").sortWithinPartitions("doc_id", "span", "seq")
     kind = pieces.schema["doc_id"].dataType
     seq_kind = pieces.schema["seq"].dataType
@@ -203,32 +192,38 @@ def constrain_boundaries(pieces: DataFrame, proposed: DataFrame, limits: Limits
     return dealt.mapInArrow(run, f"doc_id {kind.simpleString()}, seq {seq_kind.simpleString()}")
 
 
-def build_cues(pieces: DataFrame, boundaries: DataFrame) -> DataFrame:
+def build_cues(pieces: DataFrame, boundaries: DataFrame, stretch: int | None = None) -> DataFrame:
     """doc_id, seq, cue_id, start_ms, end_ms, source_text, corrected_text, translated_text, source_word_ids, warnings."""
     cut = boundaries.select("doc_id", "seq").distinct().withColumn("_cut", F.lit(1))
-    return _cues_of(pieces.join(cut, ["doc_id", "seq"], "left"))
+    return _cues_of(pieces.join(cut, ["doc_id", "seq"], "left"), stretch)
 
 
-def _cues_of(marked: DataFrame) -> DataFrame:
+def _cues_of(marked: DataFrame, stretch: int | None = None) -> DataFrame:
     """Cues of pieces with _cut: 1 for the last piece of a cue, 0 or null for others."""
-    w = in_order()
-    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("_cut", F.coalesce("_cut", F.lit(0)))
+    if stretch is None:
+        marked = marked.withColumns({"_done": F.lit(0), "_text": F.lit(None).cast("string"), "_closed": F.lit(1)})
+        keys: tuple[str, ...] = ()
+    else:
+        marked = carried(marked, stretch, last={"_text": "text", "_closed": "_cut"}, sums={"_done": "_cut"}).withColumn("_closed", F.coalesce("_closed", F.lit(1)))
+        keys = ("_part",)
+    w = in_order(*keys)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     spaced = marked.withColumns(
-        {"_cue": F.coalesce(F.sum("_cut").over(before), F.lit(0)) + 1, "_before": F.lag("text").over(w)}
+        {"_cue": F.col("_done") + F.coalesce(F.sum("_cut").over(before), F.lit(0)) + 1, "_before": F.coalesce(F.lag("text").over(w), "_text"), "_opens": F.coalesce(F.lag("_cut").over(w), "_closed") == 1}
     )
     # Only the first piece of a cue has no separator; cue texts are then plain concatenations.
-    first = F.row_number().over(Window.partitionBy("doc_id", "_cue").orderBy("seq")) == 1
-    glue = F.when(first | ~T.needs_space(F.col("_before"), F.col("text")), F.lit("")).otherwise(F.lit(" "))
-    rows = spaced.withColumn("_part", F.concat(glue, F.col("text")))
+    glue = F.when(F.col("_opens") | ~T.needs_space(F.col("_before"), F.col("text")), F.lit("")).otherwise(F.lit(" "))
+    rows = spaced.withColumn("_part_text", F.concat(glue, F.col("text")))
     grouped = rows.groupBy("doc_id", "_cue").agg(
         F.min_by("start_ms", "seq").alias("start_ms"),
         F.max_by("end_ms", "seq").alias("end_ms"),
-        F.sort_array(F.collect_list(F.struct("seq", "_part", "source_word_ids"))).alias("_parts"),
+        F.sort_array(F.collect_list(F.struct("seq", "_part_text", "source_word_ids"))).alias("_parts"),
     )
     none = F.lit(None).cast("string")
     return grouped.select(
         "doc_id", F.col("_cue").cast("int").alias("seq"), make_cue_id(F.col("_cue")).alias("cue_id"), "start_ms", "end_ms",
-        F.array_join(F.col("_parts._part"), "").alias("source_text"), none.alias("corrected_text"), none.alias("translated_text"),
+        F.array_join(F.col("_parts._part_text"), "").alias("source_text"), none.alias("corrected_text"), none.alias("translated_text"),
         F.flatten(F.col("_parts.source_word_ids")).alias("source_word_ids"), F.array().cast("array<string>").alias("warnings"),
     )
 
@@ -249,20 +244,20 @@ def segment_warnings(cues: DataFrame, pieces: DataFrame, fallback_docs: DataFram
 
 def segment(
     words: DataFrame, segments: DataFrame, chooser=sentence_boundaries, size: int = 800, overlap: int = 0, limits: Limits = Limits(), outcomes: DataFrame | None = None,
-    silence_ms: int = SILENCE_MS, keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
+    silence_ms: int = SILENCE_MS, keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table, stretch: int | None = None,
 ) -> DataFrame:
     """The whole stage.
 
     chooser: window tokens to (doc_id, window_id, piece_id) rows, or to a pair of these and outcomes
     (doc_id, window_id, error_type). keep stores a table that several steps read.
     """
-    pieces = keep("pieces", gap_after(make_pieces(words, segments)))
-    windows = token_windows(pieces, size, overlap)
+    pieces = keep("pieces", gap_after(make_pieces(words, segments), stretch))
+    windows = token_windows(pieces, size, overlap, stretch)
     choices = chooser(windows)
     if isinstance(choices, tuple):
         choices, outcomes = choices
     boundaries, fallback = merge_window_boundaries(windows, choices, outcomes, silence_ms)
-    cues = build_cues(pieces, keep("cuts", constrain_boundaries(pieces, boundaries, limits)))
+    cues = build_cues(pieces, keep("cuts", constrain_boundaries(pieces, boundaries, limits, stretch)), stretch)
     return segment_warnings(cues, pieces, fallback, limits)
 
 

@@ -117,3 +117,51 @@ def test_wrap(spark, limit, most):
     texts = ["", "one two three four", "a" * 30, *("".join(rng.choices("ab ,.。漢\n", k=rng.randrange(40))) for _ in range(200))]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(T.wrap_text(F.col("t"), limit, most)).collect()] == [slow_wrap(t, limit, most) for t in texts]
+
+
+def long_tables(spark, seed=11, n=1500):
+    """Documents over many stretches, with gaps in seq, pauses rare in some, and one short."""
+    rng = random.Random(seed)
+    docs = {f"d{k}": random_pieces(rng, n) if k % 2 else [(rng.choice(["one", "two", "9", "三"]), 260 * i, 260 * i + rng.choice([100, 260])) for i in range(n)] for k in range(4)}
+    docs["e"] = random_pieces(rng, 3)
+    w = words(spark, [(d, 2 * i + i // 50 + 1, *p) for d, ps in docs.items() for i, p in enumerate(ps)])
+    return w, w.where("seq % 701 = 5").select("doc_id", "seq")
+
+
+def same(a, b):
+    rows = lambda t: sorted(map(repr, t.select(*sorted(a.columns)).collect()))
+    assert rows(a) == rows(b)
+
+
+def test_stretches_give_the_same_rows(spark):
+    w, proposed = long_tables(spark)
+    p = S.gap_after(S.make_pieces(w, none(spark))).cache()
+    same(p, S.gap_after(S.make_pieces(w, none(spark)), 100))
+    same(S.token_windows(p, 90, 20), S.token_windows(p, 90, 20, stretch=100))
+    same(S.rule_boundaries(p), S.rule_boundaries(p, stretch=64))
+    same(S.rule_cues(p), S.rule_cues(p, stretch=64))
+    for size in (1, 7, 150, 10**6):
+        same(S.constrain_boundaries(p, proposed), S.constrain_boundaries(p, proposed, stretch=size))
+    same(S.segment(w, none(spark), size=300, overlap=30), S.segment(w, none(spark), size=300, overlap=30, stretch=100))
+
+
+def test_no_task_holds_a_long_document(spark):
+    """One span of 300,000 pieces without a proposal, in 30 stretches, equal to the cutter."""
+    n = 300_000
+    pieces = spark.range(1, n + 1, numPartitions=8).selectExpr("7L AS doc_id", "CAST(id AS INT) AS seq", "CASE WHEN id % 977 = 0 THEN 'end.' ELSE 'word' END AS text", "id * 300 AS start_ms", "id * 300 + 250 AS end_ms", "0 AS gap_after_ms")
+    got = S.constrain_boundaries(pieces, pieces.where("false").select("doc_id", "seq"), stretch=10_000)
+    cutter, want = S.Cutter(S.Limits()), []
+    for i in range(1, n + 1):
+        ends = i % 977 == 0
+        at = cutter.add(i, i * 300, i * 300 + 250, 0, 1, 4, ends, False)
+        want += [] if at is None else [at]
+    assert sorted(r.seq for r in got.collect()) == [*want, n]
+
+
+def test_times_that_go_back_are_told():
+    from cuelake.operators.cutter import Cutter, Limits, compose, stretch_map
+
+    pieces = [(i, 10_000 - i, 10_001 - i, 0, 0, 1, False, False) for i in range(5000)]
+    made = stretch_map([(0, 0, 7001, 0, 0, 1, False, False), *pieces[1:]], Limits())
+    with pytest.raises(ValueError):
+        compose([*Cutter(Limits()).state()[:0], -1, 10_000, 0, 0, 0, None, 0, 0, 0, None, 0, -1], made, Limits())
