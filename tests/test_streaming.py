@@ -1,7 +1,9 @@
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuelake.operators import segmentation as S
@@ -34,21 +36,66 @@ def test_sessions_equal_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
 
 
-def test_cutter_equals_batch(spark, tmp_path):
+def test_a_late_word_is_dropped_and_counted(spark, tmp_path):
+    kind = "doc_id string, ts timestamp, duration_ms int"
+    for k, at in enumerate([0, 100, 90_000, 90_100, 50_000, 200_000]):  # the fifth comes 30 s after the watermark of the batch before
+        spark.createDataFrame([("d", START + timedelta(milliseconds=at), 0)], kind).coalesce(1).write.parquet(str(tmp_path / f"w/{k}"))
+        time.sleep(0.02)
+    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "w"))
+    listener = streams.LateRows()
+    spark.streams.addListener(listener)
+    q = streams.stream_silence_sessions(live).writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.n_words for r in spark.table("late").collect()) == [2, 2]
+    assert streams.late_rows(q) == 1
+    for _ in range(100):
+        if listener.dropped[str(q.id)]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert listener.dropped[str(q.id)] == 1
+
+
+def cutter_input(spark, path, marked):
+    """Documents in files by time; where ends are not marked, later events of another document move the watermark."""
     rng = random.Random(5)
     docs = {f"d{k}": random_pieces(rng, 40) for k in range(4)}
-    rows = [(d, i + 1, START + timedelta(milliseconds=a), t, a, b, False) for d, ps in docs.items() for i, (t, a, b) in enumerate(ps)]
-    kind = "doc_id string, seq int, ts timestamp, text string, start_ms bigint, end_ms bigint, proposed boolean"
+    rows = [(d, i + 1, START + timedelta(milliseconds=a), t, a, b, False, i + 1 == len(ps)) for d, ps in docs.items() for i, (t, a, b) in enumerate(ps)]
+    kind = "doc_id string, seq int, ts timestamp, text string, start_ms bigint, end_ms bigint, proposed boolean, last boolean"
     rows.sort(key=lambda r: r[2])
-    for k in range(0, len(rows), 40):
-        spark.createDataFrame(rows[k : k + 40], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"p/{k:04d}"))
-    spark.createDataFrame([("z", 1, START + timedelta(days=1), "x", 0, 1, False)], kind).coalesce(1).write.parquet(str(tmp_path / "p/9998"))
-    spark.createDataFrame([("z", 2, START + timedelta(days=2), "x", 2, 3, False)], kind).coalesce(1).write.parquet(str(tmp_path / "p/9999"))
-    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "p"))
-    got = run(streams.stream_constrain(live), "cuts").where("doc_id <> 'z'")
+    parts = [rows[k : k + 40] for k in range(0, len(rows), 40)]
+    if not marked:
+        parts = [[(*r[:-1], None) for r in p] for p in parts] + [[("z", k, START + timedelta(days=k), "x", 2 * k, 2 * k + 1, False, None)] for k in (1, 2)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{path}/{k:04d}")
+        time.sleep(0.02)
     w = words(spark, [(d, i + 1, *p) for d, ps in docs.items() for i, p in enumerate(ps)])
     want = S.constrain_boundaries(S.gap_after(S.make_pieces(w, none(spark))), spark.createDataFrame([], "doc_id string, seq int"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    live = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
+    return live, sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+@pytest.mark.parametrize("marked", [True, False])
+def test_cutter_equals_batch_in_every_zone(spark, tmp_path, zone, marked):
+    live, want = cutter_input(spark, tmp_path / "p", marked)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = run(streams.stream_constrain(live if marked else live.drop("last")), f"cuts_{zone.replace('/', '_')}_{marked}").where("doc_id <> 'z'").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(map(tuple, got)) == want
+
+
+def test_cutter_needs_timers(spark, tmp_path):
+    live, _ = cutter_input(spark, tmp_path / "p", True)
+    before = spark.conf.get(streams.PROVIDER)
+    spark.conf.set(streams.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(ValueError, match="RocksDB"):
+            streams.stream_constrain(live)
+    finally:
+        spark.conf.set(streams.PROVIDER, before)
 
 
 def test_transcript_files(spark, tmp_path):
