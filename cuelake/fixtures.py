@@ -110,20 +110,26 @@ t1 AS (SELECT *, (coalesce(sum(dur + gap) OVER (PARTITION BY conv_id ORDER BY tu
 cues AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS seq, printf('cue%06d', turn + 1) AS cue_id, start_ms, (start_ms + dur)::BIGINT AS end_ms, text AS source_text,
            CAST(NULL AS VARCHAR) AS corrected_text,
            CASE WHEN (conv_id + turn) % 5 = 4 THEN NULL WHEN (conv_id + turn) % 5 = 3 THEN text ELSE '[en] ' || text END AS translated_text FROM t1)"""
-#: Needs pieces and proposed(doc_id, seq); the greedy cutter, one step for each token.
+#: Needs pieces and proposed(doc_id, seq); the greedy cutter as a fold over the pieces of each span between proposed cuts.
 CONSTRAIN = r"""
-c0 AS (SELECT p.*, q.seq IS NOT NULL AS proposed, ends OR gap_after_ms >= 700 AS pause,
-         length(regexp_replace(text, '[^\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]', '', 'g')) AS cjk,
+c0 AS (SELECT p.doc_id, p.seq, p.start_ms AS s, p.end_ms AS e, q.seq IS NOT NULL AS proposed, ends OR gap_after_ms >= 700 AS pause,
+         length(regexp_replace(text, '[^\x{{3000}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]', '', 'g')) AS cjk,
          len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS lat, length(replace(text, ' ', '')) AS chars
        FROM pieces p LEFT JOIN (SELECT DISTINCT doc_id, seq FROM proposed) q ON p.doc_id = q.doc_id AND p.seq = q.seq),
-c1 AS MATERIALIZED (SELECT *, sum(cjk) OVER w AS s_cjk, sum(lat) OVER w AS s_lat, sum(chars) OVER w AS s_chars FROM c0 WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
-st AS (
-  SELECT doc_id, 0 AS i, 1 AS cs, CAST(NULL AS INT) AS cand, CAST(NULL AS INT) AS cut FROM c1 WHERE seq = 1
-  UNION ALL
-  SELECT doc_id, i, CASE WHEN cut IS NULL THEN cs ELSE cut + 1 END, CASE WHEN cut IS NULL THEN cand END, cut FROM (
-    SELECT doc_id, i, cs, cand, CASE WHEN proposed THEN i WHEN over THEN coalesce(cand, greatest(cs, i - 1)) END AS cut FROM (
-      SELECT st.doc_id, p.seq AS i, st.cs, CASE WHEN p.pause THEN p.seq ELSE st.cand END AS cand, p.proposed,
-        (p.end_ms - s.start_ms) > 7000 OR p.s_cjk - s.s_cjk + s.cjk > 24 OR p.s_lat - s.s_lat + s.lat > 14
-          OR ((p.end_ms - s.start_ms) >= 3500 AND (p.s_chars - s.s_chars + s.chars) / greatest((p.end_ms - s.start_ms) / 1000.0, 0.001) > 17) AS over
-      FROM st JOIN c1 p ON p.doc_id = st.doc_id AND p.seq = st.i + 1 JOIN c1 s ON s.doc_id = st.doc_id AND s.seq = st.cs))),
-boundaries AS (SELECT doc_id, cut AS seq FROM st WHERE cut IS NOT NULL UNION SELECT doc_id, seq FROM pieces WHERE is_last)"""
+c1 AS (SELECT *, coalesce(sum(proposed::INT) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM c0),
+c2 AS (SELECT doc_id, list({{'seq': seq, 's': s, 'e': e, 'cjk': cjk, 'lat': lat, 'chars': chars, 'pause': pause, 'proposed': proposed}} ORDER BY seq) AS l FROM c1 GROUP BY doc_id, span),
+c3 AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE
+    CASE WHEN x.proposed THEN 1 WHEN NOT ({over}) THEN 0 WHEN x.pause OR (a.cand IS NULL AND NOT a.some) THEN 1 WHEN a.cand IS NOT NULL THEN 2 ELSE 3 END
+    WHEN 0 THEN {{'some': true, 's': {s}, 'cjk': a.cjk + x.cjk, 'lat': a.lat + x.lat, 'chars': a.chars + x.chars,
+      'cand': CASE WHEN x.pause THEN x.seq ELSE a.cand END, 'c_cjk': CASE WHEN x.pause THEN a.cjk + x.cjk ELSE a.c_cjk END, 'c_lat': CASE WHEN x.pause THEN a.lat + x.lat ELSE a.c_lat END,
+      'c_chars': CASE WHEN x.pause THEN a.chars + x.chars ELSE a.c_chars END, 'next_s': CASE WHEN NOT x.pause AND a.cand IS NOT NULL THEN coalesce(a.next_s, x.s) END, 'seq': x.seq, 'cuts': a.cuts}}
+    WHEN 1 THEN {{'some': false, 's': 0::BIGINT, 'cjk': 0::BIGINT, 'lat': 0::BIGINT, 'chars': 0::BIGINT, 'cand': NULL::INT, 'c_cjk': 0::BIGINT, 'c_lat': 0::BIGINT, 'c_chars': 0::BIGINT, 'next_s': NULL::BIGINT, 'seq': x.seq, 'cuts': list_append(a.cuts, x.seq)}}
+    WHEN 2 THEN {{'some': true, 's': coalesce(a.next_s, x.s), 'cjk': a.cjk + x.cjk - a.c_cjk, 'lat': a.lat + x.lat - a.c_lat, 'chars': a.chars + x.chars - a.c_chars, 'cand': NULL::INT,
+      'c_cjk': 0::BIGINT, 'c_lat': 0::BIGINT, 'c_chars': 0::BIGINT, 'next_s': NULL::BIGINT, 'seq': x.seq, 'cuts': list_append(a.cuts, a.cand)}}
+    ELSE {{'some': true, 's': x.s, 'cjk': x.cjk::BIGINT, 'lat': x.lat::BIGINT, 'chars': x.chars::BIGINT, 'cand': NULL::INT, 'c_cjk': 0::BIGINT, 'c_lat': 0::BIGINT, 'c_chars': 0::BIGINT, 'next_s': NULL::BIGINT, 'seq': x.seq, 'cuts': list_append(a.cuts, a.seq)}} END,
+    {{'some': false, 's': 0::BIGINT, 'cjk': 0::BIGINT, 'lat': 0::BIGINT, 'chars': 0::BIGINT, 'cand': NULL::INT, 'c_cjk': 0::BIGINT, 'c_lat': 0::BIGINT, 'c_chars': 0::BIGINT, 'next_s': NULL::BIGINT, 'seq': NULL::INT, 'cuts': []::INT[]}}) AS a FROM c2),
+boundaries AS (SELECT doc_id, unnest(a.cuts) AS seq FROM c3 UNION SELECT doc_id, seq FROM pieces WHERE is_last)""".format(
+    s="CASE WHEN a.some THEN a.s ELSE x.s END",
+    over="""x.e - CASE WHEN a.some THEN a.s ELSE x.s END > 7000 OR a.cjk + x.cjk > 24 OR a.lat + x.lat > 14
+      OR (x.e - CASE WHEN a.some THEN a.s ELSE x.s END >= 3500 AND (a.chars + x.chars) / greatest((x.e - CASE WHEN a.some THEN a.s ELSE x.s END) / 1000.0, 0.001) > 17)""",
+)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
@@ -38,8 +38,8 @@ def query(sql: str | None = None):
     return add
 
 
-def with_(*parts: str, recursive: bool = False) -> str:
-    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(p.strip() for p in parts) + "\n"
+def with_(*parts: str) -> str:
+    return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
 
 # Scalars
@@ -296,35 +296,96 @@ def segment_simple(spark, sf_dir):
 
 
 PROPOSED = "proposed AS (SELECT doc_id, seq FROM choices)"
-SEGMENT_SQL = (TURN_WORDS, CHOOSER.replace("{n}", "800"), PROPOSED, CONSTRAIN)
+SEGMENT_SQL = (DOCUMENT_WORDS, CHOOSER.replace("{n}", "800"), PROPOSED, CONSTRAIN)
 
 
-@query(with_(TURN_WORDS, "proposed AS (SELECT doc_id, seq FROM pieces WHERE is_last)", CONSTRAIN, recursive=True) + "SELECT doc_id, seq FROM boundaries")
+@query(with_(DOCUMENT_WORDS, "proposed AS (SELECT doc_id, seq FROM pieces WHERE ends AND seq % 4 = 0)", CONSTRAIN) + "SELECT DISTINCT doc_id, seq FROM boundaries")
 def constrain_boundaries(spark, sf_dir):
-    p = turn_pieces(spark, sf_dir)
-    return S.constrain_boundaries(p, p.groupBy("doc_id").agg(F.max("seq").alias("seq")))
+    """Whole documents in stretches of 1,000 words; a quarter of the sentence ends is proposed, so that spans run over many sentences."""
+    p = document_pieces(spark, sf_dir)
+    return S.constrain_boundaries(p, p.where(T.ends_sentence(F.col("text")) & (F.col("seq") % 4 == 0)), stretch=1000)
 
 
-@query(with_(*SEGMENT_SQL, CUES_OF, recursive=True) + f"SELECT {CUE_COLUMNS} FROM cues")
+@query(with_(*SEGMENT_SQL, CUES_OF) + f"SELECT {CUE_COLUMNS} FROM cues")
 def segment(spark, sf_dir):
-    w = X.turn_words(spark, sf_dir)
+    w = X.document_words(spark, sf_dir)
     return cue_digest(S.segment(w, X.no_segments(w)))
 
 
-@query(with_(*SEGMENT_SQL, CUES_OF, recursive=True) + "SELECT doc_id, seq, CASE WHEN doc_id % 4 = 0 THEN 'segmentation_fallback' ELSE '' END AS warnings FROM cues")
+#: Documents whose id ends in 9 have segments of ten words and no words.
+MIXED_PIECES = (
+    DOCUMENT_WORDS.replace("pieces AS (", "word_pieces AS ("),
+    "longer AS (SELECT doc_id, ((seq - 1) // 10 + 1)::INT AS seq, string_agg(text, ' ' ORDER BY seq) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM words WHERE doc_id % 10 = 9 GROUP BY ALL)",
+    "own AS (SELECT doc_id, seq, text, start_ms, end_ms, printf('w%06d', seq) AS word_id FROM words WHERE doc_id % 10 <> 9 UNION ALL SELECT doc_id, seq, text, start_ms, end_ms, NULL FROM longer)",
+    r"""pieces AS (SELECT *, coalesce(greatest(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY seq) - end_ms, 0), 0) AS gap_after_ms,
+         lead(seq) OVER (PARTITION BY doc_id ORDER BY seq) IS NULL AS is_last, regexp_matches(text, '[。！？.!?;；]\s*$') AS ends FROM own)""",
+)
+
+
+@query(with_(*MIXED_PIECES, CHOOSER.replace("{n}", "800"), PROPOSED, CONSTRAIN, CUES_OF, "atoms AS (SELECT doc_id FROM longer GROUP BY doc_id HAVING max(end_ms - start_ms) > 7000)") + """
+SELECT doc_id, seq, array_to_string(list_filter([CASE WHEN doc_id % 4 = 0 THEN 'segmentation_fallback' END, CASE WHEN doc_id IN (SELECT doc_id FROM atoms) THEN 'atomic_segment_too_long' END], lambda x: x IS NOT NULL), '|') AS warnings FROM cues""")
 def segment_warnings(spark, sf_dir):
-    w = X.turn_words(spark, sf_dir)
-    p = S.gap_after(S.make_pieces(w, X.no_segments(w)))
-    return S.segment_warnings(S.segment(w, X.no_segments(w)), p, w.where("doc_id % 4 = 0").select("doc_id")).select("doc_id", "seq", joined(F.col("warnings")).alias("warnings"))
+    """Whole documents; those whose id ends in 9 have segments only, some of them longer than a cue may be."""
+    w = X.document_words(spark, sf_dir)
+    own, segments = w.where("doc_id % 10 <> 9"), X.word_segments(w.where("doc_id % 10 = 9"))
+    p = S.gap_after(S.make_pieces(own, segments))
+    windows = S.token_windows(p)
+    boundaries, _ = S.merge_window_boundaries(windows, S.sentence_boundaries(windows))
+    cues = S.build_cues(p, S.constrain_boundaries(p, boundaries))
+    return S.segment_warnings(cues, p, w.where("doc_id % 4 = 0").select("doc_id")).select("doc_id", "seq", joined(F.col("warnings")).alias("warnings"))
+
+
+def in_micro_batches(rows: DataFrame, order: Column, n: int, key: str) -> DataFrame:
+    """The rows as a stream of n files' arrivals in that order; the rows of one key are in one file of each."""
+    spark, out = rows.sparkSession, folder(rows.sparkSession)
+    held = sinks.write_stage_tables("live", rows, f"{out}/held")
+    cuts = held.agg(F.percentile_approx(order, [k / n for k in range(1, n)]).alias("x")).first().x or []
+    for k in range(n):
+        low, high = (order >= cuts[k - 1]) if k and cuts else F.lit(not k), (order < cuts[k]) if k < len(cuts) else F.lit(True)
+        held.where(low & high).repartition(key).write.parquet(f"{out}/live/{k:03d}")
+    files_ = spark.conf.get("spark.sql.shuffle.partitions")
+    return spark.readStream.schema(held.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_).parquet(f"{out}/live")
+
+
+def streamed(live: DataFrame) -> DataFrame:
+    """The rows that a stream gives until its input is used up."""
+    spark, out = live.sparkSession, folder(live.sparkSession)
+    live.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(live.schema).parquet(f"{out}/rows")
 
 
 @query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
 s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 7200 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
 SELECT user_id AS doc_id, (epoch_us(min(ts)) // 1000) AS start_ms, (epoch_us(max(ts)) // 1000) AS end_ms, count(*) AS n_words FROM s GROUP BY user_id, n""")
 def stream_silence_sessions(spark, sf_dir):
-    """The sessions of the batch table, with a silence of two hours."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("duration_ms"))
-    return S.silence_sessions(e, 7_200_000).select("doc_id", F.unix_millis("start_ts").alias("start_ms"), F.unix_millis("end_ts").alias("end_ms"), "n_words")
+    """The sessions of a stream of all events, with a silence of two hours; an event of a year later closes the last ones."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("duration_ms"))
+    live = in_micro_batches(e, F.unix_millis("ts"), 4, "doc_id")
+    out = folder(spark)
+    e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("doc_id"), (F.col("ts") + F.expr("INTERVAL 366 DAYS")).alias("ts"), F.lit(0).alias("duration_ms")).write.parquet(f"{out}/end")
+    end = spark.readStream.schema(e.schema).parquet(f"{out}/end")
+    found = streamed(streams.stream_silence_sessions(live.unionByName(end), delay="30 days", gap_ms=7_200_000))
+    return found.where("doc_id IS NOT NULL").select("doc_id", F.unix_millis("start_ts").alias("start_ms"), F.unix_millis("end_ts").alias("end_ms"), "n_words")
+
+
+@query(with_(X.WORDS_SQL.replace("{texts}", "SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"), "proposed AS (SELECT doc_id, seq FROM pieces WHERE is_last)", CONSTRAIN) + "SELECT DISTINCT doc_id, seq FROM boundaries")
+def stream_constrain(spark, sf_dir):
+    """The words of all conversations as a stream of pieces in the order of their times; each conversation's last piece is marked."""
+    p = S.with_last(S.gap_after(conversation_pieces(spark, sf_dir)))
+    rows = p.select("doc_id", "seq", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("start_ms")).alias("ts"), "text", "start_ms", "end_ms", F.lit(False).alias("proposed"), F.col("_last").alias("last"))
+    live = in_micro_batches(rows, F.col("start_ms"), 4, "doc_id")
+    before = spark.conf.get(streams.PROVIDER)
+    spark.conf.set(streams.PROVIDER, streams.ROCKSDB)
+    try:
+        # Files of one arrival may be read in any order, so the watermark leaves room.
+        return streamed(streams.stream_constrain(live, delay="30 days"))
+    finally:
+        spark.conf.set(streams.PROVIDER, before)
+
+
+def conversation_pieces(spark, sf_dir) -> DataFrame:
+    w = conversation_words(spark, sf_dir)
+    return S.make_pieces(w, X.no_segments(w))
 
 
 # Validation and quarantine
@@ -1000,13 +1061,13 @@ def stage_order_check(spark, sf_dir):
 # Whole pipelines
 
 
-PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF, recursive=True)
+PIPELINE_CUES = with_(*SEGMENT_SQL, CUES_OF)
 
 
 @query(PIPELINE_CUES + f"SELECT doc_id, seq, start_ms, end_ms, {STRIPPED} AS corrected_text, '[en] ' || {STRIPPED} AS translated_text FROM cues")
 def run_pipeline(spark, sf_dir):
-    w = X.turn_words(spark, sf_dir)
-    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    w = X.document_words(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = texts.select("doc_id", F.lit("und").alias("language"), "text", F.lit("asr_native").alias("timing_origin"), F.lit("p").alias("provider"), F.lit("m").alias("model_name"))
     out = P.run_pipeline(transcripts.Transcripts(docs, w, X.no_segments(w)), Options())
     return out.cues.select("doc_id", "seq", "start_ms", "end_ms", "corrected_text", "translated_text")
