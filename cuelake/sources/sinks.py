@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict
 from datetime import datetime
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as T
 from ..functions.timecode import fmt_srt_ts, fmt_vtt_ts
@@ -82,86 +83,104 @@ def render_transcript_json(docs: DataFrame, words: DataFrame, segments: DataFram
     return docs.join(w, "doc_id", "left").join(s, "doc_id", "left").select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    count: int
-
-
-class DocumentWriter(DataSourceWriter):
-    """Writes a partition's files under temporary names, then gives them their own; the driver hears of counts alone."""
-
-    def __init__(self, root: str):
-        self.root = root
-
-    def write(self, rows: Iterator) -> Written:
-        pairs = []
-        try:
-            for row in rows:
-                final = os.path.join(self.root, row.rel_path)
-                os.makedirs(os.path.dirname(final), exist_ok=True)
-                temporary = f"{final}.{uuid.uuid4().hex}.tmp"
-                pairs.append((temporary, final))
-                with open(temporary, "w", encoding="utf-8", newline="") as f:
-                    f.write(row.body)
-            for temporary, final in pairs:
-                os.replace(temporary, final)
-        finally:
-            for temporary, _ in pairs:
-                if os.path.exists(temporary):
-                    os.remove(temporary)
-        return Written(len(pairs))
-
-    def commit(self, messages: list[Written | None]) -> None:
-        pass
-
-    def abort(self, messages: list[Written | None]) -> None:
-        pass
-
-
-class DocumentSource(DataSource):
-    """Sink "cue_documents": rows (rel_path, body) to one file each under a folder that all executors share."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "cue_documents"
-
-    def schema(self) -> str:
-        return "rel_path string, body string"
-
-    def writer(self, schema, overwrite: bool) -> DocumentWriter:
-        return DocumentWriter(self.options["path"])
+#: Where files stand until all of a write are done: a hidden folder of the output folder, one for each write.
+STAGING = ".cuelake-staging"
 
 
 def write_documents(rendered: DataFrame, out: str, overwrite: str = "error") -> None:
-    """One file for each row of rendered (rel_path, body) under a mounted folder; overwrite: error or replace.
-
-    All paths are checked before the first file is written: paths that leave the folder, two
-    documents with one path, and files that are there already (for error) stop the whole. Files
-    of a partition appear together; a task that is run again replaces what it wrote.
+    """One file for each row of rendered (rel_path, body) under a mounted folder, all or none; overwrite: error or replace.
+
+    First all paths are checked: paths that leave the folder, two documents with one path
+    (however written), and files that are there already (for error) stop the whole. Then
+    tasks write all bodies under temporary names in a hidden folder, and their names become a manifest, a table that
+    is there whole or not at all; if that fails, the folder goes and no file has appeared. Only
+    then do tasks give the files their names. If that is cut short, the manifest is still there, and the next
+    write to the folder, or ``finish_documents``, ends it first.
     """
     if overwrite not in ("error", "replace"):
         raise ValueError("overwrite must be error or replace")
     spark, root = rendered.sparkSession, os.path.normpath(out)
+    finish_documents(spark, out)
     rows = write_stage_tables(f"rendered-{uuid.uuid4().hex}", rendered.select("rel_path", "body"), shared_folder(spark))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad = []
+            paths, bad = [], []
             for rel_path in b.column("rel_path").to_pylist():
-                final = os.path.normpath(os.path.join(root, rel_path))
-                if not final.startswith(root + os.sep):
-                    bad.append(f"path leaves the output folder: {rel_path}")
-                elif overwrite == "error" and os.path.exists(final):
-                    bad.append(f"output exists: {final}")
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["message"])
-
-    wrong = rows.select("rel_path").mapInArrow(check, "message string")
-    twice = rows.groupBy("rel_path").count().where("count > 1").select(F.concat(F.lit("two documents have one output path: "), "rel_path").alias("message"))
-    first = wrong.union(twice).orderBy("message").first()
+                final = os.path.normpath(os.path.join(root, rel_path or ""))
+                inside = final.startswith(root + os.sep) and not final.startswith(os.path.join(root, STAGING))
+                paths.append(final)
+                bad.append(f"path leaves the output folder: {rel_path}" if not inside else f"output exists: {final}" if overwrite == "error" and os.path.exists(final) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bad, pa.string())], ["path", "message"])
+
+    checked = rows.select("rel_path").mapInArrow(check, "path string, message string")
+    checked = write_stage_tables(f"checked-{uuid.uuid4().hex}", checked, shared_folder(spark))
+    twice = checked.groupBy("path").count().where("count > 1").select(F.concat(F.lit("two documents have one output path: "), "path").alias("message"))
+    first = checked.where("message IS NOT NULL").select("message").union(twice).orderBy("message").first()
     if first is not None:
         raise (FileExistsError if first.message.startswith("output exists") else ValueError)(first.message)
-    spark.dataSource.register(DocumentSource)
-    rows.write.format("cue_documents").mode("append").save(out)
+
+    staging = os.path.join(root, STAGING, uuid.uuid4().hex)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # An attempt has a folder of its own; what a failed one leaves is in no manifest.
+        own = os.path.join(staging, "files", uuid.uuid4().hex)
+        os.makedirs(own)
+        n = 0
+        for b in batches:
+            temporary, final = [], []
+            for rel_path, body in zip(b.column("rel_path").to_pylist(), b.column("body").to_pylist(), strict=True):
+                temporary.append(os.path.join(own, str(n)))
+                final.append(os.path.normpath(rel_path))
+                n += 1
+                with open(temporary[-1], "w", encoding="utf-8", newline="") as f:
+                    f.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array(temporary, pa.string()), pa.array(final, pa.string())], ["temporary", "rel_path"])
+
+    try:
+        rows.mapInArrow(write, "temporary string, rel_path string").write.parquet(os.path.join(staging, MANIFEST))
+    except BaseException:
+        remove_staging(root, staging)
+        raise
+    finish_documents(spark, out)
+
+
+#: A manifest counts once Spark has marked it complete.
+MANIFEST, COMPLETE = "manifest", "_SUCCESS"
+
+
+def finish_documents(spark: SparkSession, out: str) -> int:
+    """Gives the files of complete manifests under out their names; the number of manifests. May be run again, also by several at once."""
+    root = os.path.normpath(out)
+    folder = os.path.join(root, STAGING)
+    staged = [os.path.join(folder, x) for x in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
+    staged = [x for x in staged if os.path.exists(os.path.join(x, MANIFEST, COMPLETE))]
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for temporary, rel_path in zip(b.column("temporary").to_pylist(), b.column("rel_path").to_pylist(), strict=True):
+                final = os.path.join(root, rel_path)
+                os.makedirs(os.path.dirname(final), exist_ok=True)
+                try:
+                    os.replace(temporary, final)
+                except FileNotFoundError:
+                    # Named by an earlier attempt.
+                    if not os.path.exists(final):
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    for staging in staged:
+        names = spark.read.schema("temporary string, rel_path string").parquet(os.path.join(staging, MANIFEST))
+        names.mapInArrow(rename, "n bigint").agg(F.sum("n")).first()
+        remove_staging(root, staging)
+    return len(staged)
+
+
+def remove_staging(root: str, staging: str) -> None:
+    shutil.rmtree(staging, ignore_errors=True)
+    for empty in (os.path.dirname(staging), root):
+        with contextlib.suppress(OSError):  # others write there, or files are in it
+            os.rmdir(empty)
 
 
 def render_formats(cues: DataFrame, cue_docs: DataFrame, stems: DataFrame, formats: Sequence[str] = ("srt", "json"), bilingual: bool = True, max_line_chars: int | None = None, max_lines: int = 2) -> DataFrame:
