@@ -1,9 +1,10 @@
-"""Text measures and transformations as column expressions; all run inside the JVM."""
+"""Text measures and transformations as column expressions; all run inside the JVM but for replacements by large glossaries."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +104,15 @@ def change_ratio(old: Column, new: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def changed_at_most(old: Column, new: Column, ratio: float) -> Column:
+    """Whether change_ratio() is at most ratio; the edit distance is only followed up to there, in a band as wide as that."""
+    a, b = (fold(F.regexp_replace(x, r"(?U)\s+", "")) for x in (old, new))
+    size = F.greatest(F.length(a), F.length(b), F.lit(1))
+    # Past the limit the distance is -1. The limit is rounded up a little, since the quotient decides.
+    near = F.call_function("levenshtein", a, b, F.floor(size * F.lit(float(ratio)) + F.lit(1e-6)).cast("int"))
+    return (near >= 0) & (near / size <= ratio)
+
+
 def split_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
 
@@ -152,10 +162,51 @@ def redact(text: Column, secrets: Sequence[str]) -> Column:
     return text
 
 
+#: More pairs than this are looked up by an automaton instead of one after the other.
+FOLDED = 32
+
+
 def replace_all(text: Column, pairs: Sequence[tuple[str, str | None]]) -> Column:
-    """Plain replacements in order, as a fold over one array; a null target is skipped."""
-    used = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs if a and b is not None]
-    return F.aggregate(F.array(*used), text, lambda t, p: F.replace(t, p["a"], p["b"])) if used else text
+    """Plain replacements in order, each over the text that the one before has left; a null target is skipped.
+
+    Up to FOLDED pairs are a fold over one array. With more, an Aho-Corasick automaton over all sources
+    says which occur at all, and only these are replaced; it looks again after a change, since a target may hold a
+    later source. So the time depends on the pairs that occur.
+    """
+    used = [(a, b) for a, b in pairs if a and b is not None]
+    if not used:
+        return text
+    if len(used) <= FOLDED:
+        return F.aggregate(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in used)), text, lambda t, p: F.replace(t, p["a"], p["b"]))
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        find = occurring([a for a, _ in used])
+
+        def one(t: str) -> str:
+            at = -1
+            while some := [n for n in find(t) if n > at]:
+                at = min(some)
+                t = t.replace(*used[at])
+            return t
+
+        return texts.map(one, na_action="ignore")
+
+    return replaced(text)
+
+
+def occurring(terms: Sequence[str]) -> Callable[[str], set[int]]:
+    """A function that tells which of the terms occur in a text, by their places; equal terms all count."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for n, term in enumerate(terms):
+        places.setdefault(term, []).append(n)
+    automaton = ahocorasick.Automaton()
+    for term, own in places.items():
+        automaton.add_word(term, own)
+    automaton.make_automaton()
+    return lambda text: {n for _, own in automaton.iter(text) for n in own}
 
 
 def needs_space(left: Column, right: Column) -> Column:

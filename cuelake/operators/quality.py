@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +53,34 @@ def glossary_rows(glossary: DataFrame | None) -> list[Row]:
 
 def first_term(glossary: DataFrame | None) -> Column:
     """The first glossary entry's source, by ord, that is in the best text and whose target isn't in the translation."""
-    terms = [F.struct(F.lit(r.source).alias("source"), F.lit(r.target).alias("target")) for r in glossary_rows(glossary) if r.target is not None]
+    rows = [(r.source, r.target) for r in glossary_rows(glossary) if r.target is not None]
+    best = T.best_text(F.col("corrected_text"), F.col("source_text"))
+    if len(rows) > T.FOLDED:
+        return first_of_many(rows)(best, F.col("translated_text"))
+    terms = [F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in rows]
     if not terms:
         return F.lit(None).cast("string")
-    best = T.best_text(F.col("corrected_text"), F.col("source_text"))
     missed = F.filter(F.array(*terms), lambda x: F.contains(best, x["source"]) & ~F.contains(F.col("translated_text"), x["target"]))
     return F.get(missed, F.lit(0))["source"]
 
 
+def first_of_many(rows: list[tuple[str, str]]) -> Callable[[Column, Column], Column]:
+    """first_term() by an automaton over all sources, which only asks for the targets of those that occur."""
+
+    @F.pandas_udf("string")
+    def first(best: pd.Series, translated: pd.Series) -> pd.Series:
+        find = T.occurring([a for a, _ in rows])
+
+        def one(text: str | None, other: str | None) -> str | None:
+            if text is None or other is None:
+                return None
+            return next((rows[n][0] for n in sorted(find(text)) if rows[n][1] not in other), None)
+
+        return pd.Series([one(a, b) for a, b in zip(best, translated, strict=True)], dtype=object)
+
+    return first
+
+
 def glossary_match(cues: DataFrame, glossary: DataFrame) -> DataFrame:
     """doc_id, seq, source: cues with the glossary entry that first_term() finds; the entries are one literal, no join."""
     return cues.select("doc_id", "seq", first_term(glossary).alias("source")).where("source IS NOT NULL")

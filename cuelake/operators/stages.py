@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.sinks import shared_folder, write_stage_tables
 from .quality import glossary_rows, select_repair_cues
+from .replies import Replies
 
 #: The style rules that each request carries.
 STYLE_RULES = ("faithful", "concise", "subtitle-readable")
@@ -79,29 +80,32 @@ def with_retries(call: Callable[[], Any], retries: int, base_delay: float, max_d
     raise AssertionError
 
 
-def transform_text(batches: DataFrame, make_fn: Callable[[], Callable[[list[dict], dict], dict[str, str]]], parallelism: int = 8, retries: int = 3, base_delay: float = 0.5, max_delay: float = 8.0) -> tuple[DataFrame, DataFrame]:
+def transform_text(batches: DataFrame, make_fn: Callable[[], Callable[[list[dict], dict], dict[str, str]]], parallelism: int = 8, retries: int = 3, base_delay: float = 0.5, max_delay: float = 8.0, replies: str | None = None, kind: str = "") -> tuple[DataFrame, DataFrame]:
     """Calls a user function on each batch: updates (doc_id, batch_id, id, text) and outcomes (doc_id, batch_id, error_type).
 
     make_fn builds the function once for each partition, for example with a client.
     The function gets a batch's items and its context (before, after, style_rules, content,
     glossary) and returns texts by id. TransientError is tried again, with doubling
     delays; any exception becomes the batch's error and leaves the other batches alone.
-    Replies are stored in the shared folder, so that no reader, and no loss of an executor
-    after that, calls the function again.
+    Each reply is stored as it comes, by its request and kind, in the folder replies, or else in a new one in the shared
+    folder (``Replies``): a task that is lost is not paid for twice, and a later run with the same
+    folder only calls for what is missing. So a function that has changed needs another kind or folder.
+    At most parallelism calls run at once.
     """
     if not 1 <= parallelism <= 100 or not 1 <= retries <= 10:
         raise ValueError("parallelism must be from 1 to 100 and retries from 1 to 10")
     schema = f"{batches.schema['doc_id'].dataType.simpleString()}"
+    folder = replies or replies_folder(batches.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = make_fn()
+        fn, known = make_fn(), Replies(folder, kind)
         for frame in frames:
             out: list[dict[str, Any]] = []
             for r in frame.to_dict("records"):
                 items = [dict(x) for x in r["items"]]
                 context = {c: [dict(x) for x in r[c]] for c in ("before", "after", "glossary")} | {"style_rules": list(r["style_rules"]), "content": dict(r["content"])}
-                error, found = with_retries(lambda: dict(fn(items, context)), retries, base_delay, max_delay)
-                texts = {str(k): str(v) for k, v in (found or {}).items()}
+                error, found = with_retries(lambda: known.get([items, context], lambda: {str(k): str(v) for k, v in dict(fn(items, context)).items()}), retries, base_delay, max_delay)
+                texts = found or {}
                 out.append({"doc_id": r["doc_id"], "batch_id": r["batch_id"], "error_type": error, "ids": list(texts), "texts": list(texts.values())})
             yield pd.DataFrame(out, columns=["doc_id", "batch_id", "error_type", "ids", "texts"])
 
@@ -111,12 +115,16 @@ def transform_text(batches: DataFrame, make_fn: Callable[[], Callable[[list[dict
     return updates, called.select("doc_id", "batch_id", "error_type")
 
 
+def replies_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+
+
 def guard_correction(source: Column, corrected: Column, max_change_ratio: float = 0.5) -> Column:
     """True where a correction keeps protected spans and scripts and changes little enough."""
     kept = F.forall(T.protected_spans(source), lambda x: F.contains(corrected, x))
     cjk = ~T.has_cjk_strict(source) | T.has_cjk_strict(corrected)
     latin = ~source.rlike("[A-Za-z]") | corrected.rlike("[A-Za-z]")
-    return kept & cjk & latin & (T.change_ratio(source, corrected) <= max_change_ratio)
+    return kept & cjk & latin & T.changed_at_most(source, corrected, max_change_ratio)
 
 
 def validate_updates(requests: DataFrame, updates: DataFrame, outcomes: DataFrame | None = None, max_change_ratio: float | None = None) -> DataFrame:
@@ -200,11 +208,11 @@ class UserFns:
     make: correction, translation, repair to a factory of (items, context) functions, as
     transform_text takes it; context, if there is one, to a factory of a function from a
     text to a summary, a domain and a tone by name. Stages' own options go before
-    parallelism and retries.
+    parallelism and retries. replies: a folder of stored replies to go on from (transform_text).
     """
 
-    def __init__(self, make: dict[str, Callable[[], Callable]], parallelism: int = 8, retries: int = 3):
-        self.make, self.parallelism, self.retries = make, parallelism, retries
+    def __init__(self, make: dict[str, Callable[[], Callable]], parallelism: int = 8, retries: int = 3, replies: str | None = None):
+        self.make, self.parallelism, self.retries, self.replies = make, parallelism, retries, replies
 
     def contexts(self, texts: DataFrame) -> DataFrame:
         """doc_id, summary, domain, tone, error_type; each text is given to the function once, and the replies are stored."""
@@ -212,15 +220,15 @@ class UserFns:
         if make is None:
             none = F.lit("")
             return texts.select("doc_id", none.alias("summary"), none.alias("domain"), none.alias("tone"), F.lit(None).cast("string").alias("error_type"))
-        names = ["summary", "domain", "tone"]
+        names, folder = ["summary", "domain", "tone"], self.replies or replies_folder(texts.sparkSession)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fn = make()
+            fn, known = make(), Replies(folder, "context")
             for frame in frames:
                 out = []
                 for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                    error, found = with_retries(lambda text=text: dict(fn(text)), retries, 0.5, 8.0)
-                    out.append((doc_id, *(str((found or {}).get(c) or "") for c in names), error))
+                    error, found = with_retries(lambda text=text: known.get(text, lambda: {c: str(dict(x).get(c) or "") for x in [fn(text)] for c in names}), retries, 0.5, 8.0)
+                    out.append((doc_id, *((found or {}).get(c, "") for c in names), error))
                 yield pd.DataFrame(out, columns=["doc_id", *names, "error_type"])
 
         called = texts.select("doc_id", "text").repartition(self.parallelism, "doc_id").mapInPandas(run, f"doc_id {kind}, summary string, domain string, tone string, error_type string")
@@ -230,12 +238,13 @@ class UserFns:
         if stage not in self.make:
             raise ValueError(f"no user function for the stage {stage}")
         batches = neighbour_context(requests, contexts=contexts, glossary=glossary)
+        stored = {"replies": self.replies, "kind": f"{stage} {target}"}
         if how is None:
-            return transform_text(batches, self.make[stage], self.parallelism, self.retries)
-        return transform_text(batches, self.make[stage], how.parallelism, how.retries, how.base_delay, how.max_delay)
+            return transform_text(batches, self.make[stage], self.parallelism, self.retries, **stored)
+        return transform_text(batches, self.make[stage], how.parallelism, how.retries, how.base_delay, how.max_delay, **stored)
 
 
-def user_chooser(make: Callable[[], Callable], parallelism: int = 4, retries: int = 3) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+def user_chooser(make: Callable[[], Callable], parallelism: int = 4, retries: int = 3, replies: str | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
     """A chooser for segment() by user code: the function gets a window's tokens (id, text, gap_after_ms) and returns the ids after which to cut.
 
     A window whose call fails has an error in the outcomes and gets the rules' boundaries.
@@ -245,14 +254,15 @@ def user_chooser(make: Callable[[], Callable], parallelism: int = 4, retries: in
         kind, window = windows.schema["doc_id"].dataType.simpleString(), windows.schema["window_id"].dataType.simpleString()
         tokens = F.sort_array(F.collect_list(F.struct("seq", F.col("piece_id").alias("id"), "text", "gap_after_ms")))
         rows = windows.groupBy("doc_id", "window_id").agg(tokens.alias("tokens"))
+        folder = replies or replies_folder(windows.sparkSession)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fn = make()
+            fn, known = make(), Replies(folder, "choice")
             for frame in frames:
                 out = []
                 for r in frame.to_dict("records"):
                     own = [{c: x[c] for c in ("id", "text", "gap_after_ms")} for x in r["tokens"]]
-                    error, found = with_retries(lambda own=own: [str(x) for x in fn(own)], retries, 0.5, 8.0)
+                    error, found = with_retries(lambda own=own: known.get(own, lambda: [str(x) for x in fn(own)]), retries, 0.5, 8.0)
                     out.append((r["doc_id"], r["window_id"], error, found or []))
                 yield pd.DataFrame(out, columns=["doc_id", "window_id", "error_type", "ids"])
 

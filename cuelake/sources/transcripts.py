@@ -129,11 +129,18 @@ def assign_words_to_segments(words: DataFrame, segments: DataFrame, docs: DataFr
     the widened end of the one before it, or a word is left, the document gets one
     segment over all its words. segments: doc_id, seq, text, start_ms, end_ms.
     """
-    middle = F.floor((F.col("w.start_ms") + F.col("w.end_ms")) / 2)
-    met = words.alias("w").join(segments.alias("s"), (F.col("w.doc_id") == F.col("s.doc_id")) & middle.between(F.col("s.start_ms"), F.col("s.end_ms")), "left")
-    first = met.groupBy(F.col("w.doc_id").alias("doc_id"), F.col("w.seq").alias("seq")).agg(
-        F.min("s.seq").alias("segment"), F.first("w.word_id").alias("word_id"), F.first("w.start_ms").alias("start_ms"), F.first("w.end_ms").alias("end_ms")
+    # Segments that overlap, or go back, give the document one segment whatever they claim. All others are apart in order of
+    # their starts but for shared ends, so a sweep over starts and middles that carries the last segment finds the first that claims.
+    kept = segments.withColumns({"_before_seq": F.lag("seq").over(in_order()), "_before_end": F.lag("end_ms").over(in_order())})
+    claim = F.struct("seq", "start_ms", "end_ms", "_before_seq", "_before_end")
+    events = kept.select("doc_id", F.col("start_ms").alias("_at"), F.lit(0).alias("_kind"), claim.alias("_claim")).unionByName(
+        words.select("doc_id", F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("_at"), F.lit(1).alias("_kind"), "seq", "word_id", "start_ms", "end_ms"), allowMissingColumns=True
     )
+    sweep = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.withColumn("_claim", F.last("_claim", ignorenulls=True).over(sweep)).where("_kind = 1")
+    shared = (F.col("_claim.start_ms") == F.col("_at")) & (F.col("_claim._before_end") == F.col("_at"))
+    segment = F.when(shared, F.col("_claim._before_seq")).when(F.col("_at") <= F.col("_claim.end_ms"), F.col("_claim.seq"))
+    first = swept.select("doc_id", "seq", segment.alias("segment"), "word_id", "start_ms", "end_ms")
     claimed = first.where("segment IS NOT NULL").groupBy("doc_id", "segment").agg(
         F.min_by("start_ms", "seq").alias("_from"), F.max_by("end_ms", "seq").alias("_to"), F.sort_array(F.collect_list(F.struct("seq", "word_id"))).alias("_ids")
     )
