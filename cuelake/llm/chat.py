@@ -11,17 +11,21 @@ Template: ``<s>[INST]role[/INST]text</s>`` for each turn. In roles and texts a
 backslash goes before every backslash and before every control string, which
 ``unescape`` undoes exactly.
 
-Rows are dealt by conversation and stretch of ``STRETCH`` turn numbers and sorted by
-turn; a window does not reach over the end of a stretch. A stretch after the first
-begins with what it needs of those before it: the system turn, and as history the turns
-of the last ``REACH`` turn numbers. So a long conversation is shared by many tasks, and
+Turns are numbered by their order first, whatever their turn numbers are: rows are dealt in
+ranges of (conversation, turn), counted in each, and what lies before in earlier ranges is added, so
+that a conversation of any length is numbered by many tasks. Then they are dealt by
+conversation and stretch of ``STRETCH`` places (or four times the history, if that is more) and
+sorted; a window does not reach over the end of a stretch. A stretch after the first
+begins with what it needs of those before it: the system turn, and as history the last turns, as many as
+the history may have tokens. So windows depend on the order of turns and
+their tokens alone, a long conversation is shared by many tasks, and
 a task keeps the open window and its history only. ``read_back`` hashes a
 conversation's turns in their order, which one task has to do, in bounded memory.
 
 The budget counts the words and marks of a turn; ``tokens`` may name a column with the
 counts of a tokenizer instead.
 
-Edge cases: null texts and roles are empty; a null conv_id is a conversation of its
+Edge cases: of turns with 0 tokens (by a column) as many are repeated as the history may have tokens; null texts and roles are empty; a null conv_id is a conversation of its
 own; null turns come first; rows of equal turn go by role, then text, and all
 stay; an empty table gives an empty table; other columns are not read.
 """
@@ -34,11 +38,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_in
+from .common import maybe_in, runs, stored
 
 OPEN, ROLE, TEXT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = "|".join(map(re.escape, (OPEN, CLOSE, ROLE, TEXT)))
@@ -46,7 +51,7 @@ HIDE = re.compile(rf"\\|(?={CONTROL})")
 SHOW = re.compile(rf"\\(\\|(?={CONTROL}))")
 MARK = re.compile(rf"\\\\|\\(?={CONTROL})(?:{CONTROL})|{CONTROL}")
 TOKEN = r"(?U)\w+|[^\w\s]"
-STRETCH, REACH = 1024, 64
+STRETCH = 1024
 WINDOWS = "conv_id bigint, stretch bigint, window int, n_repeated int, n_turns int, n_tokens bigint, text string, loss array<struct<start: int, end: int>>"
 
 
@@ -148,19 +153,41 @@ class Formatter:
 SYSTEM, HISTORY, OWN = 0, 1, 2
 
 
-def carried(rows: DataFrame) -> DataFrame:
-    """Rows that stretches after a conversation's first get from earlier ones; rows has conv_id, no_id, stretch, kind, turn, role, text, tokens."""
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds nth: a row's place in its conversation, from 0, by turn, role and text; rows has no_id and conv. The result is stored."""
+    order = ["no_id", "conv", "turn", "role", "text"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, n = None, 0
+        for key, part in runs(batches, "no_id", "conv"):
+            n = n if key == here else 0
+            yield part.append_column("place", pa.array(np.arange(n, n + part.num_rows, dtype=np.int64)))
+            here, n = key, n + part.num_rows
+
+    schema = ", ".join(f"{c} {t}" for c, t in ranged.dtypes)
+    # Stored, since the ranges must not change between the two times that they are read.
+    placed = stored(ranged.mapInArrow(count, f"{schema}, place bigint"), "turns")
+    conv = ["no_id", "conv"]
+    before = Window.partitionBy(*conv).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy(*conv, "range").agg((F.max("place") + 1).alias("n")).withColumn("before", F.sum("n").over(before))
+    # Only a range's first conversation can have begun in an earlier one, so there are fewer rows than ranges.
+    ends = ends.where("before IS NOT NULL").select(*conv, "range", "before")
+    return placed.join(F.broadcast(ends), [*conv, "range"], "left").withColumn("nth", F.col("place") + F.coalesce("before", F.lit(0))).drop("range", "place", "before")
+
+
+def carried(rows: DataFrame, stretch: int, reach: int) -> DataFrame:
+    """Rows that stretches after a conversation's first get from earlier ones; rows has no_id, conv, nth, stretch, kind, role, text, tokens."""
     conv = ["no_id", "conv"]
-    stretches = rows.select(*conv, "stretch").distinct().groupBy(*conv).agg(F.min("stretch").alias("first"), F.collect_set("stretch").alias("all")).where(F.size("all") > 1)
-    long = stretches.withColumn("key", F.xxhash64(*conv))
+    columns = [*conv, "stretch", "kind", "nth", "role", "text", "tokens"]
+    long = rows.groupBy(*conv).agg(F.max("stretch").alias("last")).where(F.col("last") > 0).withColumn("key", F.xxhash64(*conv))
     # Most conversations have one stretch; only rows that may be of others are looked at.
-    near = maybe_in(rows, F.xxhash64(*conv), long, "key", "maybe").where("maybe").drop("maybe").join(long.drop("key"), conv)
-    lead = near.where(F.col("stretch") == F.col("first")).groupBy(*conv).agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("x"), F.first("all").alias("all"), F.first("first").alias("first"))
-    is_system = F.col("x.role") == "system"
-    marks = lead.withColumn("stretch", F.explode("all")).where(F.col("stretch") > F.col("first"))
-    marks = marks.select(*conv, "stretch", F.lit(SYSTEM).alias("kind"), F.col("x.turn").alias("turn"), *(F.when(is_system, F.col(f"x.{c}")).otherwise(F.lit("")).alias(c) for c in ("role", "text")), "x.tokens")
-    last = near.where(F.pmod("turn", F.lit(STRETCH)) >= STRETCH - REACH).withColumn("stretch", F.col("stretch") + 1).where(F.array_contains("all", F.col("stretch")))
-    return marks.unionByName(last.select(*conv, "stretch", F.lit(HISTORY).alias("kind"), "turn", "role", "text", "tokens"))
+    edge = rows.where((F.col("nth") == 0) | (F.pmod("nth", F.lit(stretch)) >= stretch - reach))
+    near = maybe_in(edge, F.xxhash64(*conv), long, "key", "maybe").where("maybe").drop("maybe").join(long.drop("key"), conv)
+    lead = near.where("nth = 0").withColumn("stretch", F.explode(F.sequence(F.lit(1).cast("bigint"), "last"))).withColumn("kind", F.lit(SYSTEM))
+    lead = lead.withColumns({c: F.when(F.col("role") == "system", F.col(c)).otherwise(F.lit("")) for c in ("text", "role")})
+    last = near.where(F.pmod("nth", F.lit(stretch)) >= stretch - reach).withColumns({"stretch": F.col("stretch") + 1, "kind": F.lit(HISTORY)}).where(F.col("stretch") <= F.col("last"))
+    return lead.select(*columns).unionByName(last.select(*columns))
 
 
 def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, tokens: str | None = None) -> DataFrame:
@@ -170,13 +197,14 @@ def format_windows(conversations: DataFrame, budget: int = 512, history: int = 1
     earlier window has brought. tokens: a column with the number of tokens of each turn.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = F.col("turn").cast("bigint")
     rows = conversations.select(
-        F.col("conv_id").isNull().alias("no_id"), F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)).alias("conv"), F.coalesce(F.floor(turn / STRETCH), F.lit(-(2**62))).cast("bigint").alias("stretch"),
-        F.lit(OWN).alias("kind"), turn.alias("turn"), role.alias("role"), text.alias("text"), (token_count(role, text) if tokens is None else F.col(tokens)).cast("bigint").alias("tokens"),
+        F.col("conv_id").isNull().cast("int").alias("no_id"), F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)).alias("conv"), F.col("turn").cast("bigint").alias("turn"),
+        role.alias("role"), text.alias("text"), (token_count(role, text) if tokens is None else F.col(tokens)).cast("bigint").alias("tokens"),
     )
+    stretch, reach = max(STRETCH, 4 * history), history
+    rows = numbered(rows).drop("turn").withColumns({"stretch": F.floor(F.col("nth") / stretch), "kind": F.lit(OWN)})
     keys = ("no_id", "conv", "stretch")
-    dealt = rows.unionByName(carried(rows)).repartition(*keys).sortWithinPartitions(*keys, "kind", "turn", "role", "text")
+    dealt = rows.unionByName(carried(rows, stretch, reach)).repartition(*keys).sortWithinPartitions(*keys, "kind", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]

@@ -51,7 +51,6 @@ def count(role, text):
 @pytest.mark.parametrize(("budget", "history", "stretch"), [(512, 128, 1024), (60, 20, 1024), (1, 0, 1024), (60, 20, 8)])
 def test_round_trip(spark, monkeypatch, budget, history, stretch):
     monkeypatch.setattr(chat, "STRETCH", stretch)
-    monkeypatch.setattr(chat, "REACH", min(stretch // 2, 64))
     rows = corpus()
     random.Random(1).shuffle(rows)
     windows = chat.format_windows(table(spark, rows), budget, history).collect()
@@ -71,10 +70,9 @@ def test_round_trip(spark, monkeypatch, budget, history, stretch):
 def test_long_conversation_is_shared(spark, monkeypatch):
     """A stretch begins with the system turn and the history before it, as if one task had formatted all."""
     monkeypatch.setattr(chat, "STRETCH", 50)
-    monkeypatch.setattr(chat, "REACH", 25)
     rows = [(7, 0, "system", "be kind"), *((7, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1, 400))]
-    windows = chat.format_windows(table(spark, rows), 100, 40).orderBy("stretch", "window").collect()
-    assert {w.stretch for w in windows} == set(range(8)) and all(w.n_tokens <= 100 for w in windows)
+    windows = chat.format_windows(table(spark, rows), 100, 30).orderBy("stretch", "window").collect()
+    assert {w.stretch for w in windows} == set(range(4)) and all(w.n_tokens <= 100 for w in windows)
     new = [t for w in windows for t in chat.read_turns(w.text)[w.n_repeated :]]
     assert new == [(r, t) for _, _, r, t in rows]
     for w in windows[1:]:
@@ -86,5 +84,20 @@ def test_long_conversation_is_shared(spark, monkeypatch):
     assert all(w.n_turns <= 3 for w in chat.format_windows(own, 100, 0, tokens="size").collect())
 
 
+def test_windows_follow_order_not_turn_numbers(spark, monkeypatch):
+    """Turn numbers k, 1000 k and time stamps give the same windows, over many stretches and ranges."""
+    monkeypatch.setattr(chat, "STRETCH", 64)
+    texts = [f"turn {k} " + "w " * (k * 7 % 40) for k in range(700)]
+    made = []
+    for number in (lambda k: k, lambda k: 1000 * k, lambda k: 1_700_000_000_000 + 61_000 * k):
+        rows = [(c, number(k), "system" if k == 0 else "user" if k % 2 else "assistant", texts[k]) for c, n in ((1, 700), (2, 20), (3, 300)) for k in range(n)]
+        random.Random(3).shuffle(rows)
+        windows = chat.format_windows(table(spark, rows).repartition(5), 200, 20)
+        made.append(sorted((r.conv_id, r.stretch, r.window, r.n_repeated, r.text) for r in windows.collect()))
+    assert made[0] == made[1] == made[2]
+    # A stretch has 80 turns, four times the history.
+    assert max(r[1] for r in made[0] if r[0] == 1) == 8 and {r[1] for r in made[0] if r[0] == 2} == {0}
+
+
 def test_empty(spark):
     assert chat.read_back(chat.format_windows(table(spark, []))).count() == 0
