@@ -2,9 +2,14 @@
 
 Documents and benchmark items are cut to lower-case words; a character of a script
 without spaces is a word of its own. Seeds are the hashes of the benchmark's word
-n-grams of ``min_tile`` words. A document's n-grams meet them in a join on the hash, so
-that only a document and an item that share seeds are looked at together; a fixed
-filter of 1 MB keeps nearly all other n-grams out of its shuffle. A run of words that
+n-grams of ``min_tile`` words. A filter with at least eight bits for each seed keeps
+nearly all other n-grams of the documents where they are; what passes is stored and
+counted by seed. A seed's count makes it common or rare, and each item may do without
+its commonest seeds as long as the words under them are too few for the threshold: a
+document that contains the item holds one of the others, the item's keys. So pairs are
+met by a join on keys alone, in which rows of hot seeds are dealt over parts, and a phrase that
+many documents and items share makes no pairs unless it is most of an item. Only these
+pairs get all their shared seeds, by a join on document and seed. A run of words that
 document and item have in common is a run of shared seeds at neighbouring places, so
 the greedy tiling of a pair needs its shared seeds alone: it marks the longest runs
 that don't overlap in either, found by running Karp-Rabin sums over the seeds, for
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, MAP_BITS, drop_stored, mix64, slices, stored, text_key, texts, without
+from .common import FILTER_BITS, HOT, MAP_BITS, drop_stored, mix64, slices, stored, text_key, texts, without
 from .nearjoin import word_hashes
 
 #: Ideographs, kana and syllables of Hangul are words of their own.
@@ -157,12 +162,14 @@ def document_seeds(docs: DataFrame, packed: bytes, size: int) -> DataFrame:
     """doc_id, text_id, seed, place of the n-grams whose bit of the filter is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        bits = np.frombuffer(packed, np.uint8)
+        last = np.uint64(8 * len(bits) - 1)
         for batch in slices(batches):
             row, place, seed = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 _, h = seeds_of(text, size)
-                at = np.flatnonzero(bits[h & np.uint64(FILTER_BITS - 1)])
+                bit = (h & last).astype(np.int64)
+                at = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 row.append(np.full(len(at), k))
                 place.append(at)
                 seed.append(h[at].view(np.int64))
@@ -175,21 +182,82 @@ def document_seeds(docs: DataFrame, packed: bytes, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_id bigint, seed bigint, place bigint")
 
 
-def filter_of(seeds: DataFrame) -> bytes:
-    """Which values of the last bits of the seeds occur: FILTER_BITS bits, however many seeds there are."""
-    bit = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
-    maps = seeds.groupBy(F.floor(bit / MAP_BITS).cast("int").alias("map")).agg(F.bitmap_construct_agg(bit % MAP_BITS).alias("bits"))
-    found = {r["map"]: bytes(r["bits"]) for r in maps.collect()}  # at most 256 rows of 4 KB
-    return b"".join(found.get(k, bytes(MAP_BITS // 8)) for k in range(FILTER_BITS // MAP_BITS))
+#: The filter has FILTER_BITS bits, more for a large benchmark, and so many at most: 16 MB.
+MOST_BITS = 1 << 27
+
+
+def filter_of(items: DataFrame) -> bytes:
+    """Which values of the last bits of the items' seeds occur; eight bits a seed or more, up to MOST_BITS in all."""
+    n = items.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).first()[0]
+    size = FILTER_BITS
+    while size < 8 * n and size < MOST_BITS:
+        size *= 2
+    seeds = items.select(F.explode("seeds").alias("seed")).select(F.col("seed").bitwiseAND(F.lit(size - 1)).alias("bit"))
+    maps = seeds.groupBy(F.floor(F.col("bit") / MAP_BITS).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.col("bit") % MAP_BITS).alias("bits"))
+    found = {r["map"]: bytes(r["bits"]) for r in maps.collect()}  # 256 to 4,096 rows of 4 KB
+    return b"".join(found.get(k, bytes(MAP_BITS // 8)) for k in range(size // MAP_BITS))
+
+
+def item_keys(items: DataFrame, counts: DataFrame, min_tile: int, threshold: float) -> DataFrame:
+    """item, seed: of the seeds that documents hold, those of which a document that contains the item must hold one.
+
+    counts: seed, n. An item's seeds are left out from the commonest on while the words
+    under those left out are fewer than the threshold asks for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            item, seed = [], []
+            for one, n_words, own, known in zip(*(b.column(c).to_pylist() for c in ("item", "n_words", "seeds", "known")), strict=True):
+                places: dict[int, list[int]] = defaultdict(list)
+                for k, h in enumerate(own):
+                    places[h].append(k)
+                bare = np.ones(n_words, bool)
+                for x in sorted(known, key=lambda x: (-x["n"], x["seed"])):
+                    under = [w for k in places[x["seed"]] for w in range(k, k + min_tile)]
+                    before = bare[under]
+                    bare[under] = False
+                    if n_words - int(bare.sum()) >= threshold * n_words:
+                        bare[under] = before
+                        item.append(one)
+                        seed.append(x["seed"])
+            if item:
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed, pa.int64())], ["item", "seed"])
+
+    own = items.select("item", F.explode(F.array_distinct("seeds")).alias("seed"))
+    # As many rows in a group as the item has seeds.
+    known = own.join(counts, "seed").groupBy("item").agg(F.collect_list(F.struct("seed", "n")).alias("known"))
+    return items.join(known, "item").select("item", "n_words", "seeds", "known").mapInArrow(run, "item bigint, seed bigint")
+
+
+def met_by_keys(near: DataFrame, keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id, text_id, item: the texts that hold a key of an item, once each.
+
+    Rows of a seed with over one in ``HOT`` of all are dealt over parts, and its keys go to all parts.
+    """
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("n") > total / HOT).select("seed", F.lit(parts).alias("parts")))  # under HOT rows
+    dealt = near.join(hot, "seed", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(parts)).cast("int")))
+    copied = keys.join(hot, "seed", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    return dealt.select("doc_id", "text_id", "seed", "part").distinct().join(copied.select("item", "seed", "part"), ["seed", "part"]).select("doc_id", "text_id", "item").distinct()
+
+
+def shared_seeds(near: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_id, item, shared: all places of the text with a seed of the item, for each pair met."""
+    own = items.select("item", F.explode(F.array_distinct("seeds")).alias("seed"))
+    asked = met.withColumnsRenamed({"doc_id": "d", "text_id": "t"}).join(own, "item").withColumnRenamed("seed", "s")
+    same = (F.col("t") == F.col("text_id")) & (F.col("s") == F.col("seed")) & F.col("d").eqNullSafe(F.col("doc_id"))
+    return near.join(asked, same).groupBy("doc_id", "text_id", "item").agg(F.collect_set(F.struct("place", "seed")).alias("shared"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, threshold: float = 0.6) -> DataFrame:
     """One row for each document and benchmark item that it contains; text_id is a hash of the document's text."""
     items = stored(item_seeds(benchmark, min_tile).where(F.col("n_words") >= min_tile), "items")
-    seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
-    near = document_seeds(docs, filter_of(seeds), min_tile).join(seeds, "seed")
-    shared = near.groupBy("doc_id", "text_id", "item").agg(F.collect_set(F.struct("place", "seed")).alias("shared"))
-    pairs = shared.join(items, "item")
+    near = stored(document_seeds(docs, filter_of(items), min_tile), "seeds")
+    counts = near.groupBy("seed").agg(F.count("*").alias("n"))
+    met = met_by_keys(near, item_keys(items, counts, min_tile, threshold), counts)
+    pairs = shared_seeds(near, met, items).join(items, "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +277,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, thresho
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [*[pa.int64()] * 6, pa.float64()], strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
 
     out = stored(pairs.select("doc_id", "text_id", "item_id", "n_words", "shared", "seeds").mapInArrow(run, PAIRS), "leaks")
-    drop_stored(items)
+    drop_stored(items, near)
     return out
 
 

@@ -105,6 +105,35 @@ def test_passages(spark):
     assert sorted((r.item_id, r.n_words) for r in decontam.short_items(bench(spark, items)).collect()) == [(3, 0), (4, 0), (5, 2)]
 
 
+def test_phrase_shared_by_all(spark):
+    """One phrase in every document and item makes no pairs; the passages that leak are found all the same."""
+    rng = random.Random(11)
+    phrase = " ".join(f"p{k}" for k in range(8))
+    items = [(k, f"{phrase} " + " ".join(f"i{k}x{j}" for j in range(12))) for k in range(1000)]
+    rows = [(k, " ".join(rng.choices(WORDS, k=6)) + f" {phrase}") for k in range(2000)]
+    own = [f"i7x{j}" for j in range(12)]
+    rows += [(5000, items[7][1]), (5001, " ".join(own)), (5002, " ".join([*own[6:], "gap", *own[:6]])), (5003, f"{phrase} {' '.join(own[:3])}"), (5003, f"{phrase} {' '.join(own[:5])}"), (None, items[9][1])]
+    table = decontam.stored(decontam.item_seeds(bench(spark, items), 5), "items")
+    near = decontam.stored(decontam.document_seeds(docs(spark, rows), decontam.filter_of(table), 5), "seeds")
+    counts = near.groupBy("seed").count().withColumnRenamed("count", "n")
+    met = decontam.met_by_keys(near, decontam.item_keys(table, counts, 5, 0.6), counts)
+    assert met.count() < 100
+    assert decontam.shared_seeds(near, met, table).selectExpr("sum(size(shared))").first()[0] < 1000
+    got = {(r.doc_id, r.item_id, r.covered_words) for r in decontam.find_leaks(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {(5000, 7, 20), (5001, 7, 12), (5002, 7, 12), (5003, 7, 13), (None, 9, 20)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keys_lose_no_leak(spark, seed):
+    """Words from a small set, so that seeds repeat within items and are common: equal to trying all pairs."""
+    rng = random.Random(seed)
+    some = WORDS[:3]
+    items = [(k, " ".join(rng.choices(some, k=rng.randrange(5, 14)))) for k in range(8)]
+    rows = [(k, " ".join(rng.choices(some, k=rng.randrange(4, 40)))) for k in range(30)]
+    got = {(r.doc_id, r.item_id, r.covered_words) for r in decontam.find_leaks(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == slow_leaks(rows, items) and got
+
+
 def test_empty_clashes_and_scripts(spark):
     items = [(k, " ".join(f"a{k}x{j}" for j in range(8))) for k in range(6)]
     got = decontam.find_leaks(docs(spark, items), bench(spark, [*items, items[0]])).collect()
