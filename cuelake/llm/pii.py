@@ -1,9 +1,13 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 Four strict patterns (email, ip, card, phone) find base spans, which always stay.
-Wider patterns find candidates of the same kinds that the strict ones miss. Each
+Candidates of the same kinds are what the strict ones miss: wider patterns (spelled-out,
+bracketed and spaced forms, international prefixes), the strict and the wider patterns over
+the text with full-width characters, odd dashes and odd spaces made plain, one for one, and
+the parts of matches that the strict patterns reject for being too long, where two
+numbers stand side by side. What an account number with a right check sum holds is no candidate. Each
 candidate gets votes (yes, no or none) from labelers: shape, plausible parts,
-check sum, cue words near it, the characters around it, words that speak against it, and
+check sum or mark, cue words near it, the characters around it, words that speak against it, and
 gazetteers of mail providers, top-level domains, address ranges, issuers and prefixes.
 Vote patterns are counted over all documents, with a few coarse features of the span:
 its length, how many of its characters differ, and whether a base span of the kind is in
@@ -23,6 +27,7 @@ gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import ipaddress
 import re
 from collections import Counter
@@ -36,19 +41,34 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: The strict patterns. LOCAL is what may stand before an email's @.
+#: The strict patterns (a start within a run of digits finds nothing that the run's start doesn't). LOCAL is what may stand before an email's @.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Candidates beyond the strict patterns.
+#: Candidates beyond the strict patterns. Repeats that can be long are possessive or bounded.
+_LOCAL, _LABEL = r"[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]++"
+_DOT = r"(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]|\(\.\)|\.) ?| dot )"
 WIDE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.| dot ) ?[A-Za-z0-9-]++)+", re.IGNORECASE),
-    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"),
-    "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\)[ -]?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-](?=[0-9]{3}[ .-]))[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"),
+    "email": [
+        re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_DOT}{_LOCAL}){{0,3}}? ?(?:\(at\)|\[at\]|\{{at\}}| at ) ?{_LABEL}(?:{_DOT}{_LABEL})++", re.IGNORECASE),
+        re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?: @ ?| ?@ |\(@\)|\[@\]){_LABEL}(?:(?:\.|\[\.\]|\(\.\)){_LABEL})++"),
+    ],
+    "ip": [
+        re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"),
+        re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:(?: ?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\}) ?| dot )[0-9]{1,3}){3}(?![0-9A-Za-z])", re.IGNORECASE),
+    ],
+    "card": [re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")],
+    "phone": [
+        re.compile(r"(?<![0-9+])(?:\+|00)[1-9][0-9]{0,3}+(?:(?: ?/ ?|[ .-])?+(?:\([0-9]{1,5}\)|[0-9]++)){1,6}+"),
+        re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\)[ -]?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-](?=[0-9]{3}[ .-]))[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"),
+    ],
 }
+#: Full-width ASCII, dashes and spaces, each with the plain character that stands for it.
+PLAIN = {k: k - 0xFEE0 for k in range(0xFF01, 0xFF5F)} | dict.fromkeys(range(0x2010, 0x2016), "-") | {0x2212: "-", 0xA0: " ", 0x202F: " ", 0x2009: " ", 0x3000: " "}
+ODD = re.compile(f"[{''.join(map(chr, PLAIN))}]")
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: Cue words near a span of each kind.
 CUES = {
     "email": ("email", "e-mail", "mail", "contact", "correo", "courriel", "kontakt"),
@@ -64,7 +84,9 @@ PROVIDERS = re.compile(r"(?:gmail|googlemail|yahoo|hotmail|outlook|live|icloud|p
 DOMAINS = re.compile(r"\b(?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|uk|eu|ch|at|nl|be|pt|us|ca|mx|ar|br|in|jp|cn|ru|test|example)$", re.IGNORECASE)
 RANGES = re.compile(r"(?:2[0-9a-f]{3}|3[0-9a-f]{3}|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2}|::1$|::ffff)", re.IGNORECASE)
 ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35")
-PREFIXES = re.compile(r"\(?0|\([2-9]|[2-9][0-9]{2}[ .-]")
+PREFIXES = re.compile(r"\+[1-9]|\(?0|\([2-9]|[2-9][0-9]{2}[ .-]")
+#: How the digits of a card are grouped.
+CARD_GROUPS = {(16,), (4, 4, 4, 4), (15,), (4, 6, 5), (14,), (4, 6, 4), (19,), (4, 4, 4, 4, 3)}
 LABELERS = 7
 #: Values of the coarse features: length, distinct characters, a base span of the kind in the text.
 FEATURES = (4, 3, 2)
@@ -121,20 +143,27 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         shape = int(bool(re.search(r"(?:[.]|dot)\W*[A-Za-z]{2,8}$", span, re.IGNORECASE)))
         parts = int(bool(re.search(r"[A-Za-z]{2,}$", span)))
         check = int(bool(re.search(r"[@(\[{]", span)))
+    elif kind == "ip" and ":" not in span:
+        numbers = re.findall(r"[0-9]+", span)
+        shape = int(len(numbers) == 4)
+        parts = int(all(n == str(int(n)) for n in numbers if len(n) < 4))
+        check = int(bool(re.search(r"[.(\[{]", span)))
     elif kind == "ip":
         shape = int(len(set(span)) > 2)
         parts = int(sum(map(len, span.split(":"))) >= 4)
         check = 2
     elif kind == "card":
-        shape = int(len(d) == 16)
+        shape = int(tuple(map(len, re.findall(r"[0-9]+", span))) in CARD_GROUPS)
         parts = int(d[:1] in "3456")
         check = int(luhn(d))
     else:
-        shape = int(9 <= len(d) <= 12)
+        shape = int(9 <= len(d) <= 14)
         parts = int(len(set(d)) > 3)
-        check = 1 if span.startswith(("(", "0")) else 2
+        check = 1 if span.startswith(("(", "0", "+")) else 2
     if kind == "email":
         known = 1 if PROVIDERS.search(span) or DOMAINS.search(span) else 0
+    elif kind == "ip" and ":" not in span:
+        known = int(0 < int(d[:1] or 0) and len(numbers[0]) < 4 and int(numbers[0]) < 224)
     else:
         known = 1 if {"ip": RANGES, "card": ISSUERS, "phone": PREFIXES}[kind].match(d if kind == "card" else span) else 0
     cue = 1 if CUE[kind].search(around) else 2
@@ -156,24 +185,131 @@ def is_ipv6(text: str) -> bool:
         return False
 
 
+def is_account(text: str) -> bool:
+    """Whether the check digits of an international account number are right."""
+    code = text.replace(" ", "")
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def phone_part(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The shortest start of a number too long for a phone that ends with a group of digits and holds 10 to 15."""
+    held = 0
+    for m in re.finditer(r"[0-9]+", text[start:end]):
+        held += len(m[0])
+        if held - 2 * text.startswith("00", start) >= 10:
+            return (start, start + m.end()) if held - 2 * text.startswith("00", start) <= 15 else None
+    return None
+
+
+def card_parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Whole groups of digits, side by side, that make a card: leftmost, longest first."""
+    groups, k = [(start + m.start(), start + m.end()) for m in re.finditer(r"[0-9]+", text[start:end])], 0
+    while k < len(groups):
+        found, held = None, ""
+        for j in range(k, min(len(groups), k + 19)):
+            held += text[groups[j][0] : groups[j][1]]
+            if len(held) > 19:
+                break
+            if len(held) >= 14 and luhn(held):
+                found = j
+        if found is None:
+            k += 1
+        else:
+            yield groups[k][0], groups[found][1]
+            k = found + 1
+
+
+def rejected_parts(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Parts of strict matches that hold too many digits, cut where a base span of another kind starts."""
+    others = sorted(a for k, a, _ in base if k != "phone")
+    for m in PHONE.finditer(text) if "+" in text else ():
+        if len(digits_of(m[0])) > 15:
+            at = bisect.bisect_right(others, m.start())
+            part = phone_part(text, m.start(), min([m.end(), *others[at : at + 1]]))
+            if part:
+                yield ("phone", *part)
+    for m in CARD.finditer(text):
+        if len(m[0]) > 14 and len(digits_of(m[0])) > 14:
+            yield from (("card", *x) for x in card_parts(text, *m.span()))
+
+
+def wide_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    lower = text.lower() if "@" in text or "at" in text or "AT" in text or "At" in text else ""
+    digits = bool(re.search("[0-9]", text))
+    for m in WIDE["email"][0].finditer(text) if any(x in lower for x in ("(at)", "[at]", "{at}")) or " at " in lower and " dot " in lower else ():
+        if re.search(r"[(\[{]at|\bdot\b", m[0], re.IGNORECASE):
+            yield ("email", *m.span())
+    for m in WIDE["email"][1].finditer(text) if re.search(r"[ (\[]@|@[ )\]]", text) else ():
+        yield ("email", *m.span())
+    if not digits:
+        return
+    for m in WIDE["ip"][0].finditer(text) if "::" in text or text.count(":") > 2 else ():
+        if is_ipv6(m[0]):
+            yield ("ip", *m.span())
+    for m in WIDE["ip"][1].finditer(text):
+        if all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])):
+            yield ("ip", *m.span())
+    for m in WIDE["card"][0].finditer(text):
+        yield ("card", *m.span())
+    for m in WIDE["phone"][0].finditer(text):
+        part = phone_part(text, *m.span())
+        if part:
+            yield ("phone", *part)
+    for m in WIDE["phone"][1].finditer(text):
+        yield ("phone", *m.span())
+
+
+def plain(text: str) -> str:
+    """The text with full-width characters, dashes and spaces made plain, at the same places."""
+    return text.translate(PLAIN) if ODD.search(text) else text
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans beyond the base ones, none of which they touch, nor each other; by kind as listed, then by where they are found."""
+    even = plain(text)
+    has_digits = bool(re.search("[0-9]", even))
+    taken = Spans((a, b) for _, a, b in base)
+    if has_digits:
+        for m in ACCOUNT.finditer(even):
+            if is_account(m[0]):
+                taken.add(*m.span())
+    found = [*(base_spans(even) if even is not text else ()), *(rejected_parts(even, base) if has_digits else ()), *wide_spans(even)]
+    found.sort(key=lambda x: KINDS.index(x[0]))  # stable: strict forms first, then parts, then wide ones
     out = []
-    lower = text.lower() if "at" in text or "AT" in text else ""
-    for kind, pattern in WIDE.items():
-        if kind == "email":
-            if not (any(x in lower for x in ("(at)", "[at]", "{at}")) or " at " in lower and " dot " in lower):
-                continue
-        elif not re.search("[0-9]", text):
-            continue
-        own = [x for x in base if x[0] == kind]
-        for m in pattern.finditer(text):
-            if kind == "email" and not re.search(r"[(\[{]at|\bdot\b", m[0], re.IGNORECASE) or kind == "ip" and not is_ipv6(m[0]):
-                continue
-            if not any(a < m.end() and m.start() < b for _, a, b in base if kind != "email") and not any(a < m.end() and m.start() < b for _, a, b in own):
-                out.append((kind, m.start(), m.end()))
+    for kind, a, b in found:
+        if taken.free(a, b):
+            taken.add(a, b)
+            out.append((kind, a, b))
     return out
 
 
+class Spans:
+    """Spans that don't lie in one another, by start; base spans of several kinds may overlap and are merged."""
+
+    def __init__(self, spans: Iterator[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Adds a span; one that overlaps others takes their place with theirs."""
+        k = bisect.bisect_left(self.starts, b)
+        first = k
+        while first > 0 and self.ends[first - 1] > a:
+            first -= 1
+        a, b = min([a, *self.starts[first:k]]), max([b, *self.ends[first:k]])
+        self.starts[first:k], self.ends[first:k] = [a], [b]
+
+
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[float, np.ndarray, dict[tuple[int, ...], float]]:
     """EM over counted vote patterns of one kind: share of true spans, each labeler's chance of a yes by truth, posteriors."""
     rows = list(patterns)
@@ -224,8 +360,9 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
+                even = plain(text)
                 for kind, a, b in [*base, *candidates(text, base)]:
-                    found[kind, "".join(map(str, pattern_of(kind, text, a, b, base)))] += 1
+                    found[kind, "".join(map(str, pattern_of(kind, even, a, b, base)))] += 1
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found]), pa.array([p for _, p in found]), pa.array(list(found.values()), pa.int64())], ["kind", "pattern", "n"])
 
@@ -247,7 +384,8 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: dict[str, np.ndarray]) -> list[tuple[str, int, int]]:
-    return [(k, a, b) for k, a, b in candidates(text, base) if features(pattern_of(k, text, a, b, base)) @ model[k] > 0]
+    even = plain(text)
+    return [(k, a, b) for k, a, b in candidates(text, base) if features(pattern_of(k, even, a, b, base)) @ model[k] > 0]
 
 
 def find_spans(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

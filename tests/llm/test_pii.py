@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -97,3 +98,83 @@ def test_long_local_part():
 def test_empty(spark):
     none = docs(spark, [])
     assert pii.find_spans(none, pii.fit(none)).count() == 0
+
+
+#: Forms that the strict patterns miss, by kind, and texts that only look like personal data.
+FORMS = {
+    "email": ["{w}.{v} (at) {v} (dot) com", "{w} [at] mail.{v}.org", "{w} dot {v} at {v} dot com", "{w}@ {v}.com", "{w} @ {v}.de", "{w}＠{v}．com", "{w}[@]{v}[.]net"],
+    "ip": ["{b}[.]{b}[.]{b}[.]{b}", "{b}(.){b}(.){b}(.){b}", "{b} dot {b} dot {b} dot {b}", "2001:db8::{b}:{b}"],
+    "phone": ["0049 {d}{d} {d}{d}{d}{d}{d}{d}{d}", "＋４９ ８９ {d}{d}{d}{d}{d}{d}{d}", "+49 {d}{d}/{d}{d}{d}{d}{d}{d}{d}", "(0{d}{d}) {d}{d}{d}-{d}{d}{d}{d}", "+1 ({d}{d}{d}) {d}{d}{d}-{d}{d}{d}{d}"],
+}
+DECOYS = ["DE89 3704 0044 0532 0130 00", "isbn 978 3 16 148410 0", "met at noon dot", "look @ home. then", "12:30:45", "2024-01-15 10:30", "version 1.2.3", "order 12-345", "std::vector", "token 65f8700754a1d8161928a1d0cca87ca77d009e4f", "1234567890123456", "5 at 6"]
+
+
+def test_planted_forms(spark):
+    """Each form that strict patterns miss is found, with exact ends; look-alikes and clean words are left alone."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    rows, want = [], set()
+    for i in range(900):
+        before, after = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(12))
+        if i % 3 == 0:
+            kind = rng.choice(sorted(FORMS))
+            form = re.sub(r"\{(.)\}", lambda m: {"w": word, "v": word, "b": lambda: str(rng.randrange(11, 200)), "d": lambda: str(rng.randrange(2, 10))}[m[1]](), rng.choice(FORMS[kind]))
+            after = f"190.137.{i % 200}.204 {after}" if form.startswith("+1 (") else after
+            want.add((i, kind, len(before) + 1, len(before) + 1 + len(form)))
+        else:
+            form = rng.choice(DECOYS) if i % 3 == 1 else rng.choice(["jo@site.com", "10.20.30.40", "+1 (212) 555-7713", "4111 1111 1111 1111"])
+        rows.append((i, f"{before} {form} {after}"))
+    found = pii.find_spans(docs(spark, rows), pii.fit(docs(spark, rows))).collect()
+    got = {(r.doc_id, *x) for r in found for x in r.added}
+    assert len(got & want) >= 0.95 * len(want), sorted(dict(rows)[i][a:b] for i, _, a, b in want - got)[:20]
+    assert len(got & want) >= 0.97 * len(got), sorted(dict(rows)[i][a:b] for i, _, a, b in got - want)[:20]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Des +1 (826) 555-4081 190.137.223.204 du", ["+1 (826) 555-4081"]),
+        ("x 4111111111111111 5555555555554444 y", ["4111111111111111", "5555555555554444"]),
+        ("tel +1 (826) 555-4081 4111111111111111", ["4111111111111111", "+1 (826) 555-4081"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 ok", []),
+        ("+１ (826) 555‑4081", ["+１ (826) 555‑4081"]),
+        ("1234567890123456 1234567890123456", []),
+    ],
+)
+def test_rejected_parts(text, want):
+    assert [text[a:b] for _, a, b in pii.candidates(text, pii.base_spans(text))] == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0129. -+()@ab[]:/", max_size=80))
+def test_candidates_touch_nothing(text):
+    base = pii.base_spans(text)
+    got = pii.candidates(text, base)
+    ends = sorted((a, b) for _, a, b in got)
+    assert all(a < b for a, b in ends) and all(x[1] <= y[0] for x, y in zip(ends, ends[1:], strict=False))
+    assert not any(a < y and x < b for a, b in ends for _, x, y in base)
+
+
+@pytest.mark.parametrize("text", ["9" * 300000, "9 " * 20000, "+1 2" * 50000, "0049 " * 30000, "a dot " * 50000, "1:" * 50000, "AB12 CDEF " * 30000])
+def test_long_runs(text):
+    """Linear in the length of any run."""
+    began = time.time()
+    pii.candidates(text, pii.base_spans(text))
+    assert time.time() - began < 10
+
+
+def test_added_on_given_table(spark):
+    """Every phone, and card of a known issuer, that stands whole beside another number in the given documents is found; nothing else is added."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = dict(table.select("doc_id", "text").where("text rlike '[0-9]{10}|[+]1 [(]'").collect())
+    got = {(r.doc_id, x.kind, x.start, x.end) for r in pii.find_spans(table, pii.fit(table)).select("doc_id", "added").where("size(added) > 0").collect() for x in r.added}
+    want = set()
+    for i, text in texts.items():
+        base = {(k, a, b) for k, a, b in brute(text)}
+        for m in re.finditer(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", text):
+            if ("phone", *m.span()) not in base:
+                want.add((i, "phone", *m.span()))
+        for m in re.finditer(r"(?<![0-9-])(?<![0-9] )[0-9]{16} [0-9]{16}(?![ -]?[0-9])", text):
+            want |= {(i, "card", a, a + 16) for a in (m.start(), m.start() + 17) if luhn(text[a : a + 16]) and text[a] in "3456"}
+    assert got >= want and len(want) > 2
+    assert all(k == "phone" and texts[i][a:b].startswith("+1 (") or k == "card" and luhn(texts[i][a:b]) for i, k, a, b in got)
