@@ -253,7 +253,8 @@ def wide_spans(text: str) -> Iterator[tuple[str, int, int]]:
         yield ("card", *m.span())
     for m in WIDE["phone"][0].finditer(text):
         part = phone_part(text, *m.span())
-        if part:
+        # An unbroken run of 16 digits has the form of a card, not of a phone.
+        if part and not (part[1] - part[0] > 15 and text[slice(*part)].isdecimal()):
             yield ("phone", *part)
     for m in WIDE["phone"][1].finditer(text):
         yield ("phone", *m.span())

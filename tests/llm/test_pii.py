@@ -139,6 +139,7 @@ def test_planted_forms(spark):
         ("IBAN DE89 3704 0044 0532 0130 00 ok", []),
         ("+１ (826) 555‑4081", ["+１ (826) 555‑4081"]),
         ("1234567890123456 1234567890123456", []),
+        ("nt 0054994038693466 the 00491701234567", ["00491701234567"]),
     ],
 )
 def test_rejected_parts(text, want):
