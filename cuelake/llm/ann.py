@@ -5,16 +5,20 @@ k-means on a sample of at most ``SAMPLE`` vectors, those of the least hash of th
 id. Every vector goes into the cell of its pair of centroids. A query walks over
 pairs of centroids with a heap, in the order of the summed nearness of its halves to
 them (the negative inner product as distance), until the cells hold enough vectors,
-which are then ranked by exact inner products in double precision.
+which are then ranked by exact inner products in double precision. There are about
+as many cells as vectors, up to ``MOST_CENTROIDS`` squared. The heap holds the next
+cell of each first centroid that the walk has opened, so it opens no more than it needs.
 
 How many are enough is measured on the table itself: the true neighbours of at most
 ``PROBES`` queries are found by exact comparison with all vectors, and the walk goes
 as far, ``candidates`` at least, as it takes to meet the share ``RECALL`` of them. So
 the number grows with the table, up to all of it where the halves tell nothing.
 
-The first centroid makes a region; a region of many vectors is cut into chunks of
-about ``CHUNK``. A query is sent once to each chunk of the regions it visits; a task
-holds one chunk and streams the queries past it, and returns each query's best k.
+The first centroid makes a region; a region of over ``CHUNK`` vectors is cut into
+chunks, small regions share one. The walk ends at a summed nearness, and its cells are
+all those at least as near; so a query is sent with this number, not with its cells,
+and once to each chunk that holds a region it visits. A task holds one chunk, streams
+the queries past it, and returns each query's best k of the cells that the walk met.
 
 Equal vectors: equal rows count once. A result of k rows takes the smallest ids among
 equal scores, so of equal vectors only the k + 1 of smallest id can be in any result;
@@ -24,7 +28,8 @@ index by a window limit that runs before the shuffle.
 Edge cases: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part; ties go to the smaller id; with fewer than
 k other vectors all are returned; rows of equal id are never each other's
-neighbours; rows with a null id take no part; an empty table gives an empty table.
+neighbours, and of the different vectors of one id the least, number by number, is the
+query; cells as near as the last one are met too; rows with a null id take no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,18 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, n_chunks, stored
 
 SAMPLE = 20_000
 MOST_CENTROIDS = 512
-CHUNK = 50_000
+#: Vectors of a chunk, at most and (for tables of fewer chunks than tasks) at least.
+CHUNK, LEAST = 50_000, 2_000
 #: Queries whose true neighbours are found by exact comparison, and the share of these that the walk must meet.
 PROBES = 200
 RECALL = 0.95
-#: Walks that hold less than one in so many vectors use the heap.
-SHORT = 50
 #: Rows of a batch of visits, each with its query's vector.
-VISITS = 20_000
+VISITS = 2_000
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -83,32 +87,48 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def walk(near_1: np.ndarray, near_2: np.ndarray, sizes: np.ndarray, wanted: int) -> list[tuple[int, int]]:
-    """Pairs of centroids in descending order of summed nearness, until their cells hold enough."""
+def nearness(v: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of one vector's halves with the centroids, to the last bit the same in every task."""
+    half = one.shape[1]
+    return (one * v[:half]).sum(axis=1), (two * v[half:]).sum(axis=1)
+
+
+def walk(near_1: np.ndarray, near_2: np.ndarray, sizes: list[list[int]], wanted: int) -> tuple[list[tuple[int, int]], float]:
+    """Filled pairs of centroids in descending order of summed nearness, until they hold enough, and the last sum.
+
+    Pairs with that same sum are all met.
+    """
     order_1, order_2 = np.argsort(-near_1, kind="stable").tolist(), np.argsort(-near_2, kind="stable").tolist()
     a, b = near_1[order_1].tolist(), near_2[order_2].tolist()
-    heap, seen, found, held = [(-(a[0] + b[0]), 0, 0)], {(0, 0)}, [], 0
-    while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        p, q = order_1[i], order_2[j]
-        n = sizes[p, q]
+    # One entry for each opened first centroid: its next pair.
+    heap, found, held, last = [(-(a[0] + b[0]), 0, 0)], [], 0, 0.0
+    while heap and (held < wanted or heap[0][0] == last):
+        last, i, j = heap[0]
+        if j + 1 < len(b):
+            heapq.heapreplace(heap, (-(a[i] + b[j + 1]), i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(a):
+            heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
+        n = sizes[order_1[i]][order_2[j]]
         if n:
-            found.append((p, q))
+            found.append((order_1[i], order_2[j]))
             held += n
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (-(a[x] + b[y]), x, y))
-    return found
+    return found, -last
 
 
-def visited(near_1: np.ndarray, near_2: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
-    """The walk's cells as p * columns + q, ascending; long walks sort all cells at once instead of using the heap."""
-    if wanted * SHORT < sizes.sum():
-        return np.sort(np.array([p * sizes.shape[1] + q for p, q in walk(near_1, near_2, sizes, wanted)], np.int64))
-    order = np.argsort(-(near_1[:, None] + near_2[None, :]).ravel(), kind="stable")
-    some = order[: np.searchsorted(np.cumsum(sizes.ravel()[order]), wanted) + 1]
-    return np.sort(some[sizes.ravel()[some] > 0])
+def deal(regions: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First chunk and number of chunks of each region: large regions are cut, small neighbours share a chunk."""
+    first, parts = np.zeros(len(regions), np.int64), np.maximum(1, -(-regions // most))
+    chunk, held = 0, 0
+    for p, n in enumerate(regions.tolist()):
+        if held and held + n > most:
+            chunk, held = chunk + 1, 0
+        first[p] = chunk
+        held += n
+        if parts[p] > 1:
+            chunk, held = chunk + int(parts[p]), 0
+    return first, parts
 
 
 def true_neighbours(index: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
@@ -149,7 +169,7 @@ def enough(near_1: np.ndarray, near_2: np.ndarray, sizes: np.ndarray, cells: lis
     return needs[math.ceil(share * len(needs)) - 1] if needs else 0
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: int = 4000) -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: int = 400) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by query_every, its k nearest found.
 
     A query is compared with ``candidates`` vectors at least, and with as many more as the probes ask for.
@@ -159,7 +179,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
     total = rows.count()
     if total == 0:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    n_centroids = int(min(MOST_CENTROIDS, max(1, math.sqrt(total / 8))))
+    n_centroids = int(min(MOST_CENTROIDS, max(1, math.sqrt(total))))
     # The sample's size is bounded by SAMPLE.
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     half = max(1, sample.shape[1] // 2)
@@ -182,8 +202,9 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
     sizes = np.zeros((len(one), len(two)), np.int64)
     for r in index.groupBy("c1", "c2").count().collect():
         sizes[r.c1, r.c2] = r["count"]
-    chunks = np.maximum(1, -(-sizes.sum(axis=1) // CHUNK))
-    queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
+    n_held = int(sizes.sum())
+    first, parts = deal(sizes.sum(axis=1), -(-n_held // n_chunks(spark, n_held, CHUNK, LEAST)))
+    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     wanted = candidates + k + 1
     if wanted < sizes.sum():
         probes = queries.orderBy(F.xxhash64(F.lit(5), "vec_id")).limit(PROBES).collect()
@@ -195,60 +216,57 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
                 cells[r.probe].append((r.c1, r.c2))
             wanted = max(wanted, enough(x[:, :half] @ one.T, x[:, half:] @ two.T, sizes, cells, RECALL))
 
+    counts = sizes.tolist()
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, ids = matrix(b.column("v")), b.column("vec_id")
-            near_1, near_2 = x[:, :half] @ one.T, x[:, half:] @ two.T
-            row, c1, cells, ends = [], [], [], [0]
-            for n in range(len(ids)):
-                # The cells of a region stand together.
-                p, q = np.divmod(visited(near_1[n], near_2[n], sizes, wanted), sizes.shape[1])
-                starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                row += [n] * len(starts)
-                c1.append(p[starts])
-                cells.append(q)
-                ends += (ends[-1] + np.r_[starts[1:], len(p)]).tolist()
-                if len(row) >= VISITS or n == len(ids) - 1:
+            x, row, chunk, least = matrix(b.column("v")), [], [], []
+            for n in range(len(x)):
+                found, last = walk(*nearness(x[n], one, two), counts, wanted)
+                mine = sorted({c for p in {p for p, _ in found} for c in range(first[p], first[p] + parts[p])})
+                row += [n] * len(mine)
+                chunk += mine
+                least += [last] * len(mine)
+                if len(row) >= VISITS or n == len(x) - 1:
                     at = pa.array(row, pa.int64())
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(np.concatenate(c1), pa.int32()), lists], ["vec_id", "v", "c1", "cells"])
-                    row, c1, cells, ends = [], [], [], [0]
+                    yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(chunk, pa.int32()), pa.array(least, pa.float64())], ["vec_id", "v", "chunk", "least"])
+                    row, chunk, least = [], [], []
 
-    visits = queries.mapInArrow(visit, "vec_id bigint, v array<double>, c1 int, cells array<int>")
-    n_chunks = F.element_at(F.array(*[F.lit(int(n)) for n in chunks]), F.col("c1") + 1)
-    entries = index.select("c1", F.pmod(F.xxhash64("vec_id"), n_chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"), "c2", "vec_id", "v", F.array().cast("array<int>").alias("cells"))
-    asked = visits.select("c1", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"), F.lit(1).alias("kind"), F.lit(-1).alias("c2"), "vec_id", "v", "cells")
-    dealt = entries.unionByName(asked).repartition("c1", "chunk").sortWithinPartitions("c1", "chunk", "kind", "c2", "vec_id")
+    visits = queries.mapInArrow(visit, "vec_id bigint, v array<double>, chunk int, least double")
+    of_region = lambda values: F.element_at(F.array(*[F.lit(int(n)) for n in values]), F.col("c1") + 1)
+    chunk = (of_region(first) + F.pmod(F.xxhash64("vec_id"), of_region(parts))).cast("int")
+    entries = index.select(chunk.alias("chunk"), F.lit(0).alias("kind"), "c1", "c2", "vec_id", "v", F.lit(0.0).alias("least"))
+    asked = visits.select("chunk", F.lit(1).alias("kind"), F.lit(-1).alias("c1"), F.lit(-1).alias("c2"), "vec_id", "v", "least")
+    dealt = entries.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "kind", "c1", "c2", "vec_id")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, vectors_here = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = list(zip(b.column("c1").to_pylist(), b.column("chunk").to_pylist(), strict=True))
-            kinds, x, ids, c2 = b.column("kind").to_numpy(), matrix(b.column("v")), b.column("vec_id").to_numpy(), b.column("c2").to_numpy()
-            cells, ends = b.column("cells").flatten().to_numpy(), b.column("cells").offsets.to_numpy()
-            ends = ends - ends[0]
+            kinds, x, ids = b.column("kind").to_numpy(), matrix(b.column("v")), b.column("vec_id").to_numpy()
+            cell, least_near = b.column("c1").to_numpy() * len(two) + b.column("c2").to_numpy(), b.column("least").to_numpy()
             out_q, out_v, out_s = [], [], []
-            for n, key in enumerate(keys):
+            for n, key in enumerate(b.column("chunk").to_pylist()):
                 if key != here:
                     here, held, vectors_here = key, [], None
                 if kinds[n] == 0:
-                    held.append((c2[n], ids[n], x[n]))
+                    held.append((cell[n], ids[n], x[n]))
                     continue
                 if vectors_here is None:
-                    place_2, own = np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64)
+                    own = np.array([h[1] for h in held], np.int64)
+                    cells, in_cell = np.unique(np.array([h[0] for h in held], np.int64), return_counts=True)
+                    cells_1, cells_2 = np.divmod(cells, len(two))
                     vectors_here = np.array([h[2] for h in held])
                     longest = np.sqrt((vectors_here * vectors_here).sum(axis=1).max()) if held else 0.0
                     held = [None]
                 if not len(vectors_here):
                     continue
-                mine = cells[ends[n] : ends[n + 1]]
-                chosen = np.zeros(len(two), bool)
-                chosen[mine] = True
-                some = np.flatnonzero(chosen[place_2])
+                near_1, near_2 = nearness(x[n], one, two)
+                # Entries are sorted by cell.
+                some = np.flatnonzero(np.repeat(near_1[cells_1] + near_2[cells_2] >= least_near[n], in_cell))
                 some = some[own[some] != ids[n]]
                 if len(some) > k:
                     # A fast product leaves out rows that lie under the k-th by more than its rounding.

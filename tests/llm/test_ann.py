@@ -82,14 +82,38 @@ def test_small_share_is_visited(spark, monkeypatch):
     assert recall(got, want) >= 0.9
 
 
-def test_visited_by_sorting_or_heap(monkeypatch):
+def test_walk_meets_all_cells_down_to_its_last():
     rng = np.random.default_rng(3)
-    a, b, sizes = rng.normal(size=9), rng.normal(size=7), rng.integers(0, 3, (9, 7))
+    a, b, sizes = rng.integers(0, 6, 9) / 4, rng.integers(0, 6, 7) / 4, rng.integers(0, 3, (9, 7))
+    near = a[:, None] + b[None, :]
     for wanted in (1, 5, 20, int(sizes.sum()), 10**9):
-        want = sorted(p * 7 + q for p, q in ann.walk(a, b, sizes, wanted))
-        for short in (0, 10**9):
-            monkeypatch.setattr(ann, "SHORT", short)
-            assert ann.visited(a, b, sizes, wanted).tolist() == want
+        found, last = ann.walk(a, b, sizes.tolist(), wanted)
+        assert sorted(found) == list(zip(*(x.tolist() for x in np.nonzero((near >= last) & (sizes > 0))), strict=True))
+        held, nearer = sum(sizes[c] for c in found), sizes[near > last].sum()
+        assert held >= min(wanted, sizes.sum()) and nearer < wanted
+
+
+def test_walk_opens_no_more_than_it_needs(monkeypatch):
+    """A short walk over a million cells touches few of them."""
+    pushed = []
+    push, replace = ann.heapq.heappush, ann.heapq.heapreplace
+    monkeypatch.setattr(ann.heapq, "heappush", lambda h, x: pushed.append(x) or push(h, x))
+    monkeypatch.setattr(ann.heapq, "heapreplace", lambda h, x: pushed.append(x) or replace(h, x))
+    rng = np.random.default_rng(4)
+    found, _ = ann.walk(rng.normal(size=1000), rng.normal(size=1000), [[1] * 1000] * 1000, 50)
+    assert len(found) == 50 and len(pushed) <= 100
+
+
+def test_deal():
+    first, parts = ann.deal(np.array([3, 4, 25, 0, 9, 2]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
+def test_query_of_an_id_with_two_vectors(spark):
+    """The least vector asks, in whatever order the rows come."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9])]
+    for some in (rows, rows[::-1]):
+        assert {q: [i for i, _ in v] for q, v in results(ann.search(table(spark, some))).items()} == {0: [2, 1]}
 
 
 def test_enough():
@@ -117,6 +141,6 @@ def test_walk_order():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=9), rng.normal(size=7)
     sizes = rng.integers(0, 3, (9, 7))
-    pairs = ann.walk(a, b, sizes, 10**9)
+    pairs, _ = ann.walk(a, b, sizes.tolist(), 10**9)
     assert len(pairs) == (sizes > 0).sum()
     assert all(a[p] + b[q] >= a[r] + b[s] - 1e-12 for (p, q), (r, s) in zip(pairs, pairs[1:], strict=False))
