@@ -204,7 +204,9 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
         sizes[r.c1, r.c2] = r["count"]
     n_held = int(sizes.sum())
     first, parts = deal(sizes.sum(axis=1), -(-n_held // n_chunks(spark, n_held, CHUNK, LEAST)))
-    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # A fixed number of partitions: few bytes, but a long walk for each row.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = rows.where(F.col("vec_id") % query_every == 0).repartition(tasks, "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
     wanted = candidates + k + 1
     if wanted < sizes.sum():
         probes = queries.orderBy(F.xxhash64(F.lit(5), "vec_id")).limit(PROBES).collect()
