@@ -1,6 +1,7 @@
 """The registered opN_ queries and the corpus pipeline against their contracts, on small tables with planted cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -14,13 +15,15 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from cuelake.llm import bpe, decontam, linededup, nearjoin, queries, toxicity
+from cuelake.llm import bpe, decontam, linededup, nearjoin, queries, tokencount, toxicity
 
 from .test_chat import digest
 from .test_decontam import slow_leaks
-from .test_katz import tokens
+from .test_katz import Model, tokens
 from .test_nearjoin import brute as near_brute
+from .test_nearjoin import shingles
 from .test_pii import brute as pii_brute
+from .test_tokencount import brute as count_brute
 
 WORDS = [f"word{k}" for k in range(300)]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, maybe string, kept string, was_null string, n_lines string, n_dropped string, text_id string, carried string, k string"
@@ -87,7 +90,11 @@ def test_op1(spark, tables, docs):
     assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     want = Counter((i, held(i), len(tokens(t)), sum(x in seen for x in tokens(t)), sum(seen.values())) for i, t in docs)
     assert rows_of(got.select(*got.columns[:5])) == want
-    assert all(r.score < 0 and r.base_score < 0 for r in got.collect())
+    model = Model([t for i, t in docs if not held(i)], 2)
+    base = {x: math.log10((seen[x] + 1) / (sum(seen.values()) + len(seen) + 1)) for _, t in docs for x in tokens(t)}
+    scores = sorted((-1 if i is None else i, sum(base[x] for x in tokens(t)), model.score(t)) for i, t in docs)
+    for r, (i, b, s) in zip(sorted(got.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.base_score)), scores, strict=True):
+        assert (-1 if r.doc_id is None else r.doc_id, r.base_score, r.score) == (i, pytest.approx(b), pytest.approx(s, rel=1e-9))
 
 
 def ids_of(coder, text):
@@ -113,7 +120,10 @@ def test_op3(spark, tables, docs):
 
 def test_op4(spark, tables, docs):
     got = queries.op4_token_counts(spark, tables)
-    assert Counter((r.doc_id, r.n_pretokens) for r in got.collect()) == Counter((i, len((t or "").split())) for i, t in docs)
+    scores = tokencount.load_pieces(queries.tokenizer_file("piece_bpe_32k.model"))
+    pieces = {w: count_brute("▁" + w, scores) for w in {w for _, t in docs for w in (t or "").split()}}
+    words = [(i, (t or "").split()) for i, t in docs]
+    assert rows_of(got.select("doc_id", "n_pretokens", "n_tokens")) == Counter((i, len(x), sum(map(pieces.__getitem__, x))) for i, x in words)
 
 
 def test_op5(spark, tables, tmp_path, docs):
@@ -127,11 +137,16 @@ def test_op5(spark, tables, tmp_path, docs):
 
 
 def test_op6(spark, tables, docs):
-    distinct = [(i, t) for i, t in dict.fromkeys(docs) if i is not None and i != 11]
-    want = near_brute(distinct + [(11, dict(docs)[11])])
-    got = queries.op6_ngram_jaccard_join(spark, tables)
-    assert {r.doc_id: r.class_id for r in got.collect() if r.doc_id is not None} == {i: c for i, (c, _) in want.items()}
-    assert got.count() == len(docs)
+    """Classes, copies and links of all rows, repeated rows and ids included."""
+    rows = [(i, t) for i, t in docs if i is not None]
+    found = near_brute([(k, t) for k, (_, t) in enumerate(rows)])
+    least, copies = {}, Counter(shingles(t) for _, t in rows)
+    for k, (i, _) in enumerate(rows):
+        least[found[k][0]] = min(i, least.get(found[k][0], i))
+    want = Counter((i, least[found[k][0]], copies[shingles(t)] if shingles(t) else 1, found[k][1]) for k, (i, t) in enumerate(rows))
+    want += Counter((i, i, 1, 0) for i, _ in docs if i is None)
+    assert rows_of(queries.op6_ngram_jaccard_join(spark, tables).select("doc_id", "class_id", "n_copies", "n_links")) == want
+    assert max(n for _, _, n, _ in want) > 1 and max(n for *_, n in want) > 1
 
 
 def test_op7(spark, tables, docs):
@@ -235,5 +250,5 @@ def test_pipeline_on_empty_tables(spark, tmp_path, tables):
 
 
 def test_names_are_registered():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(k) for k in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(k) for k in range(1, 14)]
     assert os.path.exists(PATH) and linededup and nearjoin and decontam

@@ -1,6 +1,8 @@
 import math
 import random
 import zlib
+from collections import Counter
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -71,6 +73,54 @@ def test_held_out(spark, model):
     assert len(held) > 50 and sum((got[i] >= 0.5) == y for i, y in held) >= 0.97 * len(held)
 
 
+@cache
+def subsequences(word):
+    """Weight of each subsequence of a word."""
+    out = Counter()
+    for i in combinations(range(len(word)), toxicity.ORDER):
+        out[tuple(word[k] for k in i)] += toxicity.DECAY ** (i[-1] - i[0] + 1)
+    return out
+
+
+@cache
+def kernel(s, t):
+    raw = lambda x, y: sum(v * subsequences(y)[u] for u, v in subsequences(x).items())
+    return raw(s, t) / math.sqrt(raw(s, s) * raw(t, t))
+
+
+def slow_score(model, text):
+    """A text's score by definition: kernels of all words with all landmarks, pooled over sentences, mapped and weighed."""
+    marks = model.landmarks
+
+    def row(tokens):
+        rows = [[kernel(w, m) for m in marks] for t in tokens for w in toxicity.forms(t)]
+        return np.max([r if max(r) >= toxicity.ACTIVE else [0.0] * len(marks) for r in rows] or [[0.0] * len(marks)], axis=0)
+
+    sentences = [[]]
+    for line in text.lower().split("\n"):
+        for w in line.split():
+            sentences[-1].append(w)
+            if w[-1] in ".!?":
+                sentences.append([])
+        sentences.append([])
+    found = [row(x) for x in sentences if x]
+    total = np.sum(found, axis=0) if found else np.zeros(len(marks))
+    best = np.max(found, axis=0) if found else np.zeros(len(marks))
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors / np.sqrt(values) @ vectors.T
+    x = np.concatenate([f @ root for f in (best, total / max(1, len(found)), np.log1p(total))])
+    a, b = model.curve
+    return 1 / (1 + math.exp(-(a * (((x - model.centre) / model.scale) @ model.weights + model.bias) + b)))
+
+
+def test_score_by_definition(spark, model):
+    rows = [*corpus()[0][:60], (900, ""), (901, "You BLOCKHEAD!\nras-cal, r.a.s.c.a.l? dumm_kopf. fine words"), (902, "blxockhead rasca. blockheads\n\nrascals")]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, rows), model).collect()}
+    assert len(model.landmarks) >= 3
+    for i, t in rows:
+        assert got[i] == pytest.approx(slow_score(model, t), abs=1e-4), t
+
+
 def test_many_insults(spark):
     """Forty insults without common stems, each in few texts: held-out recall of every one."""
     rng = random.Random(12)
