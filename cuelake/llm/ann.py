@@ -5,8 +5,8 @@ k-means on a sample of at most ``SAMPLE`` vectors, those of the least hash of th
 id. Every vector goes into the cell of its pair of centroids. A query walks over
 pairs of centroids with a heap, in the order of the summed nearness of its halves to
 them (the negative inner product as distance), until the cells hold enough vectors,
-which are then ranked by exact inner products in double precision. There are about
-as many cells as vectors, up to ``MOST_CENTROIDS`` squared. The heap holds the next
+which are then ranked by exact inner products in double precision. A cell
+holds about ``CELL`` vectors, more once there are ``MOST_CENTROIDS``. The heap holds the next
 cell of each first centroid that the walk has opened, so it opens no more than it needs.
 
 How many are enough is measured on the table itself: the true neighbours of at most
@@ -47,6 +47,8 @@ from .common import drop_stored, n_chunks, stored
 
 SAMPLE = 20_000
 MOST_CENTROIDS = 512
+#: Vectors of a cell on average: a step of the heap takes about the time of so many comparisons.
+CELL = 8
 #: Vectors of a chunk, at most and (for tables of fewer chunks than tasks) at least.
 CHUNK, LEAST = 50_000, 2_000
 #: Queries whose true neighbours are found by exact comparison, and the share of these that the walk must meet.
@@ -179,7 +181,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, candidates: i
     total = rows.count()
     if total == 0:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    n_centroids = int(min(MOST_CENTROIDS, max(1, math.sqrt(total))))
+    n_centroids = int(min(MOST_CENTROIDS, max(1, math.sqrt(total / CELL))))
     # The sample's size is bounded by SAMPLE.
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     half = max(1, sample.shape[1] // 2)
