@@ -345,6 +345,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
-    """The rows of docs, all columns, without those of a group's other documents; the least doc_id stays."""
+    """The rows of docs, all columns, without those of a group's other documents; the least doc_id stays.
+
+    Rows of that doc_id are one document, so all of them stay, near copies of each other too.
+    """
     gone = near_duplicates(docs, threshold, recall).where("doc_id <> class_id").select("doc_id", "text_id")
     return without(docs, gone)

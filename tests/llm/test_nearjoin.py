@@ -79,6 +79,12 @@ def test_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.text) for r in nearjoin.keep_one(docs(spark, rows)).collect()) == [(0, a), (2, b)]
 
 
+def test_near_copies_under_the_least_id(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    kept = nearjoin.keep_one(docs(spark, [(1, a), (1, a + " more"), (2, a), (2, a + " other")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (1, a + " more")]
+
+
 def test_clashing_columns(spark):
     names = "doc_id bigint, text string, maybe string, may_go string, filter_bit string, k string, text_id string, gone_doc string"
     rows = [(k, "some words that are all the same", *"abcdef") for k in range(3)]
