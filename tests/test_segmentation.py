@@ -165,3 +165,30 @@ def test_times_that_go_back_are_told():
     made = stretch_map([(0, 0, 7001, 0, 0, 1, False, False), *pieces[1:]], Limits())
     with pytest.raises(ValueError):
         compose([*Cutter(Limits()).state()[:0], -1, 10_000, 0, 0, 0, None, 0, 0, 0, None, 0, -1], made, Limits())
+
+
+def test_words_of_dealt_texts_are_not_shuffled(spark):
+    """Texts are dealt before their words are told apart; windows over the words need no shuffle, and documents without segments no second reading."""
+    from cuelake import fixtures as X
+    from cuelake.operators import segmentation as S
+
+    texts = spark.createDataFrame([(1, "One two. Three"), (2, "four"), (3, None)], "doc_id bigint, text string")
+    words = X.timed_words(texts)
+    pieces = S.gap_after(S.make_pieces(words, X.no_segments(words)))
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert [(r.doc_id, r.seq, r.gap_after_ms) for r in pieces.orderBy("doc_id", "seq").collect()] == [(1, 1, 40), (1, 2, 900), (1, 3, 0), (2, 1, 0)]
+
+
+def test_merged_windows_meet_once(spark):
+    """Choices named twice, blank, strange or of other windows spoil a window; a failed one follows the rules."""
+    from cuelake.operators import segmentation as S
+
+    rows = [(1, w, f"w{w}{k}", 10 * w + k, k < 3, "end." if k == 1 else "a", 0) for w in range(6) for k in range(4)]
+    windows = spark.createDataFrame(rows, "doc_id int, window_id int, piece_id string, seq int, is_owner boolean, text string, gap_after_ms int")
+    choices = spark.createDataFrame([(1, 0, "w00"), (1, 1, "w10"), (1, 1, "w10"), (1, 2, "w30"), (1, 3, "w33"), (1, 5, "w50"), (1, 9, "w90")], "doc_id int, window_id int, piece_id string")
+    outcomes = spark.createDataFrame([(1, 5, "Error"), (1, 0, None)], "doc_id int, window_id int, error_type string")
+    found, fallback = S.merge_window_boundaries(windows, choices, outcomes)
+    assert sorted(r.seq for r in found.collect()) == [0, 11, 12, 21, 22, 32, 41, 42, 51, 52]
+    assert [r.doc_id for r in fallback.collect()] == [1]
+    assert {r.window_id: r.valid for r in S.validate_boundaries(windows, choices).collect()} == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True}
