@@ -8,9 +8,11 @@ under one node. The least prefix is the longest at which a pair at the threshold
 meets in some tree with the target probability. Classes that share it with none in
 a tree are done with that tree. Under a node the walk goes from the deepest prefixes,
 which tie up near equal classes at once, and shortens the prefix only for what they
-leave untied. A node of over ``CHUNK`` classes is dealt by its deeper prefixes to
-several tasks; one class of each tied group goes on from there, and these meet under
-the shorter prefix, block against block. So no task holds a large node.
+leave untied. Each key is read from its first value and from its middle one, so that there are twice as many chances to meet.
+A node of over ``CHUNK`` classes is dealt by its deeper prefixes to
+several tasks; a few heads of each tied group go on from there, each with its reach, the values in which the
+farthest class that it stands for differs from it, and these meet under the shorter prefix, block against
+block. Heads are tied if their reaches leave room for a candidate pair below them, so none is lost. No task holds a large node.
 
 Classes under one node whose signatures agree well enough are candidates.
 Candidates' connected groups come together with their sets, and the sets of a group
@@ -40,8 +42,12 @@ from .components import components
 
 GRAM = 5
 TREES, DEPTH = 16, 8
+#: Reads of the keys: those from TREES on begin at the middle value. Prefixes of half a key are then made of different values.
+READS = 2 * TREES
 #: Classes whose signatures agree in less than the threshold less this are no candidates: over five deviations.
 SLACK = 0.2
+#: Values of a signature in which a class may differ from the head that stands for it.
+REACH = TREES * DEPTH // 10
 #: Classes under one trie node that a task compares at once, and of one side of an exact comparison.
 CHUNK, BLOCK = 2048, 1024
 #: Entries of a worker's word cache.
@@ -111,10 +117,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_id bigint, n_grams bigint, f1 bigint, f2 bigint, sig binary")
 
 
-def prefix_length(threshold: float, recall: float) -> int:
-    """The longest prefix at which some tree holds a pair at the threshold together with the target probability."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
+def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix, of depth at most, at which some tree holds a pair at the threshold together with the target probability."""
+    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
@@ -141,11 +146,41 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(kept)
 
 
-def tie(sig: np.ndarray, own: np.ndarray, depth: int, least: float) -> np.ndarray:
+def key_of(tree: int) -> np.ndarray:
+    """The places of a tree's values in a signature."""
+    return tree % TREES * DEPTH + np.roll(np.arange(DEPTH), -(tree // TREES * (DEPTH // 2)))
+
+
+def key_bytes(values: int) -> str:
+    """SQL: the first so many values of the key of a tree in sig; half a key at least is one stretch of it."""
+    first = f"tree % {TREES} * {4 * DEPTH} + CAST(tree >= {TREES} AS INT) * {2 * DEPTH} + 1"
+    if values <= DEPTH // 2:
+        return f"substring(sig, {first}, {4 * values})"
+    rest = f"substring(sig, CAST(tree < {TREES} AS INT) * {2 * DEPTH} + tree % {TREES} * {4 * DEPTH} + 1, {4 * values - 2 * DEPTH})"
+    return f"concat(substring(sig, {first}, {2 * DEPTH}), {rest})"
+
+
+def heads(sig: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for those of their tied group within REACH of them, and the values in which the farthest of these differs."""
+    found, reach = [], []
+    order = np.argsort(root, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        while len(group):
+            apart = (sig[group] != sig[group[0]]).sum(axis=1)
+            near = apart <= REACH
+            found.append(group[0])
+            reach.append(apart[near].max())
+            group = group[~near]
+    return np.array(found, np.int64), np.array(reach, np.int32)
+
+
+def tie(sig: np.ndarray, own: np.ndarray, depth: int, least: float, reach: np.ndarray | None = None) -> np.ndarray:
     """A root for each row: rows under one trie node whose signatures agree in a share of at least `least`.
 
-    sig: all values; own: the sorted keys of this tree. Goes from deep nodes to those at depth.
+    sig: all values; own: the sorted keys of this tree; reach: values in which what a row stands for may differ from
+    it, by which less need agree. Goes from deep nodes to those at depth.
     """
+    reach = np.zeros(len(sig), np.int64) if reach is None else reach.astype(np.int64)
     n = len(sig)
     root = np.arange(n)
     for d in range(own.shape[1], depth - 1, -1):
@@ -163,7 +198,8 @@ def tie(sig: np.ndarray, own: np.ndarray, depth: int, least: float) -> np.ndarra
                 head = root[group[0]]
                 wave = list(group)
                 while wave and len(left):
-                    agree = (sig[left] == sig[wave.pop()]).mean(axis=1) >= least
+                    at = wave.pop()
+                    agree = (sig[left] == sig[at]).mean(axis=1) >= least - (reach[left] + reach[at]) / sig.shape[1]
                     if agree.any():
                         met = np.isin(root[left], np.unique(root[left[agree]]))
                         wave += left[met].tolist()
@@ -172,8 +208,8 @@ def tie(sig: np.ndarray, own: np.ndarray, depth: int, least: float) -> np.ndarra
     return root
 
 
-def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
-    """Stretches of rows with equal keys, cut after every `most` rows; the batches come sorted by the keys."""
+def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None) -> Iterator[pa.Table]:
+    """Stretches of rows with equal keys, cut after every `most` rows, if that is given; the batches come sorted by the keys."""
     held: list[pa.RecordBatch] = []
     last, n = None, 0
     for batch in batches:
@@ -192,48 +228,48 @@ def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Ite
         yield pa.Table.from_batches(held)
 
 
-def tied(rows: DataFrame, keys: list[str], depth: int, least: float, most: int) -> DataFrame:
-    """a, b: edges that join what is alike under a node; with tree and node: the classes that are left of a node in several parts.
+def tied(rows: DataFrame, keys: list[str], depth: int, least: float, most: int | None) -> DataFrame:
+    """a, b: edges that join what is alike under a node; with tree, node and reach: the heads (a) that are left of a node in several parts.
 
-    rows: rep, tree, node, sig, parts (tasks that the node is in) and keys.
+    rows: rep, tree, node, sig, parts (tasks that the node is in), reach and keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in pieces(batches, keys, most):
             ids, tree, node = t.column("rep").to_numpy(), t.column("tree")[0].as_py(), t.column("node")[0].as_py()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(len(ids), -1)
-            root = tie(sig, sig[:, tree * DEPTH : (tree + 1) * DEPTH], depth, least)
+            root = tie(sig, sig[:, key_of(tree)], depth, least, t.column("reach").to_numpy())
             far = root != np.arange(len(ids))
-            left = ids[~far] if t.column("parts")[0].as_py() > 1 else ids[:0]
+            left, reach = heads(sig, root) if t.column("parts")[0].as_py() > 1 else (np.empty(0, np.int64), np.empty(0, np.int32))
             n, m = int(far.sum()), len(left)
             if n or m:
                 place = [pa.array([None] * n + [x] * m, k) for x, k in ((tree, pa.int32()), (node, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[far], left]), pa.array(np.r_[ids[root[far]], left]), *place], ["a", "b", "tree", "node"])
+                place.append(pa.array([None] * n + reach.tolist(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[far], ids[left]]), pa.array(np.r_[ids[root[far]], ids[left]]), *place], ["a", "b", "tree", "node", "reach"])
 
-    own = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, own)
-    return dealt.select("rep", "tree", "node", "parts", "sig", *(k for k in keys if k not in ("tree", "node"))).mapInArrow(run, "a bigint, b bigint, tree int, node bigint")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.expr(key_bytes(DEPTH)))
+    return dealt.select("rep", "tree", "node", "parts", "reach", "sig", *(k for k in keys if k not in ("tree", "node"))).mapInArrow(run, "a bigint, b bigint, tree int, node bigint, reach int")
 
 
 def candidate_links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """a, b: edges that join the classes of each candidate group; at most a few for each class and tree."""
-    depth, least = prefix_length(threshold, recall), threshold - SLACK
-    keys = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'node', xxhash64(t, substring(sig, t * {4 * DEPTH} + 1, {4 * depth}))))")).alias("k")
-    nodes = classes.select("rep", keys).select("rep", "k.tree", "k.node")
+    depth, least = prefix_length(threshold, recall, READS, DEPTH // 2), threshold - SLACK
+    trees = F.explode(F.sequence(F.lit(0), F.lit(READS - 1))).alias("tree")
+    nodes = classes.select("rep", "sig", trees).select("rep", "tree", F.expr(f"xxhash64(tree, {key_bytes(depth)})").alias("node"))
     shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared.select("tree", "node", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     sigs = classes.select("rep", "sig")
-    under = nodes.join(shared, ["tree", "node"]).join(sigs, "rep")
+    under = nodes.join(shared, ["tree", "node"]).join(sigs, "rep").withColumn("reach", F.lit(0))
     # Classes of one full key stay together, unless these alone are too many.
-    whole = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
     salt = F.when(F.col("parts") > 16, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0)
-    first = stored(tied(under.withColumn("part", F.pmod(F.xxhash64(whole, salt), F.col("parts")).cast("int")), ["tree", "node", "part"], depth, least, CHUNK), "tied")
-    heads = first.where("node IS NOT NULL").select(F.col("a").alias("rep"), "tree", "node")
-    blocks = heads.groupBy("tree", "node").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("n_blocks"))
-    placed = heads.join(blocks, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    first = stored(tied(under.withColumn("part", F.pmod(F.xxhash64(F.expr(key_bytes(DEPTH)), salt), F.col("parts")).cast("int")), ["tree", "node", "part"], depth, least, CHUNK), "tied")
+    left = first.where("node IS NOT NULL").select(F.col("a").alias("rep"), "tree", "node", "reach")
+    blocks = left.groupBy("tree", "node").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("n_blocks"))
+    placed = left.join(blocks, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    placed = placed.select("rep", "tree", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.lit(1).alias("parts"))
-    second = tied(placed.join(sigs, "rep"), ["tree", "node", "low", "high"], depth, least, 4 * CHUNK)
+    placed = placed.select("rep", "tree", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.lit(1).alias("parts"), "reach")
+    # A pair of blocks is never cut: their heads meet whole.
+    second = tied(placed.join(sigs, "rep"), ["tree", "node", "low", "high"], depth, least, None)
     return first.where("node IS NULL").select("a", "b").union(second.select("a", "b"))
 
 
@@ -313,7 +349,7 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "rep bigint, links bigint, root bigint")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 1 - 1e-7) -> DataFrame:
     """doc_id, copy_id, class_id, n_copies, n_links, text_id for each row of docs.
 
     copy_id: the least doc_id with the same grams; class_id: the least doc_id of the group that links join;
@@ -344,7 +380,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     return result
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 1 - 1e-7) -> DataFrame:
     """The rows of docs, all columns, without those of a group's other documents; the least doc_id stays.
 
     Rows of that doc_id are one document, so all of them stay, near copies of each other too.

@@ -105,3 +105,45 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(51)} | {100: 100, 101: 100, 102: 100, 200: 200}
+
+
+def linked(spark, sigs):
+    rows = [(k, s.astype(">u4").tobytes()) for k, s in enumerate(sigs)]
+    random.Random(5).shuffle(rows)
+    edges = nearjoin.candidate_links(spark.createDataFrame(rows, "rep bigint, sig binary"), 0.8, 0.998)
+    return {r.node: r.label for r in components(edges).collect()}
+
+
+def test_members_meet_where_heads_differ(spark, monkeypatch):
+    """A chain under one node only, in many parts: neighbours agree in 84 of 128 values, others in 70 at most, under the 77 asked for."""
+    monkeypatch.setattr(nearjoin, "CHUNK", 4)
+    rng = np.random.default_rng(6)
+    lone = [t * 8 + half for t in range(1, 16) for half in (0, 4)]
+    free = [k for k in range(8, 128) if k not in lone]
+    sigs = [rng.integers(0, 2**32, 128, dtype=np.uint32)]
+    for step in range(40):
+        s = sigs[-1].copy()
+        moved = lone + [free[(14 * step + k) % len(free)] for k in range(14)]
+        s[moved] = rng.integers(0, 2**32, len(moved), dtype=np.uint32)
+        sigs.append(s)
+    assert linked(spark, sigs) == dict.fromkeys(range(41), 0)
+
+
+def test_keys_are_read_from_the_middle_too(spark):
+    """Two classes that differ in the first value of every key."""
+    a = np.arange(128, dtype=np.uint32)
+    b = a.copy()
+    b[::8] += 1000
+    assert linked(spark, [a, b]) == {0: 0, 1: 0}
+
+
+def test_heads_stand_for_all_within_reach():
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 2, (200, 128), dtype=np.uint32)
+    sig[100:] = sig[:100] ^ (rng.random((100, 128)) < 0.05)
+    root = np.tile(np.arange(100), 2)
+    found, reach = nearjoin.heads(sig, root)
+    for k in range(200):
+        of = root[found] == root[k]
+        assert ((sig[found[of]] != sig[k]).sum(axis=1) <= reach[of]).any()
+    assert len(found) < 200 and reach.max() <= nearjoin.REACH
