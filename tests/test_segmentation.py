@@ -192,3 +192,33 @@ def test_merged_windows_meet_once(spark):
     assert sorted(r.seq for r in found.collect()) == [0, 11, 12, 21, 22, 32, 41, 42, 51, 52]
     assert [r.doc_id for r in fallback.collect()] == [1]
     assert {r.window_id: r.valid for r in S.validate_boundaries(windows, choices).collect()} == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_words_dealt_by_document_meet_by_more_keys(spark):
+    """Joins by document and word read the words as they are dealt, also where nothing is small enough to be sent to all tasks."""
+    from cuelake import fixtures as X
+    from cuelake.operators import validation as V
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = X.timed_words(spark.createDataFrame([(k, "one two three. four five") for k in range(5)], "doc_id bigint, text string"))
+        segments = X.word_segments(words).withColumn("word_ids", F.when(F.col("doc_id") == 3, F.array(F.lit("w000001"), F.lit("x"))).otherwise(F.col("word_ids")))
+        for made, times in ((V.word_reference_check(segments, words), 2), (V.validate_segments(segments, words), 3)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == times
+        assert [tuple(r) for r in V.word_reference_check(segments, words).collect()] == [(3, "seg000001", "x")]
+        assert [tuple(r) for r in V.validate_segments(segments, words).collect()] == [(3, "seg000001", "unknown_word")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_segments_are_told_apart_by_their_place(spark):
+    """Equal segments, and some without words, keep their own violations."""
+    from cuelake.operators import validation as V
+
+    words = spark.createDataFrame([(1, "a", 0, 5), (1, "b", 5, 9)], "doc_id bigint, word_id string, start_ms bigint, end_ms bigint")
+    rows = [(1, 1, "s1", "x", 0, 9, ["a", "b"]), (1, 2, "s1", "x", 0, 9, ["a", None]), (1, 3, "s3", "x", 0, 8, []), (1, 4, "s4", "x", 1, 8, ["a", "a", "b"]), (2, 1, "s1", "x", 0, 9, [])]
+    segments = spark.createDataFrame(rows, "doc_id bigint, seq int, segment_id string, text string, start_ms bigint, end_ms bigint, word_ids array<string>")
+    got = sorted((r.doc_id, r.id, r.rule) for r in V.validate_segments(segments, words).collect())
+    assert got == [(1, "s1", "repeated_id"), (1, "s1", "repeated_id"), (1, "s1", "unknown_word"), (1, "s3", "end_goes_back"), (1, "s3", "no_words"), (1, "s4", "does_not_cover"), (1, "s4", "repeated_word")]
