@@ -222,3 +222,27 @@ def test_segments_are_told_apart_by_their_place(spark):
     segments = spark.createDataFrame(rows, "doc_id bigint, seq int, segment_id string, text string, start_ms bigint, end_ms bigint, word_ids array<string>")
     got = sorted((r.doc_id, r.id, r.rule) for r in V.validate_segments(segments, words).collect())
     assert got == [(1, "s1", "repeated_id"), (1, "s1", "repeated_id"), (1, "s1", "unknown_word"), (1, "s3", "end_goes_back"), (1, "s3", "no_words"), (1, "s4", "does_not_cover"), (1, "s4", "repeated_word")]
+
+
+def test_first_stretches_need_no_map(spark, monkeypatch):
+    """Documents of one stretch, of several, with seq below 0 and with none in stretch 0 are cut as by the cutter; maps are made of later stretches only."""
+    from cuelake.operators import cutter as K
+
+    documents = {1: range(1, 40), 2: range(1, 400), 3: range(-120, 130), 4: range(205, 330)}
+    rows, want = [], set()
+    for doc, seqs in documents.items():
+        cutter = K.Cutter(K.Limits())
+        for i in seqs:
+            piece = (i, i * 300, i * 300 + 250, 0, 1, 4, i % 17 == 0, i % 61 == 0)
+            rows.append((doc, *piece))
+            at = cutter.add(*piece)
+            want |= {(doc, at)} if at is not None else set()
+        want |= {(doc, seqs[-1])} if cutter.first is not None else set()
+    marked = spark.createDataFrame(rows, "doc_id bigint, seq int, start_ms bigint, end_ms bigint, cjk int, words int, characters int, pause boolean, proposed boolean").repartition(3)
+    mapped = spark.sparkContext.accumulator(0)
+    whole = K.stretch_map
+    monkeypatch.setattr(K, "stretch_map", lambda pieces, limits: (mapped.add(1), whole(pieces, limits))[1])
+    got = [tuple(r) for r in K.cuts_in_stretches(marked, K.Limits(), 100).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert mapped.value == 6
+    assert K.first_stretch([r[1:] for r in rows if r[0] == 1], K.Limits())["cuts"] == sorted(s for d, s in want if d == 1 and s < 39)
