@@ -246,3 +246,17 @@ def test_first_stretches_need_no_map(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     assert mapped.value == 6
     assert K.first_stretch([r[1:] for r in rows if r[0] == 1], K.Limits())["cuts"] == sorted(s for d, s in want if d == 1 and s < 39)
+
+
+def test_ids_and_columns_as_before(spark):
+    """Ids at the edges of the padded range are those of the format; columns keep their values and nulls."""
+    import pyarrow as pa
+
+    from cuelake.functions.timecode import make_id
+    from cuelake.operators.cutter import values
+
+    rows = spark.createDataFrame([(n,) for n in (None, -1, 0, 1, 999_999, 1_000_000, 10**12)], "n bigint")
+    bad = rows.select(make_id("w", F.col("n")).alias("a"), F.format_string("w%06d", "n").alias("b")).where("NOT a <=> b")
+    assert bad.count() == 0
+    for column in (pa.array([1, None, 2**62 + 1]), pa.array([2**62 + 1, -1], pa.int64()), pa.array([True, False]), pa.array([True, None]), pa.array(["a", None]), pa.array([], pa.int32())):
+        assert values(column) == column.to_pylist()
