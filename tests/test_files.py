@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import pyarrow as pa
 import pytest
 
 from cuelake.sources import files, sinks
@@ -87,3 +88,26 @@ def test_a_cut_short_commit_is_finished_by_the_next(spark, tmp_path, monkeypatch
     os.replace(manifest.temporary, os.path.join(out, "a.txt"))
     sinks.write_documents(rows(spark, [("d.txt", "3")]), out)
     assert names(out) == ["a.txt", "b/c.txt", "d.txt"] and sinks.finish_documents(spark, out) == 0
+
+
+def test_few_bodies_are_in_a_worker_at_once(spark, tmp_path, monkeypatch):
+    """Bodies come in small batches, whatever the session's size, and reach their files byte for byte."""
+    from contextlib import contextmanager
+
+    body = "a\r\nü漢😀  \n" * 50
+    pairs = [(f"{k:04d}.txt", f"{k}{body}") for k in range(500)]
+    seen, real = [], sinks.bodies_in_a_batch
+
+    @contextmanager
+    def watched(session):
+        with real(session):
+            sizes = session.range(500, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n bigint")
+            seen.extend(r.n for r in sizes.collect())
+            yield
+
+    monkeypatch.setattr(sinks, "bodies_in_a_batch", watched)
+    before = spark.conf.get(sinks.BATCH_ROWS)
+    sinks.write_documents(rows(spark, pairs).coalesce(1), str(tmp_path / "out"))
+    assert spark.conf.get(sinks.BATCH_ROWS) == before
+    assert max(seen) == sinks.BODIES and sum(seen) == 500
+    assert all((tmp_path / "out" / name).read_bytes() == text.encode() for name, text in pairs)
