@@ -117,20 +117,31 @@ def split_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is computed once for each row; an expression that is named several times may be computed as often."""
+    return F.transform(F.array(value), of)[0]
+
+
 def wrap_text(text: Column, limit: int, max_lines: int) -> Column:
     """At most max_lines lines of the squeezed text, as an array.
 
     Each cut but the last is after the last break within limit + 1 characters, else
     at limit; the last line holds all that is left and may be longer.
     """
-    rest, lines = squeeze(text), []
-    for _ in range(max_lines - 1):
-        head = F.regexp_extract(F.substring(rest, 1, limit + 1), f"(?Us)^.*[{BREAKS}]", 0)
-        cut = F.when(F.length(rest) <= limit, F.length(rest)).when(F.length(head) > 0, F.length(head)).otherwise(F.lit(limit))
-        ends = cut >= F.length(rest)
-        lines.append(F.when(ends, F.lit(None).cast("string")).otherwise(F.regexp_replace(F.substr(rest, F.lit(1), cut), r"(?U)\s+$", "")))
-        rest = F.when(ends, rest).otherwise(F.regexp_replace(F.substr(rest, cut + 1), r"(?U)^\s+", ""))
-    return F.array_compact(F.array(*lines, rest))
+
+    def lines(rest: Column, more: int) -> Column:
+        if more <= 0:
+            return F.array(rest)
+
+        def split(cut: Column) -> Column:
+            line = F.regexp_replace(F.substr(rest, F.lit(1), cut), r"(?U)\s+$", "")
+            after = let(F.regexp_replace(F.substr(rest, cut + 1), r"(?U)^\s+", ""), lambda r: lines(r, more - 1))
+            return F.when(cut >= F.length(rest), F.array(rest)).otherwise(F.concat(F.array(line), after))
+
+        head = F.length(F.regexp_extract(F.substring(rest, 1, limit + 1), f"(?Us)^.*[{BREAKS}]", 0))
+        return let(head, lambda n: let(F.when(F.length(rest) <= limit, F.length(rest)).when(n > 0, n).otherwise(F.lit(limit)), split))
+
+    return F.array_compact(let(squeeze(text), lambda rest: lines(rest, max_lines - 1)))
 
 
 def display_lines(text: Column, limit: int, max_lines: int) -> Column:

@@ -140,3 +140,12 @@ def test_no_word_meets_all_segments(spark):
     out = transcripts.assign_words_to_segments(w, s, w.select("doc_id").distinct().withColumn("text", F.lit("all")))
     assert out.count() == 2000 and out.agg(F.sum(F.size("word_ids"))).first()[0] == 20_000
     assert "_at#" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_wrapping_reads_a_text_once(spark):
+    """Each further line adds two replacements to the expression; before, every line doubled and more what came before it."""
+    rows = spark.createDataFrame([(None,), ("",), ("  a \t b  ",), ("one two, three four",), ("x" * 100,), ("ab " * 40,)], "t string")
+    plan = rows.select(T.wrap_text(F.col("t"), 10, 6).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 + 2 * 5
+    got = [r.l for r in rows.select(T.wrap_text(F.col("t"), 10, 3).alias("l")).collect()]
+    assert got == [[], [""], ["a b"], ["one two,", "three four"], ["x" * 10, "x" * 10, "x" * 80], ["ab ab ab", "ab ab ab", ("ab " * 34).strip()]]
