@@ -149,3 +149,18 @@ def test_wrapping_reads_a_text_once(spark):
     assert plan.count("regexp_replace(") == 2 + 2 * 5
     got = [r.l for r in rows.select(T.wrap_text(F.col("t"), 10, 3).alias("l")).collect()]
     assert got == [[], [""], ["a b"], ["one two,", "three four"], ["x" * 10, "x" * 10, "x" * 80], ["ab ab ab", "ab ab ab", ("ab " * 34).strip()]]
+
+
+def test_equal_long_texts_have_no_band(spark):
+    """Texts that are equal but for white space need no edit distance, however long; the answers are those of the ratio."""
+    import time
+
+    long = "abcdefgh" * 25_000
+    rows = spark.createDataFrame([(long, long + " "), (long[:8000], "x" + long[:8000]), (None, "a"), ("a", None), ("", ""), ("abcd", "abxy"), ("abcd", "axyz"), ("ab" * 40, "ba" * 40), ("q" * 40, "r" * 20 + "q" * 20)], "a string, b string")
+    began = time.time()
+    assert [r.x for r in rows.limit(2).select(T.changed_at_most(F.col("a"), F.col("b"), 0.5).alias("x")).collect()] == [True, True]
+    assert time.time() - began < 30
+    short = rows.where("coalesce(length(a), 0) < 1000")
+    for ratio in (0.0, 0.25, 0.5, 1.0):
+        wrong = short.where(~T.changed_at_most(F.col("a"), F.col("b"), ratio).eqNullSafe(T.change_ratio(F.col("a"), F.col("b")) <= ratio))
+        assert wrong.count() == 0
