@@ -7,6 +7,10 @@ pair has changed since it was queued is stale and skipped when it comes up. So a
 pre-token of n bytes takes O(n log n), which matters for pre-tokens of many
 thousand bytes.
 
+Most pre-tokens are a few bytes long, and there Python's steps cost more than the merges. ``encode_texts`` so
+takes the new pre-tokens of many texts at once: those of up to ``SHORT`` bytes have a row each in numpy arrays, with a
+queue of the same kind (words of 64 bits in three levels), and each round takes the least rank of every row.
+
 Texts of a Python worker share one cache from pre-token to its packed ids, of at
 most ``CACHE_BYTES`` bytes; pre-tokens of over ``LONG`` characters are never kept. A
 pre-token that is long itself needs memory in proportion to its bytes, in plain
@@ -25,8 +29,9 @@ from array import array
 from collections.abc import Iterator
 from functools import cached_property, partial
 from heapq import heappop, heappush
-from itertools import pairwise
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,11 +43,52 @@ from .common import slices, texts, worker_held
 CACHE_BYTES, ENTRY_BYTES = 128_000_000, 200
 #: Longer pre-tokens are not kept in the cache, and use arrays of machine integers.
 LONG = 4096
+#: Pre-tokens of so many bytes are merged side by side, so many at a time; texts of more characters are encoded by themselves.
+SHORT, ROWS, WHOLE = 64, 2048, 1_000_000
 LEAF_BITS = 8
 LEAF_MASK = (1 << LEAF_BITS) - 1
 BITS = [1 << k for k in range(1 << LEAF_BITS)]
 
 
+def lowest_bit(words: np.ndarray) -> np.ndarray:
+    """The place of the lowest bit that is set."""
+    return np.bitwise_count((words & (~words + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+
+
+def bit(places: np.ndarray) -> np.ndarray:
+    return np.uint64(1) << (places & 63).astype(np.uint64)
+
+
+class RankQueues:
+    """A hierarchical bitmap of ranks for each of ROWS rows: 64 bits a word, in three levels."""
+
+    def __init__(self, width: int):
+        self.leaves = np.zeros((ROWS, (width >> 6) + 1), np.uint64)
+        self.summary = np.zeros((ROWS, (width >> 12) + 1), np.uint64)
+        self.top = np.zeros((ROWS, (width >> 18) + 1), np.uint64)
+
+    def add(self, rows: np.ndarray, ranks: np.ndarray) -> None:
+        """One rank for each of some different rows."""
+        self.leaves[rows, ranks >> 6] |= bit(ranks)
+        self.summary[rows, ranks >> 12] |= bit(ranks >> 6)
+        self.top[rows, ranks >> 18] |= bit(ranks >> 12)
+
+    def in_use(self, rows: np.ndarray) -> np.ndarray:
+        return rows[self.top[rows].any(axis=1)]
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        at = (self.top[rows] != 0).argmax(axis=1)
+        for level in (self.top, self.summary, self.leaves):
+            at = (at << 6) + lowest_bit(level[rows, at])
+        return at
+
+    def remove(self, rows: np.ndarray, ranks: np.ndarray) -> None:
+        for level in (self.leaves, self.summary, self.top):
+            left = level[rows, ranks >> 6] & ~bit(ranks)
+            level[rows, ranks >> 6] = left
+            rows, ranks = rows[left == 0], ranks[left == 0] >> 6
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file has one base64 token and its rank a line."""
     with open(path, "rb") as f:
@@ -74,6 +120,9 @@ class ByteBpe:
                 if out is None:
                     ids = outer.encode_piece(piece.encode())
                     out = struct.pack(f"<{len(ids)}I", *ids)
+                return self.keep(piece, out)
+
+            def keep(self, piece: str, out: bytes) -> bytes:
                 if len(piece) <= LONG:
                     self.room -= ENTRY_BYTES + 4 * len(piece) + len(out)
                     if self.room < 0:
@@ -152,6 +201,77 @@ class ByteBpe:
                         summary |= 1 << (found >> LEAF_BITS)
         return [x for x in ids if x >= 0]
 
+    @cached_property
+    def merge_arrays(self) -> tuple[np.ndarray, np.ndarray, RankQueues]:
+        """The pairs of `merge` in order with their ranks, and empty queues. The last pair stands for none."""
+        pairs = np.fromiter(self.merge.keys(), np.int64, len(self.merge))
+        order = np.argsort(pairs)
+        ranks = np.fromiter(self.merge.values(), np.int64, len(self.merge))
+        none = np.iinfo(np.int64).max
+        return np.append(pairs[order], none), np.append(ranks[order], -1), RankQueues(self.width)
+
+    def encode_short(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of at most ROWS pre-tokens of few bytes, all merged side by side."""
+        keys, ranks, queues = self.merge_arrays
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n = int(lengths.max())
+        # Places without a token, and one place more at the end of each row, hold an id that no pair has.
+        none = np.int64(1) << 40
+        held = np.frombuffer(b"".join(p.ljust(n + 1, b"\0") for p in pieces), np.uint8).reshape(len(pieces), n + 1)
+        ids = np.array(self.bytes_of, np.int64)[held]
+        ids[np.arange(n + 1) >= lengths[:, None]] = none
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            pair = np.where((a == none) | (b == none), -1, a * self.width + b)
+            at = np.searchsorted(keys, pair)
+            return np.where(keys[at] == pair, ranks[at], -1)
+
+        every = np.arange(len(pieces))
+        after = np.tile(np.minimum(np.arange(1, n + 2), n), (len(pieces), 1))
+        before = np.tile(np.where(np.arange(n + 1) == 0, n, np.arange(-1, n)), (len(pieces), 1))
+        pair = np.full(ids.shape, -1, np.int64)
+        pair[:, :n] = rank_of(ids[:, :n], ids[:, 1:])
+        for column in pair.T[:n]:
+            queues.add(every[column >= 0], column[column >= 0])
+        rows = queues.in_use(every)
+        while len(rows):
+            least = queues.least(rows)
+            places = pair[rows] == least[:, None]
+            times, i = places.sum(axis=1), places.argmax(axis=1)
+            queues.remove(rows[times < 2], least[times < 2])  # the last place, or a stale rank
+            met, i, rank = rows[times > 0], i[times > 0], least[times > 0]
+            j = after[met, i]
+            k, h = after[met, j], before[met, i]
+            ids[met, i], ids[met, j], pair[met, j] = rank, none, -1
+            after[met, i], before[met, k] = k, i
+            for at, found in ((i, rank_of(rank, ids[met, k])), (h, rank_of(ids[met, h], rank))):
+                pair[met, at] = found
+                queues.add(met[found >= 0], found[found >= 0])
+            rows = queues.in_use(rows)
+        kept = ids != none
+        packed, ends = ids[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+        return [packed[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The same as encode of each text; the new pre-tokens of all texts are merged together."""
+        split = [self.split.findall(t) if len(t) <= WHOLE else None for t in texts]
+        found, short = {}, []
+        for piece in set(chain.from_iterable(s for s in split if s)):
+            if piece in self.cache or piece in self.cache.older:
+                found[piece] = self.cache[piece]
+            else:
+                coded = piece.encode()
+                if 1 < len(coded) <= SHORT and coded not in self.ranks:
+                    short.append((len(coded), piece, coded))
+                else:
+                    found[piece] = self.cache[piece]
+        short.sort()  # rows of about equal length
+        for at in range(0, len(short), ROWS):
+            part = short[at : at + ROWS]
+            for (_, piece, _), out in zip(part, self.encode_short([p[2] for p in part]), strict=True):
+                found[piece] = self.cache.keep(piece, out)
+        return [self.encode(t) if s is None else b"".join(map(found.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(text) <= LONG * LONG:
@@ -177,7 +297,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(rank_path, pattern)
         for batch in slices(batches):
-            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+            ids = bpe.encode_texts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
@@ -202,7 +322,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(rank_path, pattern)
         for batch in slices(batches):
-            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
+            ids = bpe.encode_texts(batch.column("text").to_pylist())
             out = [bpe.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
