@@ -21,7 +21,7 @@ def timed_words(texts: DataFrame) -> DataFrame:
     """doc_id, seq, word_id, text, start_ms, end_ms, confidence of texts (doc_id, text)."""
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n\t\r]+"), lambda x: x != "")
     # Texts are dealt, not their words.
-    rows = by_document(texts.select("doc_id", "text")).select("doc_id", F.posexplode(tokens).alias("_i", "text")).withColumn("seq", F.col("_i") + 1)
+    rows = by_document(texts.select("doc_id", "text"), "text").select("doc_id", F.posexplode(tokens).alias("_i", "text")).withColumn("seq", F.col("_i") + 1)
     gap = F.when(T.ends_sentence(F.col("text")), 900).when(F.col("seq") % 13 == 0, 700).otherwise(40 * (F.col("seq") % 3))
     rows = rows.withColumns({"_dur": 60 * F.length("text") + 40, "_gap": gap})
     before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
