@@ -50,7 +50,8 @@ def is_blank(text: Column) -> Column:
 
 
 def cjk_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
+    """The pattern is only tried on texts that aren't plain ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lit(0)).otherwise(F.length(F.regexp_replace(text, f"[^{CJK}]", "")))
 
 
 def visible_length(text: Column) -> Column:
