@@ -342,3 +342,11 @@ def test_segment_words_only_of_good_documents(spark):
     out = run_pipeline(t)
     assert out.cues.count() == 0 and out.failures.first().message == "blank_text"
     assert S.build_cues(S.gap_after(S.make_pieces(t.words, t.segments)), S.rule_boundaries(S.gap_after(S.make_pieces(t.words, t.segments)))).count() == 3
+
+
+def test_stage_tables_leave_no_shuffle_files(spark, tmp_path):
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = held()
+    out = sinks.write_stage_tables("t", spark.range(1000).groupBy(F.col("id") % 7).count(), str(tmp_path))
+    assert not held() - before
+    assert out.count() == 7
